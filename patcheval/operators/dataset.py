@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,9 @@ from patcheval import constants as C
 from patcheval.functions import text as tx
 from patcheval.functions.keyed import first_per_key
 
+# a word, 'node:' in front of one, or a prompt sign on its own
+TOKEN = r"node:|[\p{L}\p{N}_]+|(?<!\S)\$"
+
 RENAMES = {
     "patch": "gold_patch",
     "FAIL_TO_PASS": "fail_to_pass_tests",
@@ -314,17 +315,21 @@ def runtime_version(key: Column) -> Column:
 
 def component_of(text: Column) -> Column:
     """Component with the most keyword hits, the first in table order on ties, 'other' without
-    any. A keyword hits when it stands as a whole token."""
-    low = F.lower(text)
-    hits = []
-    for ordinal, (component, keywords) in enumerate(C.COMPONENT_KEYWORDS.items()):
-        count = F.lit(0)
-        for word in keywords:
-            before = r"(?<![a-z0-9_])" if word[0].isalnum() else r"(?<!\S)"
-            after = r"(?![a-z0-9_])" if word[-1].isalnum() else ""
-            count = count + F.regexp_count(low, F.lit(before + re.escape(word) + after))
-        hits.append(
-            F.struct(count.alias("n"), F.lit(-ordinal).alias("first"), F.lit(component).alias("component"))
+    any. A keyword hits when it stands as a whole token; the text is cut into tokens once."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    every = sorted({k for ks in C.COMPONENT_KEYWORDS.values() for k in ks})
+    known = F.filter(tokens, lambda t: t.isin(*every))
+
+    def hits(kept: Column, ordinal: int, component: str) -> Column:
+        keywords = C.COMPONENT_KEYWORDS[component]
+        return F.struct(
+            F.size(F.filter(kept, lambda t: t.isin(*keywords))).alias("n"),
+            F.lit(-ordinal).alias("first"), F.lit(component).alias("component"),
         )
-    best = F.array_max(F.array(*hits))
+
+    def best_of(kept: Column) -> Column:
+        return F.array_max(F.array(*[hits(kept, i, c) for i, c in enumerate(C.COMPONENT_KEYWORDS)]))
+
+    # transform over a one-element array binds the token list once for all components
+    best = F.get(F.transform(F.array(known), best_of), F.lit(0))
     return F.when(best["n"] > 0, best["component"]).otherwise(C.OTHER_COMPONENT)

@@ -19,15 +19,16 @@ F2P, P2P = "fail_to_pass", "pass_to_pass"
 def expected_tests(instances: DataFrame, keys=("instance_id",), runs: DataFrame | None = None) -> DataFrame:
     """(keys, category, ord, name) from the two array columns of an instance table. With ``runs``
     (rows of run_id and instance_id) the expectation is repeated for every run of an instance."""
-    both = F.concat(
-        *[
-            F.transform(
-                F.coalesce(F.col(c), F.array().cast("array<string>")),
-                lambda x, i, c=c: F.struct(F.lit(c).alias("category"), i.cast("bigint").alias("ord"), x.alias("name")),
-            )
-            for c in (F2P, P2P)
-        ]
-    )
+    def listed(category):
+        names = F.coalesce(F.col(category), F.array().cast("array<string>"))
+        return F.transform(
+            names,
+            lambda x, i: F.struct(
+                F.lit(category).alias("category"), i.cast("bigint").alias("ord"), x.alias("name")
+            ),
+        )
+
+    both = F.concat(listed(F2P), listed(P2P))
     rows = instances.select(*keys, both.alias("both"))
     if runs is not None:
         rows = runs.select("run_id", *keys).join(rows, list(keys))

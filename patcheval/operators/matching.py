@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from patcheval import constants as C
 from patcheval.functions import text as tx
 from patcheval.functions.keyed import salted_semi
+from patcheval.functions.stage import staged
 from patcheval.operators.named_logs import KEYS
 
 TIERS = ("exact", "normalised", "contains", "words")
@@ -102,34 +103,45 @@ def _own_pieces(text: Column) -> Column:
 
 
 def _containment(wanted: DataFrame, actual: DataFrame, keys) -> DataFrame:
-    """(keys, norm, position): the first actual name that contains, or is contained in, each wanted one."""
-    inner = wanted.select(*keys, F.lit("w").alias("side"), "norm", F.lit(None).cast("bigint").alias("position"))
-    outer = actual.select(*keys, F.lit("a").alias("side"), "norm", "position")
-    names = inner.unionByName(outer)
+    """(keys, norm, position): the first actual name that contains, or is contained in, each wanted one.
+
+    Pieces travel with the digest of their name only, so a long name is not repeated per piece; the
+    names are joined back before the check.
+    """
+    no_position = F.lit(None).cast("bigint").alias("position")
+    names = wanted.select(*keys, F.lit("w").alias("side"), "norm", no_position).unionByName(
+        actual.select(*keys, F.lit("a").alias("side"), "norm", "position")
+    ).withColumn("id", F.md5(F.col("norm").cast("binary")))
     other = F.when(F.col("side") == "w", "a").otherwise("w")
     # containers, found by every piece they hold
-    held = names.select(*keys, "side", "norm", "position", F.explode_outer(_all_pieces(F.col("norm"))).alias("piece"))
+    held = names.select(*keys, "side", F.col("id").alias("holder"), F.explode_outer(_all_pieces(F.col("norm"))).alias("piece"))
     frequency = held.groupBy(*keys, "side", "piece").agg(F.count(F.lit(1)).alias("holders"))
     # contained names, looking on the other side, by the rarest of their own pieces
     own = _own_pieces(F.col("norm"))
     needles = names.select(
-        *keys, other.alias("side"), F.col("norm").alias("needle"), F.col("position").alias("needle_position"),
-        F.size(own).alias("pieces"), F.explode_outer(own).alias("piece"),
+        *keys, other.alias("side"), F.col("id").alias("needle"), F.size(own).alias("pieces"),
+        F.explode_outer(own).alias("piece"),
     )
     chosen = (
         needles.join(frequency, [*keys, "side", "piece"])
-        .groupBy(*keys, "side", "needle", "needle_position", "pieces")
+        .groupBy(*keys, "side", "needle", "pieces")
         .agg(F.count(F.lit(1)).alias("present"), F.min(F.struct("holders", "piece")).alias("rarest"))
+        # a needle with a piece nobody holds is contained in nothing
         .where("present = pieces")
-        .select(*keys, "side", "needle", "needle_position", F.col("rarest.piece").alias("piece"))
+        .select(*keys, "side", "needle", F.col("rarest.piece").alias("piece"))
     )
-    pairs = chosen.join(held, [*keys, "side", "piece"]).where(F.contains("norm", "needle"))
-    wanted_is_needle = F.col("side") == "a"
+    candidates = chosen.join(held, [*keys, "side", "piece"]).select(*keys, "side", "needle", "holder")
+    holders = names.select(*keys, "side", F.col("id").alias("holder"), F.col("norm").alias("outer"), F.col("position").alias("outer_position"))
+    inner = names.select(*keys, other.alias("side"), F.col("id").alias("needle"), F.col("norm").alias("inner"), F.col("position").alias("inner_position"))
+    wanted_is_inner = F.col("side") == "a"
     return (
-        pairs.select(
+        candidates.join(holders, [*keys, "side", "holder"])
+        .join(inner, [*keys, "side", "needle"])
+        .where(F.contains("outer", "inner"))
+        .select(
             *keys,
-            F.when(wanted_is_needle, F.col("needle")).otherwise(F.col("norm")).alias("norm"),
-            F.when(wanted_is_needle, F.col("position")).otherwise(F.col("needle_position")).alias("position"),
+            F.when(wanted_is_inner, F.col("inner")).otherwise(F.col("outer")).alias("norm"),
+            F.coalesce("outer_position", "inner_position").alias("position"),
         )
         .groupBy(*keys, "norm")
         .agg(F.min("position").alias("position"))
@@ -184,8 +196,9 @@ def _partial_hits(leftover: DataFrame, actual: DataFrame, keys) -> DataFrame:
     """(keys, norm, tier, found) for the leftover expected names that have a partial match."""
     wanted = leftover.select(*keys, "norm").distinct()
     # only runs that still have something to find
-    pool = salted_semi(actual, wanted, keys, spread="name").withColumn(
-        "norm", tx.normalize_test_name(F.col("name"))
+    pool = staged(
+        salted_semi(actual, wanted, keys, spread="name").withColumn("norm", tx.normalize_test_name(F.col("name"))),
+        "match-pool",
     )
     firsts = pool.groupBy(*keys, "norm").agg(F.min("position").alias("position"))
     contained = _containment(wanted, firsts, keys).withColumn("score", F.lit(None).cast("double"))
@@ -231,7 +244,8 @@ def match_expected(
         )
     else:
         norm = F.when(hit.isNull(), tx.normalize_test_name(F.col("name")))
-        tagged = named.withColumn("norm", norm)
+        # read once below and many times in the partial tiers
+        tagged = staged(named.withColumn("norm", norm), "match-named")
         partial = _partial_hits(tagged.where("hit is null"), actual, keys).where(
             F.col("tier").isin(*[t for t in tiers if t in ("contains", "words")])
         )
