@@ -61,10 +61,10 @@ def _is_list(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("ARRAY")
 
 
-def instance_issues(raw: Column, strict: bool = False, accept_generated_ids: bool = False) -> Column:
-    """Array of issue codes for one instance given as JSON text. Codes are stable and listed in the
-    order: required fields, category, difficulty, id format, evaluation fields, list fields."""
-    v = F.try_parse_json(raw)
+def instance_issues(v: Column, strict: bool = False, accept_generated_ids: bool = False) -> Column:
+    """Array of issue codes for one instance given as a variant (null if its JSON is unreadable).
+    Codes are stable and listed in the order: required fields, category, difficulty, id format,
+    evaluation fields, list fields."""
 
     def field(name):
         return F.try_variant_get(v, f"$.{name}", "variant")
@@ -101,12 +101,27 @@ def instance_issues(raw: Column, strict: bool = False, accept_generated_ids: boo
 def validate_instances(
     df: DataFrame, raw: str = "raw", strict: bool = False, accept_generated_ids: bool = False
 ) -> DataFrame:
-    """Adds ``issues`` (codes) and ``is_valid``."""
-    return df.withColumn("issues", instance_issues(F.col(raw), strict, accept_generated_ids)).withColumn(
-        "is_valid", F.size("issues") == 0
+    """Adds ``issues`` (codes) and ``is_valid``. The JSON text is parsed once per row."""
+    return _with_issues(df, raw, lambda v: instance_issues(v, strict, accept_generated_ids))
+
+
+def _with_issues(df: DataFrame, raw: str, issues_of) -> DataFrame:
+    parsed = df.withColumn("_v", F.try_parse_json(F.col(raw)))
+    return (
+        parsed.withColumn("issues", issues_of(F.col("_v"))).drop("_v").withColumn("is_valid", F.size("issues") == 0)
     )
 
 
+def validate_grading_fields(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Adds ``issues`` (messages) and ``is_valid`` by the file-scoped rule."""
+    return _with_issues(df, raw, grading_issues)
+
+
+def validate_predictions(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Adds ``issues`` (messages) and ``is_valid`` for prediction records."""
+    return _with_issues(df, raw, prediction_issues)
+
+
 def invalid_instances(validated: DataFrame) -> DataFrame:
     return validated.where(~F.col("is_valid"))
 
@@ -127,10 +142,9 @@ def has_required_values(df: DataFrame) -> DataFrame:
     return df.where(condition)
 
 
-def grading_issues(raw: Column) -> Column:
-    """Issue messages of an instance for the file-scoped rule: six keys present, id a string, both
+def grading_issues(v: Column) -> Column:
+    """Issue messages of an instance (a variant) for the file-scoped rule: six keys present, id a string, both
     lists lists, fail_to_pass not empty."""
-    v = F.try_parse_json(raw)
     # FAIL_TO_PASS: null is a present key that is not a list
     fields = {n: F.try_variant_get(v, f"$.{n}", "variant") for n in C.GRADING_FIELDS}
     present = {n: f.isNotNull() for n, f in fields.items()}
@@ -144,10 +158,9 @@ def grading_issues(raw: Column) -> Column:
     return tx.codes_that_hold(*[(F.coalesce(cond, F.lit(False)), code) for cond, code in checks])
 
 
-def prediction_issues(raw: Column) -> Column:
-    """Issues of one prediction record: no instance_id, or neither model_patch nor patch. A record
+def prediction_issues(v: Column) -> Column:
+    """Issues of one prediction record (a variant): no instance_id, or neither model_patch nor patch. A record
     without id is not looked at further."""
-    v = F.try_parse_json(raw)
 
     def absent(name):
         return F.try_variant_get(v, f"$.{name}", "variant").isNull()

@@ -25,14 +25,18 @@ def _kind(doc: Column) -> Column:
     return F.left(F.ltrim(F.regexp_replace(F.left(doc, F.lit(4096)), r"\s+", " ")), F.lit(1))
 
 
+def _texts(variants: Column) -> Column:
+    return F.transform(variants, lambda v: F.to_json(v))
+
+
 def _elements(doc: Column, wrapper: str | None, single: bool) -> Column:
     """array<string>: the JSON text of each record of a document."""
-    as_list = F.transform(F.from_json(doc, "array<variant>"), F.to_json)
+    as_list = _texts(F.from_json(doc, "array<variant>"))
     out = F.when(_kind(doc) == "[", as_list)
     whole = F.try_parse_json(doc)
     is_object = F.schema_of_variant(whole).startswith("OBJECT")
     if wrapper:
-        inner = F.transform(F.try_variant_get(whole, f"$.{wrapper}", "array<variant>"), F.to_json)
+        inner = _texts(F.try_variant_get(whole, f"$.{wrapper}", "array<variant>"))
         out = out.when(is_object & inner.isNotNull(), inner)
     if single:
         out = out.when(is_object, F.array(F.to_json(whole)))
@@ -109,7 +113,7 @@ def read_raw_predictions(spark, path) -> DataFrame:
     values = F.map_values(F.from_json(doc, "map<string, variant>"))
     records = F.when(_kind(doc) == "[", F.from_json(doc, "array<variant>")).otherwise(values)
     return _documents(spark, path).select(
-        "file", F.posexplode_outer(F.transform(records, F.to_json)).alias("position", "raw")
+        "file", F.posexplode_outer(_texts(records)).alias("position", "raw")
     ).where("raw is not null")
 
 

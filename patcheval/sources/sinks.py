@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,16 +16,8 @@ def export_jsonl(df: DataFrame, path: str, mode: str = "error") -> str:
     return path
 
 
-def export_json(df: DataFrame, path: str, metadata: dict | None = None, mode: str = "error") -> str:
-    """JSON documents: every file is a list of records or, with ``metadata``, an object with
-    metadata and instances. Readers take the directory like one document per file."""
-    import json
-
-    start, end = ("[", "]")
-    if metadata is not None:
-        start = '{"metadata": ' + json.dumps(metadata, ensure_ascii=False) + ', "instances": ['
-        end = "]}"
-    records = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+def _export_documents(records: DataFrame, start: str, end: str, path: str, mode: str) -> str:
+    """Writes a column ``value`` of JSON texts so that every file is start, records, end."""
 
     def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # streams the batches of one task between the brackets of one document
@@ -43,6 +36,25 @@ def export_json(df: DataFrame, path: str, metadata: dict | None = None, mode: st
     return path
 
 
+def export_json(df: DataFrame, path: str, metadata: dict | None = None, mode: str = "error") -> str:
+    """JSON documents: every file is a list of records or, with ``metadata``, an object with
+    metadata and instances. Readers take the directory like one document per file."""
+    start, end = "[", "]"
+    if metadata is not None:
+        start = '{"metadata": ' + json.dumps(metadata, ensure_ascii=False) + ', "instances": ['
+        end = "]}"
+    records = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    return _export_documents(records, start, end, path, mode)
+
+
+def export_predictions_map(predictions: DataFrame, path: str, mode: str = "error") -> str:
+    """JSON documents of the form {"<instance_id>": "<patch>"}, a null patch as null."""
+    # to_json of a one-entry map, without its braces
+    entry = F.to_json(F.create_map("instance_id", "patch"), {"ignoreNullFields": "false"})
+    records = predictions.select(F.substring(entry, 2, F.length(entry) - 2).alias("value"))
+    return _export_documents(records, "{", "}", path, mode)
+
+
 def append_results(results: DataFrame, path: str) -> str:
     """Adds result rows to a JSON Lines directory."""
     return export_jsonl(results, path, mode="append")
@@ -61,8 +73,6 @@ def export_report_json(
 ) -> str:
     """One run's report as one nested document, cut into ordered text parts: the parts, put one
     behind the other in the order of their names, are the JSON document."""
-    import json
-
     run = F.col("run_id") == run_id
     metadata = {"timestamp": timestamp, "config": config or {}}
     counts = [c for c in ("total", "resolved", "unresolved", "errors", "skipped", "resolved_rate", "avg_duration", "total_duration") if c in summary.columns]
