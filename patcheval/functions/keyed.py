@@ -50,11 +50,13 @@ def competition_rank(df: DataFrame, value: str, out: str = "rank", parts=(), buc
     return df.join(ranks, [*parts, value])
 
 
-def salted_semi(df: DataFrame, wanted: DataFrame, keys, spread: str, salts: int = 32) -> DataFrame:
-    """Rows of ``df`` whose ``keys`` occur in ``wanted``. The rows of one key are spread over
+def salted_semi(
+    df: DataFrame, wanted: DataFrame, keys, spread: str, salts: int = 32, how: str = "left_semi"
+) -> DataFrame:
+    """Rows of ``df`` whose ``keys`` occur (or with left_anti do not occur) in ``wanted``. The rows of one key are spread over
     ``salts`` tasks by the value of ``spread``; ``wanted`` is repeated once per salt."""
     keys = list(keys)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     every = F.explode_outer(F.sequence(F.lit(0), F.lit(salts - 1)))
     spread_keys = wanted.select(*keys).distinct().withColumn("_salt", every)
-    return salted.join(spread_keys, [*keys, "_salt"], "left_semi").drop("_salt")
+    return salted.join(spread_keys, [*keys, "_salt"], how).drop("_salt")

@@ -19,7 +19,11 @@ BLANKS = (
     "           "
     "    　"
 )
-BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
+# the same characters as a class, and without the line end
+WS = r"[\s\x1c-\x1f]"
+INLINE_WS = r"[^\S\n]"
+NOT_WS = r"\S"
+BLANK_RUN = "(?U)" + WS + "+"
 
 # A mark put in front of a section so that split() can cut a text there. Control characters,
 # never printed by a test runner or found in source text.

@@ -12,22 +12,30 @@ from pyspark.sql import functions as F
 from patcheval.functions import text as tx
 from patcheval.operators.named_logs import KEYS
 
+WS, IN_WS = tx.WS, tx.INLINE_WS
+
 # fixed values: the shapes of header, result and summary lines
-HEADER = r"test/[^\s:]+\.test\.ts:$"
-HEADER_NAME = r"(?dU)^(test/[^\s:]+\.test\.ts):(?:\n|\z)"
-RESULT = r"[^\S\n]+(.+?)[^\S\n]+\.\.\.[^\S\n]+\[(PASS|FAIL|SKIP)\][^\S\n]+\((\d+\.?\d*)ms\)"
-ERROR = r"(?mdU)^[^\S\n]+Error:[^\S\n]+(.+)$"
-COUNTS = r"(?mdU)^[^\S\n]*(\d+)\s+pass\s*\n\s*(\d+)\s+fail\s*\n\s*(\d+)\s+skip"
-EXPECTS = r"(?dU)(\d+)\s+expect\(\)\s+calls"
-RAN = r"(?dU)Ran\s+\d+\s+tests?\s+in\s+(\d+\.?\d*)ms"
+HEADER = rf"test/[^{r"\s\x1c-\x1f"}:]+\.test\.ts:$"
+HEADER_NAME = rf"(?dU)^(test/[^{r"\s\x1c-\x1f"}:]+\.test\.ts):(?:\n|\z)"
+RESULT = rf"{IN_WS}+(.+?){IN_WS}+\.\.\.{IN_WS}+\[(PASS|FAIL|SKIP)\]{IN_WS}+\((\d+\.?\d*)ms\)"
+ERROR = rf"(?mdU)^{IN_WS}+Error:{IN_WS}+(.+)$"
+COUNTS = rf"(?mdU)^{IN_WS}*(\d+){WS}+pass{WS}*\n{WS}*(\d+){WS}+fail{WS}*\n{WS}*(\d+){WS}+skip"
+EXPECTS = rf"(?dU)(\d+){WS}+expect\(\){WS}+calls"
+RAN = rf"(?dU)Ran{WS}+\d+{WS}+tests?{WS}+in{WS}+(\d+\.?\d*)ms"
 
 
 def file_test_results(logs: DataFrame, keys=KEYS, output: str = "output") -> DataFrame:
     """(keys, position, file_path, name, status PASS|FAIL|SKIP, duration_ms, error_message)."""
-    section, piece = F.col("section_text"), F.col("piece")
-    result = "(?dU)^" + RESULT
-    status = F.regexp_extract(piece, result, 2)
-    error = F.nullif(F.regexp_extract(tx.after_first_line(piece), ERROR, 1), F.lit(""))
+    section = F.col("section_text")
+
+    def read(piece, piece_no):
+        # name, status and duration in one pass over the first line
+        first = F.substring_index(piece, "\n", 1)
+        parts = F.split(F.regexp_replace(first, f"(?dU)^{RESULT}.*$", "$1" + tx.CUT + "$2" + tx.CUT + "$3"), tx.CUT, -1)
+        return F.struct(piece_no.alias("no"), parts.alias("parts"), tx.after_first_line(piece).alias("below"))
+
+    at, parts = F.col("at"), F.col("at.parts")
+    error = F.nullif(F.regexp_extract(at["below"], ERROR, 1), F.lit(""))
     return (
         logs.select(
             *keys, F.posexplode_outer(tx.cut_before(F.col(output), HEADER)).alias("section", "section_text")
@@ -35,18 +43,17 @@ def file_test_results(logs: DataFrame, keys=KEYS, output: str = "output") -> Dat
         .select(
             *keys, "section",
             F.nullif(F.regexp_extract(section, HEADER_NAME, 1), F.lit("")).alias("file_path"),
-            tx.cut_before(section, RESULT).alias("pieces"),
+            F.explode_outer(F.transform(tx.cut_before(section, RESULT), read)).alias("at"),
         )
-        .select(*keys, "section", "file_path", F.posexplode_outer("pieces").alias("piece_no", "piece"))
-        .where(status != "")
+        .where(F.size(parts) == 3)
         .select(
             *keys,
-            (F.col("section").cast("bigint") * (1 << 31) + F.col("piece_no")).alias("position"),
+            (F.col("section").cast("bigint") * (1 << 31) + at["no"]).alias("position"),
             "file_path",
-            tx.strip(F.regexp_extract(piece, result, 1)).alias("name"),
-            status.alias("status"),
-            F.regexp_extract(piece, result, 3).cast("double").alias("duration_ms"),
-            F.when(status == "FAIL", error).alias("error_message"),
+            tx.strip(F.get(parts, F.lit(0))).alias("name"),
+            F.get(parts, F.lit(1)).alias("status"),
+            F.get(parts, F.lit(2)).cast("double").alias("duration_ms"),
+            F.when(F.get(parts, F.lit(1)) == "FAIL", error).alias("error_message"),
         )
     )
 

@@ -23,6 +23,7 @@ from patcheval.operators.named_logs import KEYS
 
 TIERS = ("exact", "normalised", "contains", "words")
 PIECE = 3
+SMALL = 128
 
 
 def _actual_lookup(actual: DataFrame, keys) -> DataFrame:
@@ -105,39 +106,43 @@ def _own_pieces(text: Column) -> Column:
 def _containment(wanted: DataFrame, actual: DataFrame, keys) -> DataFrame:
     """(keys, norm, position): the first actual name that contains, or is contained in, each wanted one.
 
-    Pieces travel with the digest of their name only, so a long name is not repeated per piece; the
-    names are joined back before the check.
+    Pieces are looked up by one hash of keys, side and piece, and names travel as two hashes, so rows
+    are a few numbers whatever the names are. Equal hashes of different pieces only bring more
+    candidates; the names are joined back and compared before anything counts.
     """
     no_position = F.lit(None).cast("bigint").alias("position")
     names = wanted.select(*keys, F.lit("w").alias("side"), "norm", no_position).unionByName(
         actual.select(*keys, F.lit("a").alias("side"), "norm", "position")
-    ).withColumn("id", F.md5(F.col("norm").cast("binary")))
+    ).withColumn("id", F.xxhash64(*keys, "side", "norm")).withColumn("id2", F.hash("norm"))
     other = F.when(F.col("side") == "w", "a").otherwise("w")
     # containers, found by every piece they hold
-    held = names.select(*keys, "side", F.col("id").alias("holder"), F.explode_outer(_all_pieces(F.col("norm"))).alias("piece"))
-    frequency = held.groupBy(*keys, "side", "piece").agg(F.count(F.lit(1)).alias("holders"))
+    held = names.select(
+        *keys, "side", F.col("id").alias("holder"), F.explode_outer(_all_pieces(F.col("norm"))).alias("piece")
+    ).select(F.xxhash64(*keys, "side", "piece").alias("at"), "holder")
+    frequency = held.groupBy("at").agg(F.count(F.lit(1)).alias("holders"))
     # contained names, looking on the other side, by the rarest of their own pieces
     own = _own_pieces(F.col("norm"))
     needles = names.select(
-        *keys, other.alias("side"), F.col("id").alias("needle"), F.size(own).alias("pieces"),
-        F.explode_outer(own).alias("piece"),
-    )
+        *keys, other.alias("side"), "id", "id2", F.size(own).alias("pieces"), F.explode_outer(own).alias("piece")
+    ).select("id", "id2", "pieces", F.xxhash64(*keys, "side", "piece").alias("at"))
     chosen = (
-        needles.join(frequency, [*keys, "side", "piece"])
-        .groupBy(*keys, "side", "needle", "pieces")
-        .agg(F.count(F.lit(1)).alias("present"), F.min(F.struct("holders", "piece")).alias("rarest"))
-        # a needle with a piece nobody holds is contained in nothing
+        needles.join(frequency, "at")
+        .groupBy("id", "id2", "pieces")
+        .agg(F.count(F.lit(1)).alias("present"), F.min_by("at", "holders").alias("at"))
+        # a name with a piece nobody holds is contained in nothing
         .where("present = pieces")
-        .select(*keys, "side", "needle", F.col("rarest.piece").alias("piece"))
     )
-    candidates = chosen.join(held, [*keys, "side", "piece"]).select(*keys, "side", "needle", "holder")
-    holders = names.select(*keys, "side", F.col("id").alias("holder"), F.col("norm").alias("outer"), F.col("position").alias("outer_position"))
-    inner = names.select(*keys, other.alias("side"), F.col("id").alias("needle"), F.col("norm").alias("inner"), F.col("position").alias("inner_position"))
+    candidates = chosen.join(held, "at").select("id", "id2", "holder")
+    inner = names.select("id", "id2", *[F.col(k).alias(f"i_{k}") for k in keys], F.col("norm").alias("inner"), F.col("position").alias("inner_position"))
+    outer = names.select(F.col("id").alias("holder"), *keys, "side", F.col("norm").alias("outer"), F.col("position").alias("outer_position"))
+    same_keys = F.lit(True)
+    for k in keys:
+        same_keys = same_keys & (F.col(k) == F.col(f"i_{k}"))
     wanted_is_inner = F.col("side") == "a"
     return (
-        candidates.join(holders, [*keys, "side", "holder"])
-        .join(inner, [*keys, "side", "needle"])
-        .where(F.contains("outer", "inner"))
+        candidates.join(inner, ["id", "id2"])
+        .join(outer, "holder")
+        .where(same_keys & F.contains("outer", "inner"))
         .select(
             *keys,
             F.when(wanted_is_inner, F.col("inner")).otherwise(F.col("outer")).alias("norm"),
@@ -192,8 +197,37 @@ def _word_overlap(wanted: DataFrame, actual: DataFrame, keys) -> DataFrame:
     )
 
 
-def _partial_hits(leftover: DataFrame, actual: DataFrame, keys) -> DataFrame:
-    """(keys, norm, tier, found) for the leftover expected names that have a partial match."""
+def _best_in(names: Column, wanted: Column, mine: Column) -> Column:
+    """struct(by_words, minus, position): best partial match of a name with the words ``mine`` in an
+    array of struct(position, norm, words), or null."""
+
+    def with_shared(x: Column) -> Column:
+        shared = F.size(F.array_intersect(mine, x["words"]))
+        contains = F.contains(x["norm"], wanted) | F.contains(wanted, x["norm"])
+        return F.struct(
+            x["position"].alias("position"), contains.alias("contains"), shared.alias("shared"),
+            (F.size(mine) + F.size(x["words"])).alias("sizes"),
+        )
+
+    def candidate(x: Column) -> Column:
+        # shared / (sizes - shared) > 1/2
+        by_words = ~x["contains"] & (3 * x["shared"] > x["sizes"])
+        minus = F.when(by_words, -(x["shared"] / (x["sizes"] - x["shared"]))).otherwise(0.0)
+        return F.when(
+            x["contains"] | by_words,
+            F.struct(by_words.alias("by_words"), minus.alias("minus"), x["position"].alias("position")),
+        )
+
+    found = F.transform(F.transform(names, with_shared), candidate)
+    return F.array_min(F.filter(found, lambda c: c.isNotNull()))
+
+
+def _partial_hits(leftover: DataFrame, actual: DataFrame, keys, small: int) -> DataFrame:
+    """(keys, norm, tier, found) for the leftover expected names that have a partial match.
+
+    Runs with at most ``small`` actual names, the usual case, are searched name by name in one row.
+    Larger ones go through pieces and words, however large they are. Both ways are exact.
+    """
     wanted = leftover.select(*keys, "norm").distinct()
     # only runs that still have something to find
     pool = staged(
@@ -201,13 +235,30 @@ def _partial_hits(leftover: DataFrame, actual: DataFrame, keys) -> DataFrame:
         "match-pool",
     )
     firsts = pool.groupBy(*keys, "norm").agg(F.min("position").alias("position"))
-    contained = _containment(wanted, firsts, keys).withColumn("score", F.lit(None).cast("double"))
-    overlapping = _word_overlap(wanted, firsts, keys)
-    candidate = F.struct(F.col("score").isNotNull().alias("by_words"), "position")
+    large = staged(firsts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select(*keys), "match-large")
+
+    words = tx.words_of(F.col("norm"))
+    in_small = salted_semi(firsts, large, keys, spread="norm", how="left_anti").withColumn("words", words)
+    # at most ``small`` names
+    listed = in_small.groupBy(*keys).agg(F.collect_list(F.struct("position", "norm", "words")).alias("names"))
+    from_small = (
+        wanted.withColumn("mine", words).join(listed, list(keys))
+        .select(*keys, "norm", F.explode(F.array(_best_in(F.col("names"), F.col("norm"), F.col("mine")))).alias("best"))
+        .where("best is not null")
+        .select(*keys, "norm", "best.by_words", "best.minus", "best.position")
+    )
+    big_wanted = salted_semi(wanted, large, keys, spread="norm")
+    big_firsts = salted_semi(firsts, large, keys, spread="norm")
+    contained = _containment(big_wanted, big_firsts, keys).select(
+        *keys, "norm", F.lit(False).alias("by_words"), F.lit(0.0).alias("minus"), "position"
+    )
+    overlapping = _word_overlap(big_wanted, big_firsts, keys).select(
+        *keys, "norm", F.lit(True).alias("by_words"), (-F.col("score")).alias("minus"), "position"
+    )
     best = (
-        contained.unionByName(overlapping)
+        from_small.unionByName(contained).unionByName(overlapping)
         .groupBy(*keys, "norm")
-        .agg(F.min(candidate).alias("best"))
+        .agg(F.min(F.struct("by_words", "minus", "position")).alias("best"))
         .select(
             *keys, "norm", F.col("best.position").alias("position"),
             F.when(F.col("best.by_words"), "words").otherwise("contains").alias("tier"),
@@ -224,6 +275,7 @@ def match_expected(
     keys=KEYS,
     require_pass: bool = True,
     tiers=TIERS,
+    small: int = SMALL,
 ) -> DataFrame:
     """One row per expected test: (keys, category, ord, name, tier, actual_name, actual_status,
     outcome, detail_status, detail_name).
@@ -246,7 +298,7 @@ def match_expected(
         norm = F.when(hit.isNull(), tx.normalize_test_name(F.col("name")))
         # read once below and many times in the partial tiers
         tagged = staged(named.withColumn("norm", norm), "match-named")
-        partial = _partial_hits(tagged.where("hit is null"), actual, keys).where(
+        partial = _partial_hits(tagged.where("hit is null"), actual, keys, small).where(
             F.col("tier").isin(*[t for t in tiers if t in ("contains", "words")])
         )
         partial = partial.select(

@@ -17,33 +17,65 @@ from patcheval.functions import text as tx
 KEYS = ("run_id", "instance_id")
 ALL_GLYPHS = C.PASS_GLYPHS + C.FAIL_GLYPHS + C.SKIP_GLYPHS
 
+WS, IN_WS, NOT_WS = tx.WS, tx.INLINE_WS, tx.NOT_WS
+
 # fixed values: the shapes of a test line
-TIMED = r"(?dU)^\s*[{glyphs}]\s+(.+?)(?:\s+\[([0-9.]+)\s*m?s\])?$"
-PASS_LINE = TIMED.format(glyphs=C.PASS_GLYPHS)
-FAIL_LINE = TIMED.format(glyphs=C.FAIL_GLYPHS)
-SKIP_LINE = rf"(?dU)^\s*[{C.SKIP_GLYPHS}]\s+(.+?)(?:\s+\(skipped\))?$"
-WORDED = r"(?diU)^\s*(.+?)\s+\.{{2,}}\s+(?:{words})(?:\s+\[([0-9.]+)\s*m?s\])?$"
-WORDED_PASS = WORDED.format(words="pass|passed|ok")
-WORDED_FAIL = WORDED.format(words="fail|failed|error")
-FAIL_HEAD = rf"(?dU)^\s*[{C.FAIL_GLYPHS}]\s+(.+?)(?:\s+\[.*\])?$"
-TOTAL_TIME = r"(?diU)(?:total\s+)?(?:time|duration)[:\s]+([0-9.]+)\s*(ms|s|m)"
-COUNTS = r"(?diU)(\d+)\s+pass(?:ed)?.*?(\d+)\s+fail(?:ed)?"
-ANY_GLYPH_LINE = rf"(?mdU)^[^\S\n]*[{ALL_GLYPHS}][^\S\n]+\S"
-GLYPH_LINE = rf"(?dU)^\s*[{ALL_GLYPHS}]\s+\S"
-FAIL_GLYPH_LINE = rf"(?dU)^\s*[{C.FAIL_GLYPHS}]\s+\S"
-WORDED_LINE = r"(?diU)\.{2,}\s+(?:pass|passed|ok|fail|failed|error)(?:\s+\[[0-9.]+\s*m?s\])?$"
+GLYPH_LINE = rf"(?dU)^{WS}*[{ALL_GLYPHS}]{WS}+{NOT_WS}"
+FAIL_GLYPH_LINE = rf"(?dU)^{WS}*[{C.FAIL_GLYPHS}]{WS}+{NOT_WS}"
+GLYPH_HEAD = rf"(?dU)^{WS}*[{ALL_GLYPHS}]{WS}+"
+TIME_TAIL = rf"(?dU)^[0-9.]+{WS}*m?s\]$"
+SKIPPED_TAIL = rf"(?dU){WS}+\(skipped\)$"
+WORDED_PASS = rf"(?diU)^(.*{NOT_WS}){WS}+\.{{2,}}{WS}+(?:pass|passed|ok)$"
+WORDED_FAIL = rf"(?diU)^(.*{NOT_WS}){WS}+\.{{2,}}{WS}+(?:fail|failed|error)$"
+WORDED_LINE = rf"(?diU)\.{WS}+(?:pass|passed|ok|fail|failed|error)(?:{WS}+\[[0-9.]+{WS}*m?s\])?$"
+FAIL_HEAD = rf"(?dU)^{WS}*[{C.FAIL_GLYPHS}]{WS}+(.+?)(?:{WS}+\[.*\])?$"
+TOTAL_TIME = rf"(?diU)(?:time|duration)(?:{WS}|:)+([0-9.]+){WS}*(ms|s|m)"
+COUNTS = rf"(?diU)(\d+){WS}+pass(?:ed)?.*?(\d+){WS}+fail(?:ed)?"
+ANY_GLYPH_LINE = rf"(?mdU)^{IN_WS}*[{ALL_GLYPHS}]{IN_WS}+{NOT_WS}"
 
 STATUS_OF_RANK = (C.PASSED, C.FAILED, C.SKIPPED)
 
 
-def _hit(rank: int, line: Column, pattern: str, timed: bool = True) -> Column:
-    name = tx.strip(F.regexp_extract(line, pattern, 1))
-    duration = F.lit(None).cast("double")
-    if timed:
-        raw = F.regexp_extract(line, pattern, 2)
-        duration = F.when(raw != "", tx.parse_duration(raw))
-    return F.struct(
-        F.lit(rank).alias("rank"), name.alias("name"), duration.alias("duration_ms")
+def _timed(text: Column) -> Column:
+    """struct(name, ms): a trailing ' [number ms]' taken off, if a name is left in front of it."""
+    tail = F.substring_index(text, "[", -1)
+    before = F.left(text, F.length(text) - F.length(tail) - 1)
+    name = tx.strip(before)
+    has_time = (
+        text.endswith("s]") & tail.rlike(TIME_TAIL) & (F.length(before) < F.length(text))
+        & (name != "") & before.rlike("(?U)" + WS + "$")
+    )
+    number = tx.parse_duration(F.regexp_extract(tail, "^([0-9.]+)", 1))
+    return F.when(has_time, F.struct(name.alias("name"), number.alias("ms"))).otherwise(
+        F.struct(text.alias("name"), F.lit(None).cast("double").alias("ms"))
+    )
+
+
+def _hits(rows: DataFrame) -> DataFrame:
+    """Adds ``hit`` struct(rank, name, duration_ms), null for a line that is no test. Glyph lines are
+    told by their first character, worded ones by their last word."""
+    line = F.col("line")
+    body = F.when(F.col("glyphs"), F.regexp_replace(line, GLYPH_HEAD, "")).otherwise(line)
+    glyph = F.when(F.col("glyphs"), F.left(tx.strip(line), F.lit(1)))
+    rows = rows.withColumn("body", body).withColumn("glyph", glyph).withColumn("timed", _timed(F.col("body")))
+    name, ms = F.col("timed.name"), F.col("timed.ms")
+
+    def hit(rank, name, ms):
+        return F.struct(F.lit(rank).alias("rank"), tx.strip(name).alias("name"), ms.alias("duration_ms"))
+
+    no_time = F.lit(None).cast("double")
+    by_glyph = (
+        F.when(F.contains(F.lit(C.PASS_GLYPHS), F.col("glyph")), hit(0, name, ms))
+        .when(F.contains(F.lit(C.FAIL_GLYPHS), F.col("glyph")), hit(1, name, ms))
+        .when(
+            F.contains(F.lit(C.SKIP_GLYPHS), F.col("glyph")),
+            hit(2, F.regexp_replace(F.col("body"), SKIPPED_TAIL, ""), no_time),
+        )
+    )
+    passed, failed = F.regexp_extract(name, WORDED_PASS, 1), F.regexp_extract(name, WORDED_FAIL, 1)
+    by_word = F.when(passed != "", hit(0, passed, ms)).when(failed != "", hit(1, failed, ms))
+    return rows.withColumn(
+        "hit", F.when(line.rlike(GLYPH_LINE) & F.col("glyphs"), by_glyph).when(~F.col("glyphs"), by_word)
     )
 
 
@@ -108,16 +140,6 @@ def _lines(logs: DataFrame, keys, output: str) -> DataFrame:
 def _events(logs: DataFrame, keys, output: str) -> DataFrame:
     """Rows (keys, name, rank, position, ...): test hits, error blocks and one row per log."""
     line = F.col("line")
-    hit = (
-        F.when(
-            F.col("glyphs"),
-            F.when(line.rlike(PASS_LINE), _hit(0, line, PASS_LINE))
-            .when(line.rlike(FAIL_LINE), _hit(1, line, FAIL_LINE))
-            .when(line.rlike(SKIP_LINE), _hit(2, line, SKIP_LINE, timed=False)),
-        )
-        .when(line.rlike(WORDED_PASS), _hit(0, line, WORDED_PASS))
-        .when(line.rlike(WORDED_FAIL), _hit(1, line, WORDED_FAIL))
-    )
     no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
     order = F.col("section").cast("bigint") * (1 << 30) + F.col("line_no")
 
@@ -143,8 +165,7 @@ def _events(logs: DataFrame, keys, output: str) -> DataFrame:
     )
     present = F.filter(F.array(test, block, log_row), lambda x: x.isNotNull())
     return (
-        _lines(logs, keys, output)
-        .withColumn("hit", hit)
+        _hits(_lines(logs, keys, output))
         .withColumn("order", order)
         .withColumn("event", F.explode_outer(present))
         .where("event is not null")

@@ -12,8 +12,8 @@ from patcheval.functions import text as tx
 FENCE = r"(?isU)```(?:diff|patch|unified)?\s*\n(.*?)```"
 PATCH_TAG = r"(?isU)<patch>\s*(.*?)\s*</patch>"
 DIFF_TAG = r"(?isU)<diff>\s*(.*?)\s*</diff>"
-RAW_START = r"(?dU)^(diff\s+--git|---\s+a/|Index:)"
-RAW_ALLOWED = r"(?dU)^(\s*$|#|//)"
+RAW_START = r"(?:diff\s+--git|---\s+a/|Index:)"
+RAW_ALLOWED = r"(?:\s*$|#|//)"
 HUNK = r"(?dU)^@@\s*-(\d+)(?:,(\d+))?\s+\+(\d+)(?:,(\d+))?\s*@@"
 
 STAGES = ("fence", "patch_tag", "diff_tag", "raw")
@@ -24,19 +24,28 @@ def _first_diff(response: Column, pattern: str) -> Column:
     return tx.strip(F.get(F.filter(blocks, tx.looks_like_diff), F.lit(0)))
 
 
-def _raw_diff(response: Column) -> Column:
-    """Lines from the first diff start up to the first line that belongs to no diff, once what was
-    taken so far reads as a diff."""
-    lines = tx.lines_of(response)
-    start = tx.first_index(lines, lambda x, i: x.rlike(RAW_START))
-    taken = tx.tail_from(lines, start)
-    shown = tx.first_index(taken, lambda x, i: tx.looks_like_diff(x))
-    foreign = lambda x, i: (
-        (i > shown) & (x != "") & ~tx.is_diff_line(x) & ~x.rlike(RAW_ALLOWED)
+def _with_raw_diff(df: DataFrame, response: str, wanted: Column) -> DataFrame:
+    """Adds ``_raw``: lines from the first diff start up to the first line that belongs to no diff,
+    once what was taken so far reads as a diff. Each step is a column of its own, so that nothing is
+    computed again per line."""
+    text = F.col(response)
+    starts = text.rlike("(?mdU)^(?:" + RAW_START + ")")
+    # the text from its first diff start on
+    rest = F.when(wanted & starts, F.regexp_replace(text, r"(?dmsU)\A.*?^(?=" + RAW_START + ")", ""))
+    foreign = "(?dU)^(?!" + "|".join([*tx.DIFF_LINE_STARTS, RAW_ALLOWED]) + ")"
+    return (
+        df.withColumn("_lines", tx.lines_of(rest))
+        .withColumn("_shown", tx.first_index(F.col("_lines"), lambda x, i: tx.looks_like_diff(x)))
+        .withColumn(
+            "_end",
+            tx.first_index(F.col("_lines"), lambda x, i: (i > F.col("_shown")) & (x != "") & x.rlike(foreign)),
+        )
+        .withColumn(
+            "_taken", F.array_join(F.slice("_lines", 1, F.coalesce("_end", F.size("_lines"))), "\n")
+        )
+        .withColumn("_raw", F.when(tx.looks_like_diff(F.col("_taken")), tx.strip(F.col("_taken"))))
+        .drop("_lines", "_shown", "_end", "_taken")
     )
-    end = F.coalesce(tx.first_index(taken, foreign), F.size(taken))
-    text = F.array_join(F.slice(taken, 1, end), "\n")
-    return F.when(start.isNotNull() & tx.looks_like_diff(text), tx.strip(text))
 
 
 def extract_patches(responses: DataFrame, response: str = "response") -> DataFrame:
@@ -46,7 +55,7 @@ def extract_patches(responses: DataFrame, response: str = "response") -> DataFra
         {"_fence": _first_diff(text, FENCE), "_patch_tag": _first_diff(text, PATCH_TAG), "_diff_tag": _first_diff(text, DIFF_TAG)}
     )
     tagged = F.coalesce("_fence", "_patch_tag", "_diff_tag")
-    found = found.withColumn("_raw", F.when(tagged.isNull(), _raw_diff(text)))
+    found = _with_raw_diff(found, response, tagged.isNull())
     stage = F.coalesce(*[F.when(F.col(f"_{s}").isNotNull(), F.lit(s)) for s in STAGES])
     return (
         found.withColumn("patch", F.coalesce(tagged, "_raw"))
@@ -131,38 +140,46 @@ def repair_patches(patches: DataFrame, patch: str = "patch") -> DataFrame:
 def _hunk_issues(patch: Column) -> Column:
     """Issues of single lines. Lines carry their number; the text is cut before each hunk line, and
     in a section everything up to a 'diff ' or 'index ' line is inside the hunk."""
-    numbered = F.array_join(F.transform(tx.lines_of(patch), lambda x, i: F.concat((i + 1).cast("string"), F.lit(":"), x)), "\n")
+    number = lambda x, i: F.concat((i + 1).cast("string"), F.lit(":"), x)
+    numbered = F.array_join(F.transform(tx.lines_of(patch), number), "\n")
     sections = tx.cut_before(numbered, r"\d+:@@")
 
-    def of_section(section, section_no):
+    def with_lines(section, section_no):
         lines = F.transform(
-            tx.lines_of(F.regexp_replace(section, r"\n\z", "")),
+            F.filter(tx.lines_of(section), lambda x: x != ""),
             lambda x: F.struct(
-                F.regexp_extract(x, r"^(\d+):", 1).try_cast("int").alias("no"),
-                F.regexp_replace(x, r"^\d+:", "").alias("text"),
+                F.substring_index(x, ":", 1).cast("int").alias("no"),
+                F.substring(x, F.instr(x, ":") + 1, F.length(x)).alias("text"),
             ),
         )
-        left = F.coalesce(
-            tx.first_index(lines, lambda x, i: x["text"].rlike("^(?:diff|index) ")), F.size(lines)
+        return F.struct((section_no > 0).alias("hunk"), lines.alias("lines"))
+
+    def with_end(s):
+        # where the hunk is left; an element of its own, so it is found once per section
+        left = tx.first_index(s["lines"], lambda x, i: x["text"].rlike("^(?:diff|index) "))
+        return F.struct(
+            F.when(s["hunk"], F.coalesce(left, F.size(s["lines"]))).otherwise(0).alias("end"), s["lines"].alias("lines")
+        )
+
+    def code_of(x, i, s):
+        text = x["text"]
+        return (
+            F.when(text.startswith("---"), F.when(~text.rlike(r"(?dU)^---\s+(a/\S+|/dev/null)"), "old_prefix"))
+            .when(text.startswith("+++"), F.when(~text.rlike(r"(?dU)^\+\+\+\s+(b/\S+|/dev/null)"), "new_prefix"))
+            .when(text.startswith("@@"), F.when(~text.rlike(HUNK), "hunk_header"))
+            .when((i < s["end"]) & (text != "") & ~F.left(text, F.lit(1)).isin("+", "-", " ", "\\"), "unexpected_line")
         )
-        in_hunk = section_no > 0
-        return F.filter(
-            F.transform(
-                lines,
-                lambda x, i: F.struct(
-                    x["no"].alias("line_no"),
-                    F.when(x["text"].startswith("---"), F.when(~x["text"].rlike(r"(?dU)^---\s+(a/\S+|/dev/null)"), "old_prefix"))
-                    .when(x["text"].startswith("+++"), F.when(~x["text"].rlike(r"(?dU)^\+\+\+\s+(b/\S+|/dev/null)"), "new_prefix"))
-                    .when(x["text"].startswith("@@"), F.when(~x["text"].rlike(HUNK), "hunk_header"))
-                    .when(in_hunk & (i < left) & x["text"].rlike(r"(?s)^[^+\- \\]"), "unexpected_line")
-                    .alias("code"),
-                    F.left(x["text"], F.lit(50)).alias("text"),
-                ),
+
+    def issues_of(s):
+        found = F.transform(
+            s["lines"],
+            lambda x, i: F.struct(
+                x["no"].alias("line_no"), code_of(x, i, s).alias("code"), F.left(x["text"], F.lit(50)).alias("text")
             ),
-            lambda s: s["code"].isNotNull(),
         )
+        return F.filter(found, lambda f: f["code"].isNotNull())
 
-    return F.flatten(F.transform(sections, of_section))
+    return F.flatten(F.transform(F.transform(F.transform(sections, with_lines), with_end), issues_of))
 
 
 def validate_patches(patches: DataFrame, patch: str = "patch") -> DataFrame:

@@ -205,7 +205,7 @@ def row_checksums(spark, sf):
     return checked.groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(word).alias("first_words"))
 
 
-_WORDS = ", ".join(f"CAST(sum(CAST(concat('0x', substr(c, {1 + 8 * i}, 8)) AS HUGEINT)) AS VARCHAR)" for i in range(8))
+_WORDS = ", ".join(f"CAST(sum(CAST(concat('0x', substr(c, {1 + 15 * i}, 15)) AS HUGEINT)) AS VARCHAR)" for i in range(4))
 
 
 @query(EVALUATED + f"""SELECT run_id, count(*) AS rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_WORDS})) AS run_checksum FROM (

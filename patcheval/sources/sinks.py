@@ -139,16 +139,16 @@ def row_checksums(df: DataFrame, columns=None) -> DataFrame:
 def run_checksums(checked: DataFrame, by=("run_id",), column: str = "checksum") -> DataFrame:
     """(by, rows, run_checksum): one checksum per run that does not depend on the order of rows.
 
-    The row checksums are summed in eight 32-bit words, which merges map-side in any order and keeps
+    The row checksums are summed in four words of 15 digits, which merges map-side in any order and keeps
     repeated rows apart from single ones; the run checksum is the sha-256 of the count and the sums.
     """
     words = [
-        F.conv(F.substring(column, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)
+        F.conv(F.substring(column, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)
     ]
     sums = checked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"), *[F.sum(w).alias(f"_w{i}") for i, w in enumerate(words)]
     )
-    text = F.concat_ws(":", F.col("rows").cast("string"), *[F.col(f"_w{i}").cast("string") for i in range(8)])
+    text = F.concat_ws(":", F.col("rows").cast("string"), *[F.col(f"_w{i}").cast("string") for i in range(4)])
     return sums.select(*by, "rows", F.sha2(text.cast("binary"), 256).alias("run_checksum"))
 
 

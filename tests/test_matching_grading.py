@@ -49,7 +49,8 @@ def random_name(rng):
     return rng.choice([text, text, text.upper(), f'"{text}"', "test " + text, f" {text} "])
 
 
-def test_match_like_brute_force(spark):
+@pytest.mark.parametrize("small", [0, 3, matching.SMALL])
+def test_match_like_brute_force(spark, small):
     rng = random.Random(11)
     expected, actual = [], []
     for i in range(300):
@@ -59,7 +60,7 @@ def test_match_like_brute_force(spark):
             actual.append(("r", str(i), p, n, rng.choice(["passed", "failed", "skipped"])))
         for o in range(rng.randint(1, 4)):
             expected.append(("r", str(i), rng.choice(["fail_to_pass", "pass_to_pass"]), o, random_name(rng)))
-    found = matching.match_expected(spark.createDataFrame(expected, EXPECTED), spark.createDataFrame(actual, ACTUAL))
+    found = matching.match_expected(spark.createDataFrame(expected, EXPECTED), spark.createDataFrame(actual, ACTUAL), small=small)
     got = {(r.instance_id, r.ord): r for r in found.collect()}
     assert len(got) == len(expected)
     tiers = set()
