@@ -247,17 +247,20 @@ def _partial_hits(leftover: DataFrame, actual: DataFrame, keys, small: int) -> D
         .where("best is not null")
         .select(*keys, "norm", "best.by_words", "best.minus", "best.position")
     )
-    big_wanted = salted_semi(wanted, large, keys, spread="norm")
-    big_firsts = salted_semi(firsts, large, keys, spread="norm")
-    contained = _containment(big_wanted, big_firsts, keys).select(
-        *keys, "norm", F.lit(False).alias("by_words"), F.lit(0.0).alias("minus"), "position"
-    )
-    overlapping = _word_overlap(big_wanted, big_firsts, keys).select(
-        *keys, "norm", F.lit(True).alias("by_words"), (-F.col("score")).alias("minus"), "position"
-    )
+    partial = from_small
+    # a look at one row of a staged table: most data has no large run, and needs no plan for them
+    if not large.isEmpty():
+        big_wanted = staged(salted_semi(wanted, large, keys, spread="norm"), "match-wanted")
+        big_firsts = staged(salted_semi(firsts, large, keys, spread="norm"), "match-firsts")
+        contained = _containment(big_wanted, big_firsts, keys).select(
+            *keys, "norm", F.lit(False).alias("by_words"), F.lit(0.0).alias("minus"), "position"
+        )
+        overlapping = _word_overlap(big_wanted, big_firsts, keys).select(
+            *keys, "norm", F.lit(True).alias("by_words"), (-F.col("score")).alias("minus"), "position"
+        )
+        partial = partial.unionByName(contained).unionByName(overlapping)
     best = (
-        from_small.unionByName(contained).unionByName(overlapping)
-        .groupBy(*keys, "norm")
+        partial.groupBy(*keys, "norm")
         .agg(F.min(F.struct("by_words", "minus", "position")).alias("best"))
         .select(
             *keys, "norm", F.col("best.position").alias("position"),
