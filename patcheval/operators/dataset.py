@@ -134,6 +134,12 @@ def all_valid(validated: DataFrame) -> DataFrame:
     )
 
 
+def issue_rows(validated: DataFrame, keys) -> DataFrame:
+    """(keys, code): a row per issue."""
+    # outer, so that Spark adds no filter that computes the issues a second time
+    return validated.select(*keys, F.explode_outer("issues").alias("code")).where("code is not null")
+
+
 def has_required_values(df: DataFrame) -> DataFrame:
     """Rows whose required fields are all given and not empty; the others are rejected."""
     condition = F.lit(True)
@@ -174,12 +180,9 @@ def prediction_issues(v: Column) -> Column:
 
 def first_issues(issues: DataFrame, order, limit: int = 10) -> DataFrame:
     """The first issues in ``order`` with ``more``, the number left out."""
-    total = issues.agg(F.count(F.lit(1)).alias("_total"))
+    total = issues.agg(F.count(F.lit(1))).scalar()
     shown = issues.orderBy(*order).limit(limit)
-    # one row of totals joined to at most ``limit`` rows
-    return shown.join(total, F.lit(True)).withColumn(
-        "more", F.greatest(F.col("_total") - limit, F.lit(0).cast("bigint"))
-    ).drop("_total")
+    return shown.withColumn("more", F.greatest(total - limit, F.lit(0).cast("bigint")))
 
 
 def task_issues(tasks: DataFrame) -> DataFrame:
@@ -302,16 +305,19 @@ def dataset_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def load_counts(df: DataFrame, order, raw: str = "raw") -> DataFrame:
+def load_counts(df: DataFrame, raw: str = "raw") -> DataFrame:
     """One row: read, rejected (invalid), duplicates, loaded."""
     checked = validate_instances(df, raw)
-    valid = checked.where("is_valid")
-    distinct_ids = valid.select("instance_id").distinct().agg(F.count(F.lit(1)).alias("loaded"))
-    totals = checked.agg(
-        F.count(F.lit(1)).alias("read"), F.count_if(~F.col("is_valid")).alias("rejected")
+    # one merge per id, then one over ids; rejected rows travel as a count under no id
+    per_id = checked.groupBy(F.when(F.col("is_valid"), F.col("instance_id")).alias("id"), "is_valid").agg(
+        F.count(F.lit(1)).alias("n")
     )
-    return totals.join(distinct_ids, F.lit(True)).select(
-        "read", "rejected", (F.col("read") - F.col("rejected") - F.col("loaded")).alias("duplicates"), "loaded"
+    valid = F.col("is_valid")
+    return per_id.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("read"),
+        F.coalesce(F.sum(F.when(~valid, F.col("n"))), F.lit(0)).alias("rejected"),
+        F.coalesce(F.sum(F.when(valid, F.col("n") - 1)), F.lit(0)).alias("duplicates"),
+        F.count_if(valid).alias("loaded"),
     )
 
 

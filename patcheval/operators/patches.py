@@ -208,12 +208,15 @@ def validate_patches(patches: DataFrame, patch: str = "patch") -> DataFrame:
 
 
 def patch_issue_rows(validated: DataFrame, keys) -> DataFrame:
-    return validated.select(*keys, F.explode("issues").alias("issue")).select(*keys, "issue.*")
+    # outer, so that Spark adds no filter that computes the issues a second time
+    rows = validated.select(*keys, F.explode_outer("issues").alias("issue")).where("issue is not null")
+    return rows.select(*keys, "issue.*")
 
 
 def issue_histogram(validated: DataFrame, by=("model",)) -> DataFrame:
     return (
-        validated.select(*by, F.explode("issues.code").alias("code"))
+        validated.select(*by, F.explode_outer("issues.code").alias("code"))
+        .where("code is not null")
         .groupBy(*by, "code")
         .agg(F.count(F.lit(1)).alias("issues"))
     )

@@ -97,19 +97,14 @@ PAIRED = ("total", "resolved", "unresolved", "errors", "skipped", "resolved_rate
 def comparison(summaries: DataFrame, changes: DataFrame, base: str, other: str) -> DataFrame:
     """One row: paired metrics of two runs, their rate difference and the counts of changes."""
 
-    def side(run, suffix):
-        return summaries.where(F.col("run_id") == run).select(
-            *[F.col(c).alias(f"{c}_{suffix}") for c in PAIRED]
-        )
-
+    run = F.col("run_id")
+    paired = summaries.where(run.isin(base, other)).agg(
+        *[F.max(F.when(run == r, F.col(c))).alias(f"{c}_{side}") for c in PAIRED for r, side in ((base, "base"), (other, "other"))]
+    )
     kinds = {"improvement": "improvements", "regression": "regressions", "unchanged": "unchanged_count"}
-    counted = changes.agg(*[F.count_if(F.col("change") == k).alias(v) for k, v in kinds.items()])
-    # three one-row tables
-    return (
-        side(base, "base")
-        .join(side(other, "other"), F.lit(True))
-        .join(counted, F.lit(True))
-        .withColumn("resolved_rate_diff", F.col("resolved_rate_other") - F.col("resolved_rate_base"))
+    counts = {v: changes.agg(F.count_if(F.col("change") == k)).scalar() for k, v in kinds.items()}
+    return paired.withColumns(
+        {**counts, "resolved_rate_diff": F.col("resolved_rate_other") - F.col("resolved_rate_base")}
     )
 
 

@@ -55,14 +55,14 @@ def all_instances_valid(spark, sf):
         SELECT o_orderkey, code FROM (SELECT o_orderkey, unnest(string_split(issues, '|')) AS code FROM issued WHERE issues <> ''))
     SELECT o_orderkey, code, greatest((SELECT count(*) FROM numbered) - 10, 0) AS more FROM numbered ORDER BY o_orderkey, code LIMIT 10""")
 def first_ten_issues(spark, sf):
-    rows = ds.validate_instances(S.order_raw(spark, sf)).select("o_orderkey", F.explode("issues").alias("code"))
+    rows = ds.issue_rows(ds.validate_instances(S.order_raw(spark, sf)), ["o_orderkey"])
     return ds.first_issues(rows, ["o_orderkey", "code"])
 
 
 @query(ISSUES + ", codes AS (SELECT unnest(string_split(strict_issues, '|')) AS code FROM issued WHERE strict_issues <> '') SELECT code, count(*) AS instances FROM codes GROUP BY code")
 def issue_counts(spark, sf):
     rows = ds.validate_instances(S.order_raw(spark, sf), strict=True)
-    return rows.select(F.explode("issues").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("instances"))
+    return ds.issue_rows(rows, []).groupBy("code").agg(F.count(F.lit(1)).alias("instances"))
 
 
 # a record for the file-scoped rule per line item, each with one of the flaws looked for
@@ -184,7 +184,7 @@ def dataset_stats(spark, sf):
     SELECT (SELECT count(*) FROM issued) AS read, (SELECT count(*) FROM issued WHERE issues <> '') AS rejected,
            count(*) - count(DISTINCT instance_id) AS duplicates, count(DISTINCT instance_id) AS loaded FROM valid""")
 def load_counts(spark, sf):
-    return ds.load_counts(S.order_raw(spark, sf), ["o_orderkey"])
+    return ds.load_counts(S.order_raw(spark, sf))
 
 
 # customers order often: their id as instance id makes duplicates

@@ -85,11 +85,11 @@ def export_report_json(
     )
     rows = instances.where(run).drop("run_id")
     # the separator goes in front of every record but the smallest one
-    first = rows.agg(F.min("instance_id").alias("first_id"))
+    first = rows.agg(F.min("instance_id")).scalar()
     record = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
-    body = rows.join(F.broadcast(first), F.lit(True)).select(
+    body = rows.select(
         F.lit(1).alias("part"), "instance_id",
-        F.when(F.col("instance_id") == F.col("first_id"), record).otherwise(F.concat(F.lit(","), record)).alias("value"),
+        F.when(F.col("instance_id") == first, record).otherwise(F.concat(F.lit(","), record)).alias("value"),
     )
     foot = summary.where(run).select(F.lit(2).alias("part"), F.lit("").alias("instance_id"), F.lit("]}").alias("value"))
     ordered = head.unionByName(body).unionByName(foot).orderBy("part", "instance_id")
