@@ -15,7 +15,7 @@ def _last_count(log: Column, word: str) -> Column:
     """In the last line that has one: the first whole-number token whose next token contains word."""
     pattern = rf"(?iU)(?<!\S)([0-9]+)\s+[^\s]*{word}"
     lines = F.filter(tx.lines_of(log), lambda x: x.rlike(pattern))
-    last = F.get(lines, F.size(lines) - 1)
+    last = F.try_element_at(lines, F.lit(-1))
     return F.coalesce(F.regexp_extract(last, pattern, 1).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 

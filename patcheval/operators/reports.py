@@ -15,7 +15,7 @@ from patcheval.functions.keyed import competition_rank, last_per_key
 
 
 def report_instances(
-    evaluations: DataFrame, include_test_output: bool = True, max_output_length: int = 10000
+    evaluations: DataFrame, include_test_output: bool = True, max_output_length: int | None = 10000
 ) -> DataFrame:
     """Instance rows of a report. Needs (run_id, instance_id, status) and fills in the rest."""
     have = set(evaluations.columns)
@@ -25,7 +25,9 @@ def report_instances(
         return value if default is None else F.coalesce(value, F.lit(default).cast(kind))
 
     log = column("output", "string")
-    shown = tx.truncate_log(F.when(F.length(log) > 0, log), max_output_length)
+    shown = F.when(F.length(log) > 0, log)
+    if max_output_length is not None:
+        shown = tx.truncate_log(shown, max_output_length)
     return evaluations.select(
         "run_id", "instance_id", "status",
         column("patch_applied", "boolean", False).alias("patch_applied"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patcheval.functions import text as tx
 from patcheval.functions.stage import staged
 from patcheval.operators import count_logs as counts
 from patcheval.operators import file_logs, grading, matching, named_logs
@@ -19,37 +20,42 @@ def evaluate_counts(
     ids: DataFrame | None = None,
     error: str | None = None,
     duration: str | None = None,
+    output_limit: int | None = None,
 ) -> DataFrame:
     """Evaluations by the counts rule: (run_id, instance_id, status, patch_applied, passed, failed,
     skipped, total, duration, error_message, output).
 
     ``instances`` has a row per run and instance. Without a prediction the status is skipped; a
-    prediction without a log has run nothing and is unresolved.
+    prediction without a log has run nothing and is unresolved. ``output_limit`` cuts the kept log
+    before it is joined; then call ``report_instances`` with ``max_output_length=None``.
     """
     if ids is not None:
         instances = instances.join(ids.select("instance_id").distinct(), "instance_id", "left_semi")
     keys = list(RUN_KEYS)
     graded = grading.attach_predictions(instances.select(*keys), predictions, keys)
-    kept = [c for c in (error, duration) if c]
-    read = logs.select(*keys, "output", *kept)
-    rows = graded.join(read, keys, "left").withColumn("output", F.coalesce("output", F.lit("")))
-    # counting is a projection, so it is applied to the joined rows and needs no second join
-    extra = ["has_prediction", "error_message", "output", *([duration] if duration else [])]
-    counted = counts.count_logs(rows, (*keys, *extra), "output", error)
+    # counting is a projection of the log, so it comes before the join: numbers are shuffled, not
+    # logs, unless the log itself is asked for
+    log = F.col("output") if output_limit is None else tx.truncate_log(F.col("output"), output_limit)
+    shown = logs.withColumn("_shown", log)
+    kept = ["_shown", *([duration] if duration else [])]
+    counted = counts.count_logs(shown, (*keys, *kept), "output", error).withColumn(
+        "_status", grading.count_status(F.col("passed"), F.col("failed"), F.col("error"))
+    )
+    rows = graded.join(counted, keys, "left")
     skipped = ~F.col("has_prediction")
-    status = grading.count_status(F.col("passed"), F.col("failed"), F.col("error"))
 
     def unless_skipped(name):
-        return F.when(skipped, F.lit(0)).otherwise(F.col(name)).cast("bigint").alias(name)
+        return F.when(skipped, F.lit(0)).otherwise(F.coalesce(name, F.lit(0))).cast("bigint").alias(name)
 
-    return counted.select(
-        *keys, F.when(skipped, "skipped").otherwise(status).alias("status"),
+    lasted = F.coalesce(F.col(duration), F.lit(0.0)) if duration else F.lit(0.0)
+    return rows.select(
+        *keys,
+        F.when(skipped, "skipped").otherwise(F.coalesce("_status", F.lit("unresolved"))).alias("status"),
         F.col("has_prediction").alias("patch_applied"),
         *[unless_skipped(c) for c in ("passed", "failed", "skipped", "total")],
-        F.when(skipped, 0.0).otherwise(F.coalesce(F.col(duration) if duration else F.lit(None), F.lit(0.0)))
-        .cast("double").alias("duration"),
+        F.when(skipped, 0.0).otherwise(lasted).cast("double").alias("duration"),
         F.coalesce("error_message", "error").alias("error_message"),
-        F.when(~skipped, F.col("output")).alias("output"),
+        F.when(~skipped, F.col("_shown")).alias("output"),
     )
 
 

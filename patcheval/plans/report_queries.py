@@ -14,9 +14,10 @@ from patcheval.sources import sinks
 EVALUATED = f"WITH {S.EVALUATED_SQL}"
 
 
-def evaluations(spark, sf):
+def evaluations(spark, sf, output_limit=None):
     return evaluate_counts(
-        S.run_instances(spark, sf), S.predictions(spark, sf), S.count_logs(spark, sf), error="error", duration="duration"
+        S.run_instances(spark, sf), S.predictions(spark, sf), S.count_logs(spark, sf), error="error", duration="duration",
+        output_limit=output_limit,
     )
 
 
@@ -60,7 +61,7 @@ def run_report(spark, sf):
                ELSE concat('9 passed so far', chr(10), p, ' passed, ', f, ' Failed', chr(10), s, ' skipped (', p + f + s, ' tests)') END AS whole FROM counted))
        USING (run_id, instance_id)""")
 def report_instances(spark, sf):
-    rows = reports.report_instances(evaluations(spark, sf), max_output_length=41)
+    rows = reports.report_instances(evaluations(spark, sf, output_limit=41), max_output_length=None)
     return rows.select("run_id", "instance_id", "status", "tests_passed", "tests_failed", "tests_skipped", "duration", "test_output")
 
 
