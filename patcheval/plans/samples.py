@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patcheval.functions.stage import spread
+
 MODELS = (
     "gpt-4-0613", "gpt-4-turbo-x", "gpt-4-turbo-preview-y", "GPT-4o-2024", "gpt-4o-mini", "gpt-3.5-turbo-16k",
     "claude-3-opus-1", "claude-3-sonnet-1", "claude-3-haiku-1", "claude-3-5-sonnet-2", "claude-opus-4-5-20251101",
@@ -16,7 +18,8 @@ MODELS = (
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 # --- documents as logs: every line of a text is a test -------------------------------------
