@@ -58,7 +58,7 @@ def _variants(segment: Column, width: int, tag: Column) -> Column:
     on), the place of the bit left out, and the rest of the segment."""
 
     def one(p):
-        mask = F.when(p == width, F.lit(0).cast("long")).otherwise(F.shiftleft(F.lit(1).cast("long"), p))
+        mask = F.when(p == width, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), p))
         key = F.shiftleft(tag.cast("long"), 40).bitwiseOR(F.shiftleft(p.cast("long"), width))
         bit = F.when(p == width, 2).when(segment.bitwiseAND(mask) != 0, 1).otherwise(0)
         return F.struct(key.bitwiseOR(segment.bitwiseAND(F.bitwise_not(mask))).alias("key"), bit.alias("bit"))
