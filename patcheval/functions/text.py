@@ -25,9 +25,10 @@ INLINE_WS = r"[^\S\n]"
 NOT_WS = r"\S"
 BLANK_RUN = "(?U)" + WS + "+"
 
-# A mark put in front of a section so that split() can cut a text there. Control characters,
-# never printed by a test runner or found in source text.
+# A mark put in front of a section so that split() can cut a text there. The first of its characters
+# is escaped in the text, so the text itself never holds the mark.
 CUT = "\x01\x02"
+_ESCAPED = "\x01\x03"
 
 
 def strip(col: Column) -> Column:
@@ -39,18 +40,46 @@ def lines_of(col: Column) -> Column:
     return F.split(col, "\n", -1)
 
 
+def escaped(col: Column) -> Column:
+    """A text into which CUT may be put: ``cut`` takes it apart there and gives the pieces as they were."""
+    return F.replace(col, F.lit("\x01"), F.lit(_ESCAPED))
+
+
+def cut(marked: Column) -> Column:
+    return F.transform(F.split(marked, CUT, -1), lambda p: F.replace(p, F.lit(_ESCAPED), F.lit("\x01")))
+
+
 def cut_before(col: Column, line_pattern: str) -> Column:
     """Array of sections of a text; each section but the first starts where ``line_pattern``
     (a pattern for the start of a line) matches. Linear in the text, no nested repetition."""
-    marked = F.regexp_replace(col, f"(?mdU)^(?={line_pattern})", CUT)
-    return F.split(marked, CUT, -1)
+    return cut(F.regexp_replace(escaped(col), f"(?mdU)^(?={line_pattern})", CUT))
 
 
 def cut_at_outdent(col: Column) -> Column:
     """Array of sections of a text, cut before each unindented line that follows a non-blank
     line: an unindented head with everything that hangs below it."""
-    marked = F.regexp_replace(col, r"(?dU)(\S[^\S\n]*+\n)(?=\S)", "$1" + CUT)
-    return F.split(marked, CUT, -1)
+    return cut(F.regexp_replace(escaped(col), r"(?dU)(\S[^\S\n]*+\n)(?=\S)", "$1" + CUT))
+
+
+_STRICT = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
+
+
+def json_fields(text: Column, fields: str) -> Column:
+    """struct of ``fields`` of a text that is one JSON object and nothing else; null of any other text.
+
+    A JSON reader stops behind the first value. What follows it shows up when the text is read as the only
+    element of a list and as the only field of an object: whatever closes one of them early breaks the other.
+    """
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{fields}>>", _STRICT)
+    inner = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v struct<{fields}>, _bad string", _STRICT)
+    return F.when((F.size(listed) == 1) & inner["_bad"].isNull(), F.get(listed, F.lit(0)))
+
+
+def json_value(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else; null of any other text."""
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<variant>", _STRICT)
+    inner = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v variant, _bad string", _STRICT)
+    return F.when((F.size(listed) == 1) & inner["_bad"].isNull(), F.get(listed, F.lit(0)))
 
 
 def after_first_line(col: Column) -> Column:

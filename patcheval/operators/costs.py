@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,9 +25,10 @@ def count_tokens(
         return df.withColumn(out, estimated_tokens(F.col(column)))
 
     @F.pandas_udf("bigint")
-    def counted(batches: "pd.Series") -> "pd.Series":
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder()
-        return batches.fillna("").map(lambda t: len(encode(t)))
+        for batch in batches:
+            yield batch.fillna("").map(lambda t: len(encode(t))).astype("int64")
 
     return df.withColumn(out, counted(F.col(column)))
 

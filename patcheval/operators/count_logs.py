@@ -20,17 +20,18 @@ def _last_count(log: Column, word: str) -> Column:
 
 
 def count_logs(logs: DataFrame, keys=KEYS, output: str = "output", error: str | None = None) -> DataFrame:
-    """(keys, passed, failed, skipped, total, error). Any JSON that can be read between the first
-    '{' and the last '}' is used, whatever its keys; only unreadable JSON falls back to the text."""
+    """(keys, passed, failed, skipped, total, error). One JSON object between the first '{' and the last '}'
+    is used, whatever its keys; anything else there, two objects too, falls back to the text."""
     log = F.col(output)
     start = F.instr(log, "{")
     end = F.length(log) - F.instr(F.reverse(log), "}") + 1
     has_braces = (start > 0) & (F.instr(F.reverse(log), "}") > 0) & (end >= start)
-    parsed = F.when(has_braces, F.try_parse_json(F.substring(log, start, end - start + 1)))
+    counts = "passed variant, failed variant, skipped variant, total variant"
+    parsed = F.when(has_braces, tx.json_fields(F.substring(log, start, end - start + 1), counts))
     error_text = F.col(error) if error else F.lit(None).cast("string")
 
     def from_json(key):
-        return F.try_variant_get(F.col("_json"), f"$.{key}", "bigint")
+        return F.try_variant_get(F.col(f"_json.{key}"), "$", "bigint")
 
     rows = logs.withColumn("_json", parsed)
     is_json = F.col("_json").isNotNull()

@@ -106,7 +106,7 @@ def validate_instances(
 
 
 def _with_issues(df: DataFrame, raw: str, issues_of) -> DataFrame:
-    parsed = df.withColumn("_v", F.try_parse_json(F.col(raw)))
+    parsed = df.withColumn("_v", tx.json_value(F.col(raw)))
     return (
         parsed.withColumn("issues", issues_of(F.col("_v"))).drop("_v").withColumn("is_valid", F.size("issues") == 0)
     )

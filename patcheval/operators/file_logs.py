@@ -17,7 +17,8 @@ WS, IN_WS = tx.WS, tx.INLINE_WS
 # fixed values: the shapes of header, result and summary lines
 HEADER = rf"test/[^{r"\s\x1c-\x1f"}:]+\.test\.ts:$"
 HEADER_NAME = rf"(?dU)^(test/[^{r"\s\x1c-\x1f"}:]+\.test\.ts):(?:\n|\z)"
-RESULT = rf"{IN_WS}+(.+?){IN_WS}+\.\.\.{IN_WS}+\[(PASS|FAIL|SKIP)\]{IN_WS}+\((\d+\.?\d*)ms\)"
+# a name starts and ends with a character that is not blank, so blanks are tried once
+RESULT = rf"{IN_WS}++(?=\S)(.+?)(?<=\S){IN_WS}++\.\.\.{IN_WS}+\[(PASS|FAIL|SKIP)\]{IN_WS}+\((\d+\.?\d*)ms\)"
 ERROR = rf"(?mdU)^{IN_WS}+Error:{IN_WS}+(.+)$"
 COUNTS = rf"(?mdU)^{IN_WS}*(\d+){WS}+pass{WS}*\n{WS}*(\d+){WS}+fail{WS}*\n{WS}*(\d+){WS}+skip"
 EXPECTS = rf"(?dU)(\d+){WS}+expect\(\){WS}+calls"
@@ -31,7 +32,7 @@ def file_test_results(logs: DataFrame, keys=KEYS, output: str = "output") -> Dat
     def read(piece, piece_no):
         # name, status and duration in one pass over the first line
         first = F.substring_index(piece, "\n", 1)
-        parts = F.split(F.regexp_replace(first, f"(?dU)^{RESULT}.*$", "$1" + tx.CUT + "$2" + tx.CUT + "$3"), tx.CUT, -1)
+        parts = tx.cut(F.regexp_replace(tx.escaped(first), f"(?dU)^{RESULT}.*$", "$1" + tx.CUT + "$2" + tx.CUT + "$3"))
         return F.struct(piece_no.alias("no"), parts.alias("parts"), tx.after_first_line(piece).alias("below"))
 
     at, parts = F.col("at"), F.col("at.parts")

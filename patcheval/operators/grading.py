@@ -189,11 +189,16 @@ def attach_predictions(
     predictions: DataFrame,
     keys=("instance_id",),
     message: str = C.NO_PREDICTION,
+    position: str | None = None,
 ) -> DataFrame:
     """Every instance with its prediction. What counts is that a prediction row exists, not what is
-    in it: without one the status is 'skipped' and the message is set."""
+    in it: without one the status is 'skipped' and the message is set. Of several predictions the last by ``position``
+    counts (by default the column of that name; without it the greatest patch, so that one is taken for certain)."""
     keys = list(keys)
-    given = predictions.select(*keys, "patch", F.lit(True).alias("has_prediction"))
+    if position is None and "position" in predictions.columns:
+        position = "position"
+    order = F.struct(*[F.col(c) for c in ([position] if position else [])], F.col("patch").isNotNull(), F.col("patch"))
+    given = predictions.groupBy(*keys).agg(F.max_by("patch", order).alias("patch")).withColumn("has_prediction", F.lit(True))
     has = F.coalesce("has_prediction", F.lit(False))
     return (
         instances.join(given, keys, "left")

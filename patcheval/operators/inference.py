@@ -135,7 +135,9 @@ def pending_instances(
             done = done.where("success")
         instances = instances.join(done.select(key).distinct(), key, "left_anti")
     if max_instances:
-        instances = instances.orderBy(*order).limit(max_instances)
+        # the cap leaves one partition; the calls that follow are dealt out again
+        tasks = int(instances.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        instances = instances.orderBy(*order).limit(max_instances).repartition(min(max_instances, tasks))
     return instances
 
 

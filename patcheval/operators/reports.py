@@ -68,6 +68,33 @@ def _rank(status: Column) -> Column:
     return out.otherwise(0)
 
 
+def _changes(both: DataFrame) -> DataFrame:
+    before, after = _rank(F.col("from_status")), _rank(F.col("to_status"))
+    change = (
+        F.when(F.col("to_status").isNull(), "only_in_base")
+        .when(F.col("from_status").isNull(), "only_in_other")
+        .when(after > before, "improvement")
+        .when(after < before, "regression")
+        .otherwise("unchanged")
+    )
+    return both.withColumn("change", change)
+
+
+def run_changes(
+    evaluations: DataFrame, base: str, other: str, position: str | None = None, keep_one_sided: bool = False
+) -> DataFrame:
+    """``status_changes`` of two runs of one table, which is read once: each instance is one row of an aggregation."""
+    order = F.struct(F.col(position) if position else F.lit(0), F.col("status"))
+    both = (
+        evaluations.where(F.col("run_id").isin(base, other)).groupBy("instance_id")
+        .agg(*[F.max(F.when(F.col("run_id") == r, F.struct(order.alias("o"), F.col("status")))).alias(c) for r, c in ((base, "_b"), (other, "_o"))])
+        .select("instance_id", F.col("_b.status").alias("from_status"), F.col("_o.status").alias("to_status"))
+    )
+    if not keep_one_sided:
+        both = both.where("from_status is not null and to_status is not null")
+    return _changes(both)
+
+
 def status_changes(
     base: DataFrame, other: DataFrame, position: str | None = None, keep_one_sided: bool = False
 ) -> DataFrame:
@@ -81,16 +108,7 @@ def status_changes(
         )
 
     how = "full_outer" if keep_one_sided else "inner"
-    both = last(base, "from_status").join(last(other, "to_status"), "instance_id", how)
-    before, after = _rank(F.col("from_status")), _rank(F.col("to_status"))
-    change = (
-        F.when(F.col("to_status").isNull(), "only_in_base")
-        .when(F.col("from_status").isNull(), "only_in_other")
-        .when(after > before, "improvement")
-        .when(after < before, "regression")
-        .otherwise("unchanged")
-    )
-    return both.withColumn("change", change)
+    return _changes(last(base, "from_status").join(last(other, "to_status"), "instance_id", how))
 
 
 PAIRED = ("total", "resolved", "unresolved", "errors", "skipped", "resolved_rate")
@@ -100,14 +118,16 @@ def comparison(summaries: DataFrame, changes: DataFrame, base: str, other: str)
     """One row: paired metrics of two runs, their rate difference and the counts of changes."""
 
     run = F.col("run_id")
-    paired = summaries.where(run.isin(base, other)).agg(
-        *[F.max(F.when(run == r, F.col(c))).alias(f"{c}_{side}") for c in PAIRED for r, side in ((base, "base"), (other, "other"))]
-    )
     kinds = {"improvement": "improvements", "regression": "regressions", "unchanged": "unchanged_count"}
-    counts = {v: changes.agg(F.count_if(F.col("change") == k)).scalar() for k, v in kinds.items()}
-    return paired.withColumns(
-        {**counts, "resolved_rate_diff": F.col("resolved_rate_other") - F.col("resolved_rate_base")}
+    metrics = summaries.where(run.isin(base, other)).select("run_id", *PAIRED, F.lit(None).cast("string").alias("change"), F.lit(0).cast("bigint").alias("_n"))
+    counted = changes.groupBy("change").agg(F.count(F.lit(1)).alias("_n"))
+    nothing = [F.lit(None).cast(metrics.schema[c].dataType).alias(c) for c in ("run_id", *PAIRED)]
+    # two rows of metrics and one of each kind of change meet in one aggregation
+    both = metrics.unionByName(counted.select(*nothing, "change", "_n")).agg(
+        *[F.max(F.when(run == r, F.col(c))).alias(f"{c}_{side}") for c in PAIRED for r, side in ((base, "base"), (other, "other"))],
+        *[F.coalesce(F.sum(F.when(F.col("change") == k, F.col("_n"))), F.lit(0)).alias(v) for k, v in kinds.items()],
     )
+    return both.withColumn("resolved_rate_diff", F.col("resolved_rate_other") - F.col("resolved_rate_base"))
 
 
 def breakdown(evaluations: DataFrame, instances: DataFrame, dims, keys=("instance_id",)) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patcheval.functions import text as tx
+from patcheval.functions.stage import staged
 from patcheval.operators import grading, reports
 from patcheval.plans import samples as S
 from patcheval.plans.evaluate import evaluate_counts
@@ -72,8 +73,7 @@ def report_instances(spark, sf):
     FROM evaluated a JOIN evaluated b USING (instance_id) WHERE a.run_id = 'F' AND b.run_id = 'O')
     SELECT instance_id, from_status, to_status, CASE WHEN rb > ra THEN 'improvement' WHEN rb < ra THEN 'regression' ELSE 'unchanged' END AS change FROM changes""")
 def compare_runs(spark, sf):
-    rows = evaluations(spark, sf)
-    return reports.status_changes(rows.where("run_id = 'F'"), rows.where("run_id = 'O'"))
+    return reports.run_changes(evaluations(spark, sf), "F", "O")
 
 
 @query(SUMMARIES + """, ranks AS (
@@ -84,8 +84,8 @@ def compare_runs(spark, sf):
            round(b.resolved_rate - a.resolved_rate, 9) AS resolved_rate_diff, improvements, regressions, unchanged_count
     FROM summaries a, summaries b, changed WHERE a.run_id = 'F' AND b.run_id = 'O'""")
 def compare_run_summaries(spark, sf):
-    rows = evaluations(spark, sf)
-    changes = reports.status_changes(rows.where("run_id = 'F'"), rows.where("run_id = 'O'"))
+    rows = staged(evaluations(spark, sf).drop("output"), "evaluations")
+    changes = reports.run_changes(rows, "F", "O")
     compared = reports.comparison(reports.report_summary(rows), changes, "F", "O")
     return compared.select(
         "total_base", "total_other", "resolved_base", "resolved_other", "errors_base", "errors_other",
@@ -170,7 +170,7 @@ def task_metrics(spark, sf):
     UNION ALL SELECT run_id, 2, status, instance_id, 3, printf('           Duration: %.2fs', duration) FROM evaluated)
     SELECT * FROM lines""")
 def report_text_lines(spark, sf):
-    rows = evaluations(spark, sf)
+    rows = staged(evaluations(spark, sf).drop("output"), "evaluations")
     text = reports.report_text(reports.report_summary(rows), reports.report_instances(rows, include_test_output=False))
     # rules and headings are the same everywhere; the lines with data are compared
     return text.where("part = 2 OR (part = 0 AND sub IN (8, 9, 14))")
@@ -184,8 +184,8 @@ def report_text_lines(spark, sf):
     UNION ALL SELECT 0, '', concat('Improvements: ', count(*) FILTER (WHERE rb > ra)) FROM c
     UNION ALL SELECT 0, '', concat('Regressions:  ', count(*) FILTER (WHERE rb < ra)) FROM c""")
 def comparison_text_lines(spark, sf):
-    rows = evaluations(spark, sf)
-    changes = reports.status_changes(rows.where("run_id = 'F'"), rows.where("run_id = 'O'"))
+    rows = staged(evaluations(spark, sf).drop("output"), "evaluations")
+    changes = reports.run_changes(rows, "F", "O")
     compared = reports.comparison(reports.report_summary(rows), changes, "F", "O")
     text = reports.comparison_text(compared, changes, "F", "O")
     return text.where("part IN (2, 4) OR (part = 0 AND sub IN (8, 9))").select("part", "instance_id", "line")

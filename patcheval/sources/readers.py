@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patcheval import schemas as S
+from patcheval.functions import text as tx
 
 
 def _documents(spark: SparkSession, path) -> DataFrame:
@@ -22,7 +23,13 @@ def _documents(spark: SparkSession, path) -> DataFrame:
 
 def _kind(doc: Column) -> Column:
     """First character that is not blank: '[' a list, '{' an object."""
-    return F.left(F.ltrim(F.regexp_replace(F.left(doc, F.lit(4096)), r"\s+", " ")), F.lit(1))
+    return F.regexp_extract(doc, r"\A\s*+(\S)", 1)
+
+
+def _field(doc: Column, name: str, kind: str) -> Column:
+    """A field of a document that is a JSON object, however large; null of other documents and where it has another type."""
+    read = F.from_json(doc, f"{name} {kind}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return F.when(read["_bad"].isNull(), read[name])
 
 
 def _texts(variants: Column) -> Column:
@@ -33,13 +40,13 @@ def _elements(doc: Column, wrapper: str | None, single: bool) -> Column:
     """array<string>: the JSON text of each record of a document."""
     as_list = _texts(F.from_json(doc, "array<variant>"))
     out = F.when(_kind(doc) == "[", as_list)
-    whole = F.try_parse_json(doc)
-    is_object = F.schema_of_variant(whole).startswith("OBJECT")
+    is_object = _kind(doc) == "{"
     if wrapper:
-        inner = _texts(F.try_variant_get(whole, f"$.{wrapper}", "array<variant>"))
+        inner = _texts(_field(doc, wrapper, "array<variant>"))
         out = out.when(is_object & inner.isNotNull(), inner)
     if single:
-        out = out.when(is_object, F.array(F.to_json(whole)))
+        whole = F.try_parse_json(doc)  # a record
+        out = out.when(is_object & whole.isNotNull(), F.array(F.to_json(whole)))
     message = F.concat(F.lit("not a list"), F.lit(f" or an object with '{wrapper}'") if wrapper else F.lit(""))
     return out.otherwise(F.raise_error(message))
 
@@ -66,7 +73,7 @@ def read_instances(spark, path, schema: str = S.INSTANCE, wrapper: bool = True,
 
 def read_dataset_metadata(spark, path) -> DataFrame:
     """(file, metadata map): the metadata object of each wrapped document."""
-    metadata = F.try_variant_get(F.try_parse_json("doc"), "$.metadata", "map<string, string>")
+    metadata = _field(F.col("doc"), "metadata", "map<string, string>")
     return _documents(spark, path).select("file", metadata.alias("metadata")).where("metadata is not null")
 
 
@@ -89,21 +96,25 @@ def read_raw_lines(spark, path) -> DataFrame:
 
 def read_hub_split(spark, path, preference=("test", "train")) -> DataFrame:
     """Rows of the preferred ``split=...`` partition of a Parquet directory, else of the first one.
-    Only the partition names are looked at to choose, and only the chosen one is read."""
+    The directory's names are listed to choose, and only the chosen partition is read."""
     df = spark.read.parquet(path)
-    order = F.coalesce(*[F.when(F.col("split") == s, F.lit(i)) for i, s in enumerate(preference)], F.lit(len(preference)))
-    # a directory has a handful of splits; this reads partition values, not rows
-    best = df.select("split").distinct().orderBy(order, "split").limit(1).first()
-    return df.where(F.col("split") == best["split"]).drop("split") if best else df.limit(0).drop("split")
+    names = [n.removeprefix("split=") for n in _names(spark, f"{str(path).rstrip('/')}/split=*")]
+    if not names:
+        return df.limit(0).drop("split")
+    best = min(names, key=lambda n: (preference.index(n) if n in preference else len(preference), n))
+    return df.where(F.col("split").cast("string") == best).drop("split")
 
 
 def read_predictions_map(spark, path) -> DataFrame:
-    """(file, instance_id, patch) of ``{"<instance_id>": "<patch>"}`` documents; others are an error."""
+    """(file, instance_id, patch) of ``{"<instance_id>": "<patch>"}`` documents; others are an error. The last entry of a
+    repeated id counts."""
     entries = F.when(_kind(F.col("doc")) == "{", F.from_json("doc", "map<string, string>")).otherwise(
         F.raise_error(F.lit("predictions are not an object"))
     )
-    return _documents(spark, path).select("file", F.explode_outer(entries).alias("instance_id", "patch")).where(
-        "instance_id is not null"
+    listed = _documents(spark, path).select("file", F.posexplode_outer(F.map_entries(entries)).alias("position", "e"))
+    return (
+        listed.where("e is not null").groupBy("file", F.col("e.key").alias("instance_id"))
+        .agg(F.max_by("e.value", "position").alias("patch"))
     )
 
 
@@ -134,11 +145,16 @@ def results_as_predictions(results: DataFrame) -> DataFrame:
     return results.select("instance_id", F.col("model").alias("model_name_or_path"), F.col("extracted_patch").alias("patch"))
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders that fit a path or glob."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(str(path))
     found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
-    return found is not None and len(found) > 0
+    return [f.getPath().getName() for f in found or []]
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return bool(_names(spark, path))
 
 
 def read_processed_ids(spark, path) -> DataFrame:
@@ -147,7 +163,7 @@ def read_processed_ids(spark, path) -> DataFrame:
     if not path_exists(spark, path):
         return spark.createDataFrame([], "instance_id string")
     instance_id = F.get_json_object("value", "$.instance_id")
-    readable = F.try_parse_json("value").isNotNull()
+    readable = tx.json_value(F.col("value")).isNotNull()
     return spark.read.text(path).where(readable).select(instance_id.alias("instance_id")).where(
         "instance_id is not null"
     ).distinct()
@@ -155,7 +171,7 @@ def read_processed_ids(spark, path) -> DataFrame:
 
 def count_corrupt_lines(spark, path) -> DataFrame:
     """One row: lines, corrupt (not JSON), without_id."""
-    parsed = F.try_parse_json("value")
+    parsed = tx.json_value(F.col("value"))
     return spark.read.text(path).where(F.length(F.trim("value")) > 0).agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(parsed.isNull()).alias("corrupt"),

@@ -6,9 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patcheval.functions.stage import staged
+
 
 def export_jsonl(df: DataFrame, path: str, mode: str = "error") -> str:
     """One object per line."""
@@ -21,15 +24,15 @@ def _export_documents(records: DataFrame, start: str, end: str, path: str, mode:
 
     def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # streams the batches of one task between the brackets of one document
-        before = start
+        begun = False
         for batch in batches:
-            lines = []
-            for record in batch.column(0).to_pylist():
-                lines.append(before + record)
-                before = ","
-            if lines:
-                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
-        if before == ",":
+            n = batch.num_rows
+            if n:
+                before = pa.array([start if not begun else ","] + [","] * (n - 1), pa.string())
+                lines = pc.binary_join_element_wise(before, batch.column(0).cast(pa.string()), "")
+                yield pa.RecordBatch.from_arrays([lines], ["value"])
+                begun = True
+        if begun:
             yield pa.RecordBatch.from_arrays([pa.array([end], pa.string())], ["value"])
 
     records.mapInArrow(document, "value string").write.mode(mode).text(path)
@@ -84,13 +87,14 @@ def export_report_json(
         ).alias("value"),
     )
     rows = instances.where(run).drop("run_id")
-    # the separator goes in front of every record but the smallest one
-    first = rows.agg(F.min("instance_id")).scalar()
     record = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
-    body = rows.select(
-        F.lit(1).alias("part"), "instance_id",
-        F.when(F.col("instance_id") == first, record).otherwise(F.concat(F.lit(","), record)).alias("value"),
+    # records get a number, written down with them; the separator goes in front of every one but the first in order
+    body = staged(
+        rows.select(F.lit(1).alias("part"), "instance_id", F.monotonically_increasing_id().alias("_id"), record.alias("value")), "report-rows"
     )
+    place = F.struct("instance_id", "_id")
+    first = body.agg(F.min(place)).scalar()
+    body = body.select("part", "instance_id", F.when(place == first, F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
     foot = summary.where(run).select(F.lit(2).alias("part"), F.lit("").alias("instance_id"), F.lit("]}").alias("value"))
     ordered = head.unionByName(body).unionByName(foot).orderBy("part", "instance_id")
     ordered.select("value").write.mode(mode).text(path)
