@@ -3,11 +3,10 @@
 ``match_expected`` looks an expected name up in four tiers: the same name, the same normalised
 name, a name that contains it or is contained in it, and more than half of the words shared.
 
-The first two tiers are one hash join on (keys, lookup name). The last two never compare every
-expected name with every actual name of a run. A contained name must contain each of its
-three-character pieces, so it meets only names holding its rarest piece; two names that share more
-than half of their words must share one of the rarer half of the words of each. Both are exact:
-every pair they let through is checked, and no true pair can be missed.
+All are equality joins, whatever the size of a run. The first two join on (keys, lookup name). For containment each name
+is joined by those of its substrings that are as long as a name of the other side, and only the first position of
+each substring is kept. For words only those count that both sides have; names alike in them are one, and two names that share
+more than half of their words must share one of the few rarest of each.
 """
 
 from __future__ import annotations
@@ -17,13 +16,10 @@ from pyspark.sql import functions as F
 
 from patcheval import constants as C
 from patcheval.functions import text as tx
-from patcheval.functions.keyed import salted_semi
 from patcheval.functions.stage import staged
 from patcheval.operators.named_logs import KEYS
 
 TIERS = ("exact", "normalised", "contains", "words")
-PIECE = 3
-SMALL = 128
 
 
 def _actual_lookup(actual: DataFrame, keys) -> DataFrame:
@@ -85,189 +81,113 @@ def _named_hits(expected: DataFrame, actual: DataFrame, keys, item) -> DataFrame
     )
 
 
-def _pieces(text: Column, size: int) -> Column:
-    """Distinct substrings of one length."""
-    last = F.length(text) - size + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
-
-
-def _all_pieces(text: Column) -> Column:
-    """What a name can be found by: '' and every substring of up to three characters."""
-    parts = [F.coalesce(_pieces(text, n), F.array().cast("array<string>")) for n in range(1, PIECE + 1)]
-    return F.concat(F.array(F.lit("")), *parts)
-
-
-def _own_pieces(text: Column) -> Column:
-    """Pieces every container of the name must have: its three-character ones, or itself if shorter."""
-    return F.when(F.length(text) < PIECE, F.array(text)).otherwise(_pieces(text, PIECE))
-
-
-def _containment(wanted: DataFrame, actual: DataFrame, keys) -> DataFrame:
-    """(keys, norm, position): the first actual name that contains, or is contained in, each wanted one.
-
-    Pieces are looked up by one hash of keys, side and piece, and names travel as two hashes, so rows
-    are a few numbers whatever the names are. Equal hashes of different pieces only bring more
-    candidates; the names are joined back and compared before anything counts.
-    """
-    no_position = F.lit(None).cast("bigint").alias("position")
-    names = wanted.select(*keys, F.lit("w").alias("side"), "norm", no_position).unionByName(
-        actual.select(*keys, F.lit("a").alias("side"), "norm", "position")
-    ).withColumn("id", F.xxhash64(*keys, "side", "norm")).withColumn("id2", F.hash("norm"))
-    other = F.when(F.col("side") == "w", "a").otherwise("w")
-    # containers, found by every piece they hold
-    held = names.select(
-        *keys, "side", F.col("id").alias("holder"), F.explode_outer(_all_pieces(F.col("norm"))).alias("piece")
-    ).select(F.xxhash64(*keys, "side", "piece").alias("at"), "holder")
-    frequency = held.groupBy("at").agg(F.count(F.lit(1)).alias("holders"))
-    # contained names, looking on the other side, by the rarest of their own pieces
-    own = _own_pieces(F.col("norm"))
-    needles = names.select(
-        *keys, other.alias("side"), "id", "id2", F.size(own).alias("pieces"), F.explode_outer(own).alias("piece")
-    ).select("id", "id2", "pieces", F.xxhash64(*keys, "side", "piece").alias("at"))
-    chosen = (
-        needles.join(frequency, "at")
-        .groupBy("id", "id2", "pieces")
-        .agg(F.count(F.lit(1)).alias("present"), F.min_by("at", "holders").alias("at"))
-        # a name with a piece nobody holds is contained in nothing
-        .where("present = pieces")
-    )
-    candidates = chosen.join(held, "at").select("id", "id2", "holder")
-    inner = names.select("id", "id2", *[F.col(k).alias(f"i_{k}") for k in keys], F.col("norm").alias("inner"), F.col("position").alias("inner_position"))
-    outer = names.select(F.col("id").alias("holder"), *keys, "side", F.col("norm").alias("outer"), F.col("position").alias("outer_position"))
-    same_keys = F.lit(True)
-    for k in keys:
-        same_keys = same_keys & (F.col(k) == F.col(f"i_{k}"))
-    wanted_is_inner = F.col("side") == "a"
+def _named(keys, text: Column) -> list[Column]:
+    """Two hashes that stand for a text within (keys). What they bring together is compared before it counts."""
+    return [F.xxhash64(F.lit(seed), *keys, text).alias(f"k{seed}") for seed in (1, 2)]
+
+
+def _substrings(keys, text: Column, lengths: Column) -> Column:
+    """Hashes of the different substrings of a text that have one of ``lengths``."""
+
+    def of_length(n):
+        last = F.length(text) - n + 1
+        starts = F.when(n == 0, F.array(F.lit(1))).when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
+        subs = F.transform(starts, lambda i: F.struct(*_named(keys, F.substr(text, i, n))))
+        return F.coalesce(subs, F.array().cast("array<struct<k1:bigint,k2:bigint>>"))
+
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+
+
+def _containment(wanted: DataFrame, firsts: DataFrame, keys) -> DataFrame:
+    """(keys, norm, position): the first actual name that contains, or is contained in, each wanted one."""
+    # at most as many lengths as the longest name has characters
+    lengths = F.collect_set(F.length("norm")).alias("lengths")
+    of_wanted, of_actual = (df.groupBy(*keys).agg(lengths) for df in (wanted, firsts))
+    held = (
+        firsts.join(of_wanted, list(keys)).select("position", F.explode(_substrings(keys, F.col("norm"), F.col("lengths"))).alias("s"))
+        .groupBy("s.k1", "s.k2").agg(F.min("position").alias("position"))
+    )
+    outer = wanted.select("k1", "k2").join(held, ["k1", "k2"])
+    inner = (
+        wanted.join(of_actual, list(keys))
+        .select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.explode(_substrings(keys, F.col("norm"), F.col("lengths"))).alias("s"))
+        .select("w1", "w2", "s.k1", "s.k2").join(firsts.select("k1", "k2", "position"), ["k1", "k2"])
+        .groupBy(F.col("w1").alias("k1"), F.col("w2").alias("k2")).agg(F.min("position").alias("position"))
+    )
+    either = F.contains("other", "norm") | F.contains("norm", "other")
     return (
-        candidates.join(inner, ["id", "id2"])
-        .join(outer, "holder")
-        .where(same_keys & F.contains("outer", "inner"))
-        .select(
-            *keys,
-            F.when(wanted_is_inner, F.col("inner")).otherwise(F.col("outer")).alias("norm"),
-            F.coalesce("outer_position", "inner_position").alias("position"),
-        )
-        .groupBy(*keys, "norm")
-        .agg(F.min("position").alias("position"))
-    )
+        outer.unionByName(inner).join(wanted.select("k1", "k2", *keys, "norm"), ["k1", "k2"])
+        .join(firsts.select(*keys, "position", F.col("norm").alias("other")), [*keys, "position"])
+        .where(either).groupBy(*keys, "norm").agg(F.min("position").alias("position"))
+    )
 
 
-def _word_overlap(wanted: DataFrame, actual: DataFrame, keys) -> DataFrame:
+def _word_overlap(wanted: DataFrame, firsts: DataFrame, keys) -> DataFrame:
     """(keys, norm, score, position): the best actual name by shared words over all words, above
     one half, the earliest of equals."""
-    words = tx.words_of(F.col("norm"))
-    names = wanted.select(*keys, F.lit("w").alias("side"), "norm").unionByName(
-        actual.select(*keys, F.lit("a").alias("side"), "norm")
+    def worded(df, *more):
+        return df.withColumn("w", tx.words_of(F.col("norm"))).select(*keys, "k1", "k2", *more, F.size("w").alias("n"), F.explode("w").alias("word"))
+
+    mine, theirs = worded(wanted), worded(firsts, "position")
+    uses = lambda df: df.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("uses"))
+    # a word of one side only is shared with nobody
+    common = uses(mine).join(uses(theirs).withColumnRenamed("uses", "others"), [*keys, "word"]).select(
+        *keys, "word", (F.col("uses") + F.col("others")).alias("uses")
     )
-    worded = names.withColumn("word", F.explode(words))
-    frequency = worded.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("uses"))
-    ordered = (
-        worded.join(frequency, [*keys, "word"])
-        .groupBy(*keys, "side", "norm")
-        # the words of one name
-        .agg(F.array_sort(F.collect_list(F.struct("uses", "word"))).alias("ranked"))
-        .select(
-            *keys, "side", "norm", F.size("ranked").alias("n"),
-            F.explode(
-                F.transform(
-                    F.slice("ranked", 1, F.ceil(F.size("ranked") / 2).cast("int")), lambda x: x["word"]
-                )
-            ).alias("word"),
+
+    def signatures(df, *more):
+        # the words of one name, rarest first
+        return df.join(common, [*keys, "word"]).groupBy(*keys, "k1", "k2", *more, "n").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("uses", "word"))), lambda x: x["word"]).alias("words")
         )
+
+    def rare(df, **names):
+        # of n words over n / 2 must be shared: one of those left when all but one of so many are taken away
+        count = F.greatest(F.size("words") - F.floor(F.col("n") / 2), F.lit(0)).cast("int")
+        return df.withColumn("word", F.explode(F.slice("words", F.lit(1), count))).withColumnsRenamed(names)
+
+    own = signatures(mine)
+    left = rare(own.select(*keys, "n", "words").distinct())
+    right = rare(
+        signatures(theirs, "position").groupBy(*keys, "n", "words").agg(F.min("position").alias("position")), n="m", words="other"
     )
-    left = ordered.where("side = 'w'").select(*keys, "word", "norm", F.col("n").alias("n_wanted"))
-    right = ordered.where("side = 'a'").select(*keys, "word", F.col("norm").alias("other"), F.col("n").alias("n_actual"))
-    w, o = tx.words_of(F.col("norm")), tx.words_of(F.col("other"))
-    scored = (
+    shared = F.size(F.array_intersect("words", "other"))
+    best = (
         left.join(right, [*keys, "word"])
         # sharing more than half is impossible when one has twice the words of the other
-        .where((F.col("n_actual") < 2 * F.col("n_wanted")) & (F.col("n_wanted") < 2 * F.col("n_actual")))
-        .withColumn("shared", F.size(F.array_intersect(w, o)))
-        .withColumn("score", F.col("shared") / (F.col("n_wanted") + F.col("n_actual") - F.col("shared")))
-        .where("score > 0.5")
-        .select(*keys, "norm", "other", "score")
-    )
-    positions = actual.select(*keys, F.col("norm").alias("other"), "position")
+        .where((F.col("m") < 2 * F.col("n")) & (F.col("n") < 2 * F.col("m")))
+        .withColumn("score", shared / (F.col("n") + F.col("m") - shared)).where("score > 0.5")
+        .groupBy(*keys, "n", "words").agg(F.min(F.struct((-F.col("score")).alias("minus"), "position")).alias("best"))
+    )
     return (
-        scored.join(positions, [*keys, "other"])
-        .groupBy(*keys, "norm")
-        .agg(F.min(F.struct((-F.col("score")).alias("minus"), "position")).alias("best"))
+        own.join(best, [*keys, "n", "words"]).join(wanted.select("k1", "k2", *keys, "norm"), ["k1", "k2", *keys])
         .select(*keys, "norm", (-F.col("best.minus")).alias("score"), F.col("best.position").alias("position"))
     )
 
 
-def _best_in(names: Column, wanted: Column, mine: Column) -> Column:
-    """struct(by_words, minus, position): best partial match of a name with the words ``mine`` in an
-    array of struct(position, norm, words), or null."""
-
-    def with_shared(x: Column) -> Column:
-        shared = F.size(F.array_intersect(mine, x["words"]))
-        contains = F.contains(x["norm"], wanted) | F.contains(wanted, x["norm"])
-        return F.struct(
-            x["position"].alias("position"), contains.alias("contains"), shared.alias("shared"),
-            (F.size(mine) + F.size(x["words"])).alias("sizes"),
-        )
-
-    def candidate(x: Column) -> Column:
-        # shared / (sizes - shared) > 1/2
-        by_words = ~x["contains"] & (3 * x["shared"] > x["sizes"])
-        minus = F.when(by_words, -(x["shared"] / (x["sizes"] - x["shared"]))).otherwise(0.0)
-        return F.when(
-            x["contains"] | by_words,
-            F.struct(by_words.alias("by_words"), minus.alias("minus"), x["position"].alias("position")),
-        )
-
-    found = F.transform(F.transform(names, with_shared), candidate)
-    return F.array_min(F.filter(found, lambda c: c.isNotNull()))
-
-
-def _partial_hits(leftover: DataFrame, actual: DataFrame, keys, small: int) -> DataFrame:
-    """(keys, norm, tier, found) for the leftover expected names that have a partial match.
-
-    Runs with at most ``small`` actual names, the usual case, are searched name by name in one row.
-    Larger ones go through pieces and words, however large they are. Both ways are exact.
-    """
-    wanted = leftover.select(*keys, "norm").distinct()
+def _partial_hits(leftover: DataFrame, actual: DataFrame, keys, tiers) -> DataFrame:
+    """(keys, norm, tier, found) for the leftover expected names that have a partial match."""
+    norm = F.col("norm")
+    wanted = staged(leftover.select(*keys, "norm").distinct().withColumns(dict(zip(("k1", "k2"), _named(keys, norm)))), "match-wanted")
     # only runs that still have something to find
-    pool = staged(
-        salted_semi(actual, wanted, keys, spread="name").withColumn("norm", tx.normalize_test_name(F.col("name"))),
-        "match-pool",
-    )
-    firsts = pool.groupBy(*keys, "norm").agg(F.min("position").alias("position"))
-    large = staged(firsts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select(*keys), "match-large")
-
-    words = tx.words_of(F.col("norm"))
-    in_small = salted_semi(firsts, large, keys, spread="norm", how="left_anti").withColumn("words", words)
-    # at most ``small`` names
-    listed = in_small.groupBy(*keys).agg(F.collect_list(F.struct("position", "norm", "words")).alias("names"))
-    from_small = (
-        wanted.withColumn("mine", words).join(listed, list(keys))
-        .select(*keys, "norm", F.explode(F.array(_best_in(F.col("names"), F.col("norm"), F.col("mine")))).alias("best"))
-        .where("best is not null")
-        .select(*keys, "norm", "best.by_words", "best.minus", "best.position")
+    firsts = staged(
+        actual.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+        .groupBy(*keys, tx.normalize_test_name(F.col("name")).alias("norm")).agg(F.min("position").alias("position"))
+        .withColumns(dict(zip(("k1", "k2"), _named(keys, norm)))),
+        "match-firsts",
     )
-    partial = from_small
-    # a look at one row of a staged table: most data has no large run, and needs no plan for them
-    if not large.isEmpty():
-        big_wanted = staged(salted_semi(wanted, large, keys, spread="norm"), "match-wanted")
-        big_firsts = staged(salted_semi(firsts, large, keys, spread="norm"), "match-firsts")
-        contained = _containment(big_wanted, big_firsts, keys).select(
-            *keys, "norm", F.lit(False).alias("by_words"), F.lit(0.0).alias("minus"), "position"
-        )
-        overlapping = _word_overlap(big_wanted, big_firsts, keys).select(
-            *keys, "norm", F.lit(True).alias("by_words"), (-F.col("score")).alias("minus"), "position"
-        )
-        partial = partial.unionByName(contained).unionByName(overlapping)
+    contained = _containment(wanted, firsts, keys).select(*keys, "norm", F.lit(False).alias("by_words"), F.lit(0.0).alias("minus"), "position")
+    overlapping = _word_overlap(wanted, firsts, keys).select(*keys, "norm", F.lit(True).alias("by_words"), (-F.col("score")).alias("minus"), "position")
     best = (
-        partial.groupBy(*keys, "norm")
+        contained.unionByName(overlapping).groupBy(*keys, "norm")
         .agg(F.min(F.struct("by_words", "minus", "position")).alias("best"))
         .select(
             *keys, "norm", F.col("best.position").alias("position"),
             F.when(F.col("best.by_words"), "words").otherwise("contains").alias("tier"),
         )
-    )
-    return best.join(pool.select(*keys, "position", "status", "name"), [*keys, "position"]).select(
+        .where(F.col("tier").isin(*tiers))
+    )
+    return best.join(actual.select(*keys, "position", "status", "name"), [*keys, "position"]).select(
         *keys, "norm", "tier", F.struct("position", "status", "name").alias("found")
     )
 
@@ -278,7 +198,6 @@ def match_expected(
     keys=KEYS,
     require_pass: bool = True,
     tiers=TIERS,
-    small: int = SMALL,
 ) -> DataFrame:
     """One row per expected test: (keys, category, ord, name, tier, actual_name, actual_status,
     outcome, detail_status, detail_name).
@@ -301,9 +220,7 @@ def match_expected(
         norm = F.when(hit.isNull(), tx.normalize_test_name(F.col("name")))
         # read once below and many times in the partial tiers
         tagged = staged(named.withColumn("norm", norm), "match-named")
-        partial = _partial_hits(tagged.where("hit is null"), actual, keys, small).where(
-            F.col("tier").isin(*[t for t in tiers if t in ("contains", "words")])
-        )
+        partial = _partial_hits(tagged.where("hit is null"), actual, keys, tiers)
         partial = partial.select(
             *keys, "norm", F.col("tier").alias("p_tier"), F.col("found").alias("p_found")
         )

@@ -49,8 +49,7 @@ def random_name(rng):
     return rng.choice([text, text, text.upper(), f'"{text}"', "test " + text, f" {text} "])
 
 
-@pytest.mark.parametrize("small", [0, 3, matching.SMALL])
-def test_match_like_brute_force(spark, small):
+def test_match_like_brute_force(spark):
     rng = random.Random(11)
     expected, actual = [], []
     for i in range(300):
@@ -60,7 +59,7 @@ def test_match_like_brute_force(spark, small):
             actual.append(("r", str(i), p, n, rng.choice(["passed", "failed", "skipped"])))
         for o in range(rng.randint(1, 4)):
             expected.append(("r", str(i), rng.choice(["fail_to_pass", "pass_to_pass"]), o, random_name(rng)))
-    found = matching.match_expected(spark.createDataFrame(expected, EXPECTED), spark.createDataFrame(actual, ACTUAL), small=small)
+    found = matching.match_expected(spark.createDataFrame(expected, EXPECTED), spark.createDataFrame(actual, ACTUAL))
     got = {(r.instance_id, r.ord): r for r in found.collect()}
     assert len(got) == len(expected)
     tiers = set()
@@ -97,6 +96,15 @@ def test_match_golden(spark, expected, actual, tier, hit):
     assert (r.tier, r.actual_name) == (tier, hit)
 
 
+def test_match_same_shape(spark):
+    """All names of a large run share all words but one: no pair of them is looked at."""
+    n = 20_000
+    e = spark.range(n).selectExpr("'r' AS run_id", "'hot' AS instance_id", "'fail_to_pass' AS category", "id AS ord", "concat('the big case number ', id + 1000000) AS name")
+    a = spark.range(n).selectExpr("'r' AS run_id", "'hot' AS instance_id", "id AS position", "concat('the big case number ', id + 2000000) AS name", "'passed' AS status")
+    found = matching.match_expected(e, a)
+    assert {tuple(r) for r in found.groupBy("tier", "actual_name").count().collect()} == {("words", "the big case number 2000000", n)}
+
+
 def test_match_hot_group(spark):
     """One run and instance holds all rows; shared words and pieces are everywhere."""
     n = 2000
