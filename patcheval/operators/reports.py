@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from patcheval import constants as C
 from patcheval.functions import text as tx
 from patcheval.functions.keyed import competition_rank, last_per_key
+from patcheval.functions.stage import staged
 
 
 def report_instances(
@@ -203,7 +204,8 @@ def numbered_attempts(attempts: DataFrame, keys=("run_id", "instance_id"), order
 
 def leaderboard(summaries: DataFrame) -> DataFrame:
     """Rows of ``report_summary`` with their rank by resolved rate (ties share a rank)."""
-    return competition_rank(summaries, "resolved_rate")
+    # ranks join the summaries twice: written once, so that what they sum up is read once
+    return competition_rank(staged(summaries, "summaries"), "resolved_rate")
 
 
 # --- text -------------------------------------------------------------------------------

@@ -59,6 +59,15 @@ def first_ten_issues(spark, sf):
     return ds.first_issues(rows, ["o_orderkey", "code"])
 
 
+@query("""SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN o_orderpriority = '2-HIGH' THEN '' ELSE 'x' END AS problem FROM orders)
+       WHERE length(problem) > 0""")
+def has_required_values(spark, sf):
+    problem = F.expr("CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN o_orderpriority = '2-HIGH' THEN '' ELSE problem_statement END")
+    priority = S.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    rows = S.order_instances(spark, sf).join(priority, "o_orderkey").withColumn("problem_statement", problem)
+    return ds.has_required_values(rows).select("o_orderkey")
+
+
 @query(ISSUES + ", codes AS (SELECT unnest(string_split(strict_issues, '|')) AS code FROM issued WHERE strict_issues <> '') SELECT code, count(*) AS instances FROM codes GROUP BY code")
 def issue_counts(spark, sf):
     rows = ds.validate_instances(S.order_raw(spark, sf), strict=True)

@@ -71,12 +71,13 @@ def evaluate_named(
     return grades, matching.detail_results(matches, results, keys)
 
 
-def evaluate_files(expected: DataFrame, logs: DataFrame, keys=RUN_KEYS) -> DataFrame:
-    """Grades by the file-scoped rule, from expected tests and logs."""
+def evaluate_files(expected: DataFrame, logs: DataFrame, keys=RUN_KEYS) -> tuple[DataFrame, DataFrame]:
+    """(grades, log summaries) by the file-scoped rule, from expected tests and logs. A log has one summary row, which also
+    says what was run, so logs are read once for it and once for their results."""
     results = file_logs.file_test_results(logs, keys)
-    summaries = file_logs.file_log_summary(logs, keys)
+    summaries = staged(file_logs.file_log_summary(logs, keys), "log-summaries")
     matches = grading.match_files(expected, results, keys)
-    return grading.grade_files(logs, matches, summaries, keys)
+    return grading.grade_files(summaries, matches, summaries, keys), summaries
 
 
 def files_as_evaluations(grades: DataFrame, summaries: DataFrame, keys=RUN_KEYS) -> DataFrame:

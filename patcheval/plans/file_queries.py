@@ -157,10 +157,12 @@ def csv_export(spark, sf):
     return spark.read.option("header", True).csv(sinks.export_csv(rows, new_path(spark, "csv")))
 
 
-@query(EVALUATED + "SELECT concat('| ', run_id, ' | ', instance_id, ' | ', status, ' | ', coalesce(error_message, ''), ' |') AS value FROM evaluated")
+@query(EVALUATED + """SELECT concat('| ', run_id, ' | ', instance_id, ' | ', status, ' | ', coalesce(error_message, ''), ' |') AS value FROM evaluated
+       UNION ALL SELECT unnest(['| run_id | instance_id | status | error_message |', '| --- | --- | --- | --- |'])""")
 def markdown_export(spark, sf):
     rows = evaluations(spark, sf).select("run_id", "instance_id", "status", "error_message")
-    return spark.read.text(sinks.export_markdown(rows, new_path(spark, "markdown")) + "/rows")
+    path = sinks.export_markdown(rows, new_path(spark, "markdown"))
+    return spark.read.text([f"{path}/header", f"{path}/rows"])
 
 
 @query(EVALUATED + "SELECT run_id, count(*) AS rows FROM evaluated GROUP BY run_id")

@@ -149,7 +149,7 @@ def match_file_tests(spark, sf):
        FROM scored s JOIN said USING (doc_id)""")
 def grade_by_files(spark, sf):
     expected = grading.expected_tests(S.file_instances(spark, sf), ("run_id", "instance_id"))
-    grades = evaluate_files(expected, S.file_logs(spark, sf))
+    grades, _ = evaluate_files(expected, S.file_logs(spark, sf))
     return grades.withColumns(
         {c: F.round(c, 9) for c in ("fail_to_pass_score", "pass_to_pass_score", "test_pass_rate")}
     )
@@ -162,10 +162,8 @@ def grade_by_files(spark, sf):
        FROM scored GROUP BY source""")
 def run_report_from_file_logs(spark, sf):
     """The flagship: test logs to run report. Per run, how many tasks are resolved, at what rate?"""
-    logs = S.file_logs(spark, sf)
     expected = grading.expected_tests(S.file_instances(spark, sf), ("run_id", "instance_id"))
-    grades = evaluate_files(expected, logs)
-    summary = reports.report_summary(files_as_evaluations(grades, files.file_log_summary(logs)))
+    summary = reports.report_summary(files_as_evaluations(*evaluate_files(expected, S.file_logs(spark, sf))))
     return summary.select(
         "run_id", "total", "resolved", "unresolved", F.round("resolved_rate", 9).alias("resolved_rate"),
         F.round("total_duration", 4).alias("total_duration"), F.round("avg_duration", 4).alias("avg_duration"),

@@ -207,3 +207,32 @@ def run_inference(spark, sf):
         "instance_id", "success", "error", F.md5(F.col("extracted_patch").cast("binary")).alias("patch"),
         "input_tokens", "output_tokens", F.round("cost_usd", 9).alias("cost_usd"),
     )
+
+
+class SecondTryClient(inference.EchoClient):
+    """Fails on each prompt the first time."""
+
+    def __init__(self):
+        super().__init__("gpt-4-echo")
+        self.seen = None
+
+    def call(self, system, user, temperature, max_tokens):
+        if self.seen != user:
+            self.seen = user
+            raise RuntimeError("busy")
+        return super().call(system, user, temperature, max_tokens)
+
+
+@query("""
+    SELECT concat('c', conv_id, '-', turn) AS instance_id, true AS success, CAST(NULL AS VARCHAR) AS error FROM (
+        SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations WHERE conv_id % 3 <> 0 AND turn <> 1) WHERE n <= 500
+""")
+def resume_inference(spark, sf):
+    """Listed conversations that are not done, the first 500 of them, by a client that answers at the second try."""
+    turns = S.table(spark, sf, "conversations").withColumn("instance_id", F.expr("concat('c', conv_id, '-', turn)"))
+    instances = turns.select("instance_id", F.col("text").alias("problem_statement"), "conv_id", "turn")
+    rows = inference.run_inference(
+        instances, SecondTryClient, "run", style="minimal", done=turns.where("turn = 1"), ids=turns.where("conv_id % 3 <> 0"), max_instances=500,
+        order=("conv_id", "turn"), max_retries=2, first_delay=0.0,
+    )
+    return rows.select("instance_id", "success", "error")

@@ -37,6 +37,35 @@ def attach_predictions(spark, sf):
     return joined.select("run_id", "instance_id", "status", "error_message")
 
 
+@query("""SELECT concat('cust-', c_custkey) AS instance_id, patch, CASE WHEN patch IS NULL THEN 'skipped' ELSE 'pending' END AS status,
+       CASE WHEN patch IS NULL THEN 'No prediction provided' END AS error_message
+       FROM customer LEFT JOIN (SELECT o_custkey, concat('patch ', max(o_orderkey)) AS patch FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""")
+def last_prediction_wins(spark, sf):
+    """Customers are instances, each of their orders is a prediction; the last one counts."""
+    given = S.table(spark, sf, "orders").select(
+        F.expr("concat('cust-', o_custkey)").alias("instance_id"), F.expr("concat('patch ', o_orderkey)").alias("patch"), F.col("o_orderkey").alias("position")
+    )
+    instances = S.table(spark, sf, "customer").select(F.expr("concat('cust-', c_custkey)").alias("instance_id"))
+    return grading.attach_predictions(instances, given).select("instance_id", "patch", "status", "error_message")
+
+
+@query(EVALUATED + """, f AS (SELECT instance_id, status FROM evaluated WHERE run_id = 'F' AND instance_id NOT LIKE '%1'),
+    o AS (SELECT instance_id, status FROM evaluated WHERE run_id = 'O' AND instance_id NOT LIKE '%2')
+    SELECT instance_id, f.status AS from_status, o.status AS to_status, CASE WHEN o.status IS NULL THEN 'only_in_base' WHEN f.status IS NULL THEN 'only_in_other' ELSE 'both' END AS side
+    FROM f FULL JOIN o USING (instance_id)""")
+def one_sided_changes(spark, sf):
+    rows = evaluations(spark, sf).where("(run_id = 'F' AND instance_id NOT LIKE '%1') OR (run_id = 'O' AND instance_id NOT LIKE '%2')")
+    changes = reports.run_changes(rows, "F", "O", keep_one_sided=True)
+    side = F.when(F.col("change").like("only_in_%"), F.col("change")).otherwise("both")
+    return changes.select("instance_id", "from_status", "to_status", side.alias("side"))
+
+
+@query(EVALUATED + "SELECT run_id, instance_id, status, CAST(NULL AS VARCHAR) AS test_output FROM evaluated")
+def report_without_output(spark, sf):
+    rows = reports.report_instances(evaluations(spark, sf), include_test_output=False)
+    return rows.select("run_id", "instance_id", "status", "test_output")
+
+
 SUMMARIES = EVALUATED + """, summaries AS (
     SELECT run_id, count(*) AS total, count(*) FILTER (WHERE status = 'resolved') AS resolved, count(*) FILTER (WHERE status = 'unresolved') AS unresolved,
            count(*) FILTER (WHERE status = 'error') AS errors, count(*) FILTER (WHERE status = 'skipped') AS skipped,
@@ -168,12 +197,18 @@ def task_metrics(spark, sf):
     UNION ALL SELECT run_id, 2, status, instance_id, 1, printf('           Tests: %d passed, %d failed, %d skipped', passed, failed, skipped) FROM evaluated WHERE status IN ('resolved', 'unresolved')
     UNION ALL SELECT run_id, 2, status, instance_id, 2, concat('           Error: ', error_message) FROM evaluated WHERE error_message IS NOT NULL
     UNION ALL SELECT run_id, 2, status, instance_id, 3, printf('           Duration: %.2fs', duration) FROM evaluated)
-    SELECT * FROM lines""")
+    SELECT * FROM lines
+    UNION ALL SELECT run_id, 0, '', '', sub, line FROM summaries, (VALUES (0, ''), (1, repeat('=', 70)), (2, 'EVALUATION REPORT'), (3, repeat('=', 70)), (4, 'Timestamp: '),
+        (5, repeat('-', 70)), (6, 'SUMMARY'), (7, repeat('-', 70)), (15, repeat('-', 70))) v(sub, line)
+    UNION ALL SELECT run_id, 0, '', '', 10, printf('  Unresolved:         %d', unresolved) FROM summaries
+    UNION ALL SELECT run_id, 0, '', '', 11, printf('  Errors:             %d', errors) FROM summaries
+    UNION ALL SELECT run_id, 0, '', '', 12, printf('  Skipped:            %d', skipped) FROM summaries
+    UNION ALL SELECT run_id, 0, '', '', 13, printf('  Avg Duration:       %.2fs', avg_duration) FROM summaries
+    UNION ALL SELECT run_id, 1, '', '', sub, line FROM summaries, (VALUES (0, 'INSTANCE DETAILS'), (1, repeat('-', 70))) v(sub, line)
+    UNION ALL SELECT run_id, 3, '', '', 0, repeat('=', 70) FROM summaries""")
 def report_text_lines(spark, sf):
     rows = staged(evaluations(spark, sf).drop("output"), "evaluations")
-    text = reports.report_text(reports.report_summary(rows), reports.report_instances(rows, include_test_output=False))
-    # rules and headings are the same everywhere; the lines with data are compared
-    return text.where("part = 2 OR (part = 0 AND sub IN (8, 9, 14))")
+    return reports.report_text(reports.report_summary(rows), reports.report_instances(rows, include_test_output=False))
 
 
 @query(EVALUATED + """, c AS (
@@ -191,11 +226,15 @@ def comparison_text_lines(spark, sf):
     return text.where("part IN (2, 4) OR (part = 0 AND sub IN (8, 9))").select("part", "instance_id", "line")
 
 
-@query(EVALUATED + """SELECT run_id, instance_id, status, CASE WHEN length(error_message) > 10 THEN concat(left(error_message, 10), '...') ELSE error_message END AS error_preview
-       FROM evaluated WHERE status <> 'resolved'""")
+@query(EVALUATED + """SELECT run_id, instance_id, status, CASE WHEN length(error_message) > 60 THEN concat(left(error_message, 60), '...') ELSE error_message END AS error_preview,
+       CASE WHEN status <> 'skipped' THEN right(log, 30) END AS output_tail
+       FROM evaluated LEFT JOIN (
+         SELECT run_id, instance_id, CASE WHEN q > 25 THEN concat('run done', chr(10), '{"passed": ', p, ', "failed": ', f, ', "skipped": ', s, '}', chr(10), 'bye')
+               ELSE concat('9 passed so far', chr(10), p, ' passed, ', f, ' Failed', chr(10), s, ' skipped (', p + f + s, ' tests)') END AS log FROM counted)
+       USING (run_id, instance_id) WHERE status <> 'resolved'""")
 def failed_results(spark, sf):
-    rows = reports.failed_results(evaluations(spark, sf))
-    return rows.select("run_id", "instance_id", "status", tx.preview(F.col("error_message"), 10).alias("error_preview"))
+    rows = reports.failed_results(evaluations(spark, sf), preview_length=30)
+    return rows.select("run_id", "instance_id", "status", tx.preview(F.col("error_message")).alias("error_preview"), "output_tail")
 
 
 @query(EVALUATED + """SELECT run_id, count(*) AS rows, sum(CAST(concat('0x', substr(c, 1, 8)) AS BIGINT))::BIGINT AS first_words FROM (

@@ -188,7 +188,7 @@ FILE_NAMES = (
 def test_files_rule(spark, change, want):
     instances = spark.createDataFrame([("r", "i", *FILE_NAMES)], "run_id string, instance_id string, fail_to_pass array<string>, pass_to_pass array<string>")
     log = spark.createDataFrame([("r", "i", FILE_LOG.replace(*change) if change[0] else FILE_LOG)], LOG)
-    g = evaluate_files(grading.expected_tests(instances, ("run_id", "instance_id")), log).first()
+    g = evaluate_files(grading.expected_tests(instances, ("run_id", "instance_id")), log)[0].first()
     assert (g.resolved, g.fail_to_pass_score, g.pass_to_pass_score) == want
     if change[0] != FILE_LOG:
         assert (g.total_tests_run, g.test_pass_rate) == (10, 0.8)
