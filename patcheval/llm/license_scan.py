@@ -1,8 +1,8 @@
 """Licence texts and notices in documents: Dice coefficient over word bigrams against templates.
 
-Compared are each line, each paragraph and the whole of a text. A unit of ``m`` different bigrams can reach a coefficient of ``t``
-with a template of ``n`` only if ``m`` lies between ``n * t / (2 - t)`` and ``n * (2 - t) / t``: units meet the templates of
-fitting size by an equality join on their size, and nearly all prose meets none.
+Compared are each line, each paragraph and the whole of a text. A unit of ``m`` bigrams can reach a coefficient of ``t``
+with a template of ``n`` only if ``m`` lies between ``n * t / (2 - t)`` and ``n * (2 - t) / t``: units of other sizes have no bigrams
+made, the rest meet the templates of fitting size by an equality join on their size. A bigram counts as often as both have it.
 """
 
 from __future__ import annotations
@@ -44,10 +44,17 @@ def normalised(text: Column) -> Column:
 
 
 def bigrams(unit: Column) -> Column:
-    """Different pairs of neighbouring words of a normalised unit; a unit of one word has that word."""
+    """Pairs of neighbouring words of a normalised unit; a unit of one word has that word."""
     w = F.split(unit, " ")
     pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.when(F.size(w) > 1, pairs).otherwise(w))
+    return F.when(F.size(w) > 1, pairs).otherwise(w)
+
+
+def shared_bigrams(a: Column, b: Column) -> Column:
+    """How many elements two lists share, each as often as both have it."""
+    times = lambda x, g: F.size(F.filter(x, lambda y: y == g))
+    both = F.transform(F.array_intersect(a, b), lambda g: F.least(times(a, g), times(b, g)))
+    return F.aggregate(both, F.lit(0), lambda n, x: n + x)
 
 
 def size_bounds(n: int, threshold: float) -> tuple[int, int]:
@@ -58,7 +65,7 @@ def _template_bigrams(text: str) -> list[str]:
     import re
 
     w = re.sub("[^a-z0-9]+", " ", text.lower()).strip().split(" ")
-    return sorted({f"{a} {b}" for a, b in zip(w, w[1:])} if len(w) > 1 else set(w))
+    return [f"{a} {b}" for a, b in zip(w, w[1:])] if len(w) > 1 else w
 
 
 def license_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -73,21 +80,22 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THR
     least, most = min(r[0] for r in rows), max(r[0] for r in rows)
     text = text_of()
     # '.' also ends lines in a paragraph: units only differ by where they are cut
-    units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n"), F.array(text)))
-    words = lambda u: F.size(F.split(u, " "))
-    # a unit has at most one bigram less than words; one with fewer words than the least bigrams has too few. Long ones may repeat.
-    fitting = F.filter(F.transform(units, normalised), lambda u: (u != "") & (words(u) >= least))
+    whole = F.array(text)
+    paragraphs = F.when(text.rlike(r"\n[ \t\r]*\n"), F.split(text, r"\n[ \t\r]*\n")).otherwise(whole)
+    units = F.array_distinct(F.concat(F.split(text, "\n"), paragraphs, whole))
+    # a unit has more characters than bigrams
+    sizes = lambda u: F.greatest(F.size(F.split(u, " ")) - 1, F.lit(1)).between(least, most)
+    fitting = F.filter(F.transform(F.filter(units, lambda u: F.length(u) >= least), normalised), lambda u: (u != "") & sizes(u))
     unit = docs.select(*row_key(), F.explode(F.array_distinct(fitting)).alias("_u")).select(*KEY, bigrams(F.col("_u")).alias("_g"))
-    unit = unit.withColumn("_m", F.size("_g")).where(F.col("_m").between(least, most))
-    shared = F.size(F.array_intersect("_g", "_b"))
+    unit = unit.withColumn("_m", F.size("_g"))
+    shared = shared_bigrams(F.col("_g"), F.col("_b"))
     dice = F.round(2 * shared / (F.col("_m") + F.col("_n")), 6)
     return unit.join(F.broadcast(by_size), "_m").select(*KEY, "license_id", dice.alias("dice")).where(F.col("dice") >= threshold)
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license_id, dice, license_ids) for every row: the best licence (then the first by id), its coefficient and all
-    licences found, sorted; nulls and '' where none is, as in null and empty texts. Words over bigrams repeat in no unit, so a
-    unit counts each bigram once, however often it has it."""
+    licences found, sorted; nulls and '' where none is, as in null and empty texts."""
     found = license_matches(docs, templates, threshold).groupBy(*KEY).agg(
         F.min(F.struct((-F.col("dice")).alias("d"), F.col("license_id").alias("i"))).alias("_best"), F.array_sort(F.collect_set("license_id")).alias("_all")
     )

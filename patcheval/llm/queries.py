@@ -67,13 +67,13 @@ def _sql_text(s: str) -> str:
 
 def _license_sql() -> str:
     norm = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
-    grams = "list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)"
+    grams = "CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END"
     known = ", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in license_scan.TEMPLATES)
     return f"""
 WITH templates AS (SELECT license_id, {grams} AS b FROM (SELECT license_id, string_split({norm.format("t")}, ' ') AS w FROM (VALUES {known}) v(license_id, t))),
 units AS (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, string_split(u, ' ') AS w FROM (SELECT DISTINCT doc_id, {norm.format("u")} AS u FROM (
   SELECT doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)), string_split_regex(coalesce(text, ''), '\\n[ \\t\\r]*\\n'), [coalesce(text, '')])) AS u FROM documents)) WHERE u <> '')),
-found AS (SELECT doc_id, license_id, round(2 * len(list_intersect(g, b)) / (len(g) + len(b)), 6) AS dice FROM units, templates
+found AS (SELECT doc_id, license_id, round(2 * coalesce(list_sum(list_transform(list_distinct(list_intersect(g, b)), lambda x: least(len(list_filter(g, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) / (len(g) + len(b)), 6) AS dice FROM units, templates
   WHERE 2 * least(len(g), len(b)) >= 0.8 * (len(g) + len(b)) - 1e-9),
 best AS (SELECT doc_id, arg_min(license_id, struct_pack(d := -dice, i := license_id)) AS license_id, max(dice) AS dice,
   string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS license_ids FROM found WHERE dice >= 0.8 GROUP BY doc_id)
