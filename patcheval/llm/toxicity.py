@@ -30,7 +30,7 @@ class Settings:
     buckets: int = 1 << 17
     dim: int = 8
     window: int = 10
-    grams: tuple[int, ...] = (3, 4, 5)
+    grams: tuple[int, ...] = (3, 5, 7)
     rounds: int = 10
     seed: int = 7
     word_limit: int = 40
@@ -179,7 +179,7 @@ def fit(texts: list[str], labels: list[int], class_rows: tuple[int, int], s: Set
             part = picked[k : k + 1024]
             ids, sizes = bags(part)
             label = y[[d for d, _ in part]]
-            _softmax_step(e, w, b, ids, sizes, label, np.where(label == 1, 1.0, 1.0), state, 0.3)
+            _softmax_step(e, w, b, ids, sizes, label, np.ones(len(label)), state, 0.3)
     score = word_scores()
     cal = np.flatnonzero(held & has) if (held & has).sum() >= 20 else np.flatnonzero(has)
     m = np.array([top(d, score)[1] for d in cal]) + b[0]
@@ -212,7 +212,8 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Fits on at most ``s.sample`` rows of each label, chosen by a hash of the id from all labelled rows that are
-    not held out; a label for several rows counts for each. Rows without a label of 0 or 1 are not learned from."""
+    not held out; a label for several rows counts for each, up to twice the sample in all. Rows without a label of 0 or 1 are
+    not learned from."""
     known = labels.select(F.col("doc_id").alias("_l"), F.col("toxic").cast("int").alias("_t")).where("_t in (0, 1)")
     # of repeated labels the higher; chosen by ids first: only the texts of the sample are read out
     ids = docs.select(F.col("doc_id").alias("_d")).where(F.col("_d").isNotNull() & ~held_out(F.col("_d"))).distinct()
