@@ -103,7 +103,7 @@ class Recent:
             known = self.old.keys() & new
             for w in known:
                 self.young[w] = self.old[w]
-            todo = sorted(new - known)
+            todo = list(new - known)
             self.young.update(zip(todo, self.learn(todo), strict=True))
             found = list(map(self.young.__getitem__, words))
             if len(self.young) > self.entries:

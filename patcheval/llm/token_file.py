@@ -77,13 +77,17 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, step: int = ST
     ends = np.cumsum(n)
     starts = ends - n
     total = int(ends[-1]) if len(ends) else 0
-    size = (total + 7) // 8
-    # a code of at most 24 bits lies in four bytes; codes share no bit, so sums put them together
-    word = codes[ids] << (32 - n - (starts & 7))
-    at, out = starts >> 3, np.zeros(size + 4)
-    for k in range(4):
-        out += np.bincount(at + k, weights=(word >> (24 - 8 * k)) & 255, minlength=size + 4)
-    return out[:size].astype(np.uint8).tobytes(), starts[::step]
+    marks, code = starts[::step], codes[ids]
+    if len(ids) % 2:
+        code, n = np.append(code, 0), np.append(n, 0)
+    # two codes of at most 20 bits each lie in six bytes; codes share no bit, so sums put them together
+    both, starts = n[::2] + n[1::2], starts[::2]
+    word = ((code[::2] << n[1::2]) | code[1::2]) << (48 - both - (starts & 7))
+    size, at = (total + 7) // 8, starts >> 3
+    out = np.zeros(size + 6)
+    for k in range((int(both.max(initial=0)) + 14) // 8):
+        out += np.bincount(at + k, weights=(word >> (40 - 8 * k)) & 255, minlength=size + 6)
+    return out[:size].astype(np.uint8).tobytes(), marks
 
 
 class Decoder:
