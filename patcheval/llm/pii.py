@@ -67,17 +67,20 @@ def _parts(entity: Column, kind: Column) -> Column:
     )
 
 
-def _bytes(key: str, i: Column) -> Column:
-    """Byte ``i`` of a keyed stream of 128."""
-    digest = [F.sha2(F.concat_ws("\x1f", F.lit(key), F.col("type"), F.col("entity"), F.col("attempt").cast("string"), F.lit(str(k))).cast("binary"), 256) for k in range(4)]
-    stream = F.concat(*digest)
-    return F.conv(F.substring(stream, F.pmod(i, F.lit(128)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+def _stream(key: str) -> Column:
+    """128 keyed bytes, in hexadecimal digits."""
+    said = [F.lit(key), F.col("type"), F.col("entity"), F.col("attempt").cast("string")]
+    return F.concat(*[F.sha2(F.concat_ws("\x1f", *said, F.lit(str(k))).cast("binary"), 256) for k in range(4)])
 
 
-def _surrogate(key: str) -> Column:
-    """The candidate for (type, entity, attempt)."""
+def _with_surrogate(df: DataFrame, key: str) -> DataFrame:
+    """Adds the candidate for (type, entity, attempt)."""
+    return df.withColumn("_stream", _stream(key)).withColumn("surrogate", _surrogate()).drop("_stream")
+
+
+def _surrogate() -> Column:
     e, chars = F.col("entity"), F.split("entity", "")
-    byte = lambda i: _bytes(key, i)
+    byte = lambda i: F.conv(F.substring("_stream", F.pmod(i, F.lit(128)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
     letter = lambda alphabet, i: F.substring(F.lit(alphabet), F.pmod(byte(i), F.lit(len(alphabet))) + 1, F.lit(1))
 
     def shaped(c, i):
@@ -124,7 +127,7 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     """(type, entity, surrogate) for the different (type, entity) of ``found``: no two of a type share a surrogate, none is an entity of
     that type. Of those that collide the one with the fewest attempts (then the first) keeps it, the others try again."""
     known = staged(found.select("type", "entity").distinct(), "entities")
-    state = staged(known.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(key)), "surrogates")
+    state = staged(_with_surrogate(known.withColumn("attempt", F.lit(0)), key), "surrogates")
     for _ in range(MAX_ATTEMPTS):
         first = state.groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("_first"))
         real = known.select("type", F.col("entity").alias("surrogate"), F.lit(True).alias("_real"))
@@ -133,7 +136,7 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
         judged = staged(judged.select("type", "entity", "attempt", "surrogate", again.alias("_again")), "judged")
         if judged.where("_again").isEmpty():
             return state.drop("attempt")
-        tried = judged.where("_again").select("type", "entity", (F.col("attempt") + 1).alias("attempt")).withColumn("surrogate", _surrogate(key))
+        tried = _with_surrogate(judged.where("_again").select("type", "entity", (F.col("attempt") + 1).alias("attempt")), key)
         state = staged(judged.where("not _again").drop("_again").unionByName(tried), "surrogates")
     raise ValueError("entities of a type outnumber its surrogates")
 
