@@ -24,7 +24,8 @@ THRESHOLD = 0.3
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: labelled rows of each class that are fitted on, at most. ``window``: words averaged."""
+    """``sample``: labelled rows of each class that are fitted on, at most. ``window``: words averaged. Words of over ``word_limit``
+    characters are split into parts of ``part`` and what the next one overlaps."""
 
     sample: int = 1500
     buckets: int = 1 << 17
@@ -33,7 +34,8 @@ class Settings:
     grams: tuple[int, ...] = (3, 5, 7)
     rounds: int = 10
     seed: int = 7
-    word_limit: int = 40
+    word_limit: int = 80
+    part: int = 8
 
 
 @dataclass
@@ -51,15 +53,20 @@ class Model:
 
 
 def grams_of(word: str, s: Settings) -> list[int]:
-    """Buckets of the n-grams of a word between its bounds. Of a very long word the n-grams of its first and last parts count."""
-    if len(word) > 2 * s.word_limit:
-        word = word[: s.word_limit] + word[-s.word_limit :]
+    """Buckets of the n-grams of a word between its bounds."""
     w = f"<{word}>"
     return [zlib.crc32(w[i : i + n].encode()) % s.buckets for n in s.grams for i in range(max(1, len(w) - n + 1))]
 
 
-def words_of(text: str) -> list[str]:
-    return text.lower().split()
+def words_of(text: str, s: Settings) -> list[str]:
+    """Words between white space. One of over ``word_limit`` characters counts as several, of ``part`` new characters each and as
+    many of the next as the longest n-gram needs: all its n-grams are in one of them, and windows are as short as elsewhere."""
+    words = text.lower().split()
+    if not words or max(map(len, words)) <= s.word_limit:
+        return words
+    step, size = s.part, s.part + max(s.grams) - 1
+    cut = lambda w: [w[i : i + size] for i in range(0, len(w) - size + step, step)]
+    return [p for w in words for p in (cut(w) if len(w) > s.word_limit else (w,))]
 
 
 class Scorer:
@@ -80,7 +87,7 @@ class Scorer:
         """The largest mean margin of any window of each text; an empty text has the bias alone."""
         w = self.model.settings.window
         for some in groups(texts):
-            lists = [words_of(t) for t in some]
+            lists = [words_of(t, self.model.settings) for t in some]
             values = np.array(self.recent.values(list(chain.from_iterable(lists)))).reshape(-1, 2)
             for a in shared_out(lists, values):
                 if not len(a):
@@ -134,7 +141,7 @@ def fit(texts: list[str], labels: list[int], class_rows: tuple[int, int], s: Set
     flat = Model(e, np.zeros_like(w), 0.0, 1.0, float(np.log((share + 1e-4) / (1 - share + 1e-4))), s)
     if not len(y) or y.min() == y.max():
         return flat
-    lists = [words_of(t) for t in texts]
+    lists = [words_of(t, s) for t in texts]
     names = sorted(set().union(*lists))
     number = dict(zip(names, range(len(names)), strict=True))
     docs = [np.fromiter((number[x] for x in d), np.int32, len(d)) for d in lists]

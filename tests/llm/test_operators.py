@@ -326,6 +326,25 @@ def test_toxicity(spark, no_docs):
     assert {x.score for x in toxicity.score_documents(docs, toxicity.train(docs, table.limit(0))).collect()}.__len__() == 1
 
 
+def test_every_part_of_long_words_counts():
+    s = toxicity.Settings()
+    r = random.Random(2)
+    for n in (79, 80, 81, 85, 86, 87, 126, 127, 1000):
+        w = "".join(r.choice("abcdefghij") for _ in range(n))
+        parts = toxicity.words_of(w, s)
+        assert max(map(len, parts)) <= 80
+        for k in s.grams:
+            assert all(any(w[i : i + k] in p for p in parts) for i in range(n - k + 1))
+    clean = ["".join(r.choice(("la", "re", "to", "mi")) for _ in range(3)) for _ in range(200)]
+    texts = [" ".join(r.choice(clean) for _ in range(30)) for _ in range(300)]
+    texts = [t + " wretchling foulmouth" if i % 2 else t for i, t in enumerate(texts)]
+    model = toxicity.fit(texts, [i % 2 for i in range(300)], (150, 150), toxicity.Settings(buckets=1 << 14))
+    for mark in ("_", "\u200b", ""):
+        ends = [mark.join(r.choice(clean) for _ in range(60)) for _ in range(2)]
+        good, bad = toxicity.Scorer(model).probability([mark.join(ends), mark.join([ends[0], "wretchling", "foulmouth", ends[1]])])
+        assert good < 0.5 < bad and bad > good + 0.2, (mark, good, bad)
+
+
 def test_held_out_rule(spark):
     import zlib
 
