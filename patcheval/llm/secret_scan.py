@@ -2,7 +2,8 @@
 
 Some parts are secrets only together: an access identifier, a random-looking string and the endpoint both are for. Parts of
 each sort are found alone; each weak one is then joined to the parts of other sorts whose intervals
-lie within a scope around it, and reported only if complementary ones are there.
+lie within a scope around it, and reported only if complementary ones are there: an identifier and material are a credential,
+with or without an endpoint. An endpoint and material without an identifier are listed apart, as less sure.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 # parts that are weak alone
 _IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])(?:(?:client|user|account|access)[_-]?(?:id|name|key)|login|username)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?([A-Za-z0-9_.@-]{3,128})", re.I | re.A)
-_MATERIAL = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,256}(?![A-Za-z0-9+/_-])", re.A)
+_MATERIAL = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", re.A)
 _ENDPOINT = re.compile(r"(?<![a-z0-9+.-])(?:https?|s3|amqps?|mongodb|postgres(?:ql)?|mysql|redis|jdbc:[a-z]{2,12})://[^\s\"'<>]{3,400}", re.A)
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
@@ -39,8 +40,18 @@ def _entropy(s: str) -> float:
 
 
 def _random_looking(s: str) -> bool:
-    """Letters of both cases and digits, spread evenly: no word, path or number."""
-    return any(map(str.isdigit, s)) and any(map(str.islower, s)) and any(map(str.isupper, s)) and _entropy(s) >= 3.5
+    """Spread evenly, and of letters of both cases and digits; or of fewer sorts that change more often than in words, names and
+    numbers; or capitals alone without marks between."""
+    if _entropy(s) < 3.5:
+        return False
+    digit, lower, upper = any(map(str.isdigit, s)), any(map(str.islower, s)), any(map(str.isupper, s))
+    if digit and lower and upper:
+        return True
+    sorts = ["d" if c.isdigit() else "l" if c.islower() else "u" for c in s if c.isalnum()]
+    changes = sum(map(str.__ne__, sorts, sorts[1:]))
+    if digit:
+        return 6 * changes >= len(s)
+    return 3 * changes > len(s) if lower else upper and len(sorts) == len(s)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -60,21 +71,26 @@ class _Intervals:
         self.starts = [s for s, _ in self.spans]
         self.ends = sorted(e for _, e in spans)
 
+    def count(self, start: int, end: int) -> int:
+        """How many intervals overlap [start, end): those that have begun before its end without those that ended before its start."""
+        return bisect_left(self.starts, end) - bisect_right(self.ends, start)
+
     def meets(self, start: int, end: int) -> bool:
-        """Whether an interval overlaps [start, end): more have begun before its end than ended before its start."""
-        return bisect_left(self.starts, end) > bisect_right(self.ends, start)
+        return self.count(start, end) > 0
 
 
-def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int = 200) -> list[tuple[int, int, str]]:
-    """Weak parts with both other sorts within ``scope`` characters, or one and a base finding of the missing sort.
+def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int = 200) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Weak parts within ``scope`` characters of others, sure ones and less sure ones.
 
     An identifier is an access key or a user or client name; material is an assignment, long hex, or a random-looking
-    string; an endpoint is a URL of a service. Parts that overlap a base span are not reported again.
+    string; an endpoint is a URL of a service. Sure are an identifier and material near each other that are not the same string,
+    and each part with both other sorts near; less sure are an endpoint and material otherwise. Parts that overlap a base span are not
+    reported again.
     """
     ends = [m.span() for m in _ENDPOINT.finditer(text)]
     names = [m.span(1) for m in _IDENTIFIER.finditer(text)]
     if not (ends or names or base):
-        return []
+        return [], []
     stuff = [m.span() for m in _MATERIAL.finditer(text) if _random_looking(m[0])]
     whole = _Intervals([(s, e) for s, e, _ in base])
     urls = _Intervals(ends)
@@ -84,13 +100,19 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int = 200)
         "material": _Intervals(stuff + [(s, e) for s, e, k in base if k != "access"]),
         "endpoint": urls,
     }
-    out = []
+    sure, unsure = [], []
     for kind, spans in (("identifier", names), ("material", stuff), ("endpoint", ends)):
-        others = [v for k, v in sorts.items() if k != kind]
+        others = [k for k in sorts if k != kind]
         for start, end in spans:
-            if not whole.meets(start, end) and all(o.meets(start - scope, end + scope) for o in others):
-                out.append((start, end, kind))
-    return out
+            if whole.meets(start, end):
+                continue
+            near = {k: sorts[k].meets(start - scope, end + scope) for k in others}
+            mate = {"identifier": "material", "material": "identifier"}.get(kind)
+            if all(near.values()) or mate and sorts[mate].count(start - scope, end + scope) > sorts[mate].count(start, end):
+                sure.append((start, end, kind))
+            elif near.get({"material": "endpoint", "endpoint": "material"}.get(kind)):
+                unsure.append((start, end, kind))
+    return sure, unsure
 
 
 def _said(spans) -> str:
@@ -104,23 +126,24 @@ def _run(scope: int):
             for text in batch.column("text"):
                 text = text.as_py()
                 base = base_spans(text)
-                every = sorted(base + linked_spans(text, base, scope), key=lambda s: (s[0], KINDS.index(s[2])))
+                sure, unsure = linked_spans(text, base, scope)
+                every, less = (sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in (base + sure, unsure))
                 n = Counter(k for _, _, k in base)
-                rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(_said(base).encode()).hexdigest(), _said(every)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+                rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(_said(base).encode()).hexdigest(), _said(every), _said(less)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], *[pa.array(c, pa.string()) for c in columns[3:]]],
-                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "unsure_spans"],
             )
 
     return run
 
 
 def scan_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row; a null or empty text has no spans. Scopes lie within a
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, unsure_spans) for every row; a null or empty text has no spans. Scopes lie within a
     text, so nothing is shuffled; all passes over a text are linear in it, the join in the number of its parts times its logarithm."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        _run(scope), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+        _run(scope), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, unsure_spans string"
     )
 
 

@@ -377,6 +377,21 @@ def test_linked_spans(spark, docs, no_docs):
     assert all_rows.where("doc_id = 4").first().base_sha256 == B.sha("")
 
 
+def test_pairs_of_parts(spark):
+    key, long = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "aB3dE5fG7hJ9kL1mN3pQ5rS7" * 20
+    texts = [
+        f"aws_access_key_id = AKIA{'ABCDEFGH23456789'}\naws_secret_access_key = {key}",  # no endpoint
+        f"client_id: web-frontend\nprivate: {long}",  # a run of 480 characters
+        "login = bob value QmFzZVdpdGhvdXREaWdpdHNPZlJhbkRvTVh", "login = bob value JBSWY3DPEHPK3PXPQ2TNOA4W", "login = bob value QWXZRTPLKJHGFDSAMNBVCY",
+        f"{key} at https://store.example.com/api", f"user_id: {key}", "login = bob getUserAccountInformationFromServer", "login = bob see 2024-01-01/some-long-title-of-a-page",
+    ]
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(B.documents(spark, list(enumerate(texts)))).collect()}
+    kinds = [[x.split(":")[0] for x in got[i].spans.split(",") if x] for i in range(len(texts))]
+    assert kinds == [["access", "material"], *[["identifier", "material"]] * 4, [], [], [], []]
+    assert got[0].spans.endswith(f"material:{texts[0].index(key)}:{len(texts[0])}") and got[1].spans.endswith(f":{len(texts[1])}")
+    assert [x.split(":")[0] for x in got[5].unsure_spans.split(",")] == ["material", "endpoint"] and not any(got[i].unsure_spans for i in (0, 1, 2, 3, 4, 6, 7, 8))
+
+
 # ---- 2
 
 
