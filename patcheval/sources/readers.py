@@ -7,6 +7,8 @@ reader that has an order to keep adds ``file`` and ``position``.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,13 +98,15 @@ def read_raw_lines(spark, path) -> DataFrame:
 
 def read_hub_split(spark, path, preference=("test", "train")) -> DataFrame:
     """Rows of the preferred ``split=...`` partition of a Parquet directory, else of the first one.
-    The directory's names are listed to choose, and only the chosen partition is read."""
-    df = spark.read.parquet(path)
-    names = [n.removeprefix("split=") for n in _names(spark, f"{str(path).rstrip('/')}/split=*")]
+    The directory's names are listed to choose, and only the chosen folder is read."""
+    top = str(path).rstrip("/")
+    names = [n.removeprefix("split=") for n in _names(spark, f"{top}/split=*")]
     if not names:
-        return df.limit(0).drop("split")
-    best = min(names, key=lambda n: (preference.index(n) if n in preference else len(preference), n))
-    return df.where(F.col("split").cast("string") == best).drop("split")
+        return spark.read.parquet(path).limit(0).drop("split")
+    # folder names are escaped, and Spark would infer a number from 01
+    value = {n: unquote(n) for n in names}
+    best = min(names, key=lambda n: (preference.index(value[n]) if value[n] in preference else len(preference), value[n]))
+    return spark.read.parquet(f"{top}/split={best}").drop("split")
 
 
 def read_predictions_map(spark, path) -> DataFrame:

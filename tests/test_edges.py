@@ -107,6 +107,13 @@ def test_hub_split(spark, tmp_path):
     assert readers.read_hub_split(spark, str(tmp_path / "h"), ("dev",)).columns == ["id"]
 
 
+def test_hub_split_names_that_are_no_words(spark, tmp_path):
+    for k, name in enumerate(("01", "2024-01-02", "a:b")):
+        spark.range(3 + k).selectExpr("id", f"'{name}' AS split").write.partitionBy("split").parquet(str(tmp_path / str(k)))
+        got = readers.read_hub_split(spark, str(tmp_path / str(k)), (name,))
+        assert got.columns == ["id"] and got.count() == 3 + k
+
+
 def test_compared_runs_read_their_input_once(spark, tmp_path):
     path = str(tmp_path / "e")
     spark.createDataFrame([("F", "a", "resolved"), ("O", "a", "error"), ("F", "b", "error")], "run_id string, instance_id string, status string").write.parquet(path)
