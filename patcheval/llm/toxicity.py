@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patcheval.llm.common import Recent, groups, shared_out, text_of
@@ -25,7 +25,7 @@ THRESHOLD = 0.3
 @dataclass(frozen=True)
 class Settings:
     """``sample``: labelled rows of each class that are fitted on, at most. ``window``: words averaged. Words of over ``word_limit``
-    characters are split into parts of ``part`` and what the next one overlaps."""
+    characters are split into parts of ``part`` and what the next one overlaps. ``rows_per_id``: rows of one id fitted on."""
 
     sample: int = 1500
     buckets: int = 1 << 17
@@ -36,6 +36,7 @@ class Settings:
     seed: int = 7
     word_limit: int = 80
     part: int = 8
+    rows_per_id: int = 2
 
 
 @dataclass
@@ -219,7 +220,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Fits on at most ``s.sample`` rows of each label, chosen by a hash of the id from all labelled rows that are
-    not held out; a label for several rows counts for each, up to twice the sample in all. Rows without a label of 0 or 1 are
+    not held out; of rows with the same id the first ``s.rows_per_id`` by text count. Rows without a label of 0 or 1 are
     not learned from."""
     known = labels.select(F.col("doc_id").alias("_l"), F.col("toxic").cast("int").alias("_t")).where("_t in (0, 1)")
     # of repeated labels the higher; chosen by ids first: only the texts of the sample are read out
@@ -231,7 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     sample = chosen[0].union(chosen[1])
     rows = (
         docs.select("doc_id", text_of().alias("_x")).join(F.broadcast(sample), F.col("doc_id") == F.col("_l"))  # at most 2 * sample rows
-        .select("_t", "_l", "_x").orderBy(order, "_x").limit(4 * s.sample).collect()
+        .select("_t", "_l", "_x", F.row_number().over(Window.partitionBy("_l").orderBy("_x")).alias("_n")).where(F.col("_n") <= s.rows_per_id)
+        .orderBy(order, "_x").collect()
     )
     return fit([r["_x"] for r in rows], [r["_t"] for r in rows], (counts.get(0, 0), counts.get(1, 0)), s)
 

@@ -326,6 +326,17 @@ def test_toxicity(spark, no_docs):
     assert {x.score for x in toxicity.score_documents(docs, toxicity.train(docs, table.limit(0))).collect()}.__len__() == 1
 
 
+def test_an_id_of_many_rows_leaves_others_in_the_sample(spark):
+    s = toxicity.Settings(buckets=1 << 10, sample=20)
+    ids = [i for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    learned = [r.i for r in spark.createDataFrame([(i,) for i in ids], "i long").where(~toxicity.held_out(F.col("i"))).orderBy(F.xxhash64(F.lit(s.seed), "i")).collect()]
+    hot = learned[0]  # the first of the sample, with more rows than the sample has
+    rows = [(i, "vile dreck words" if i % 2 else "some mild words") for i in ids if i != hot] + [(hot, f"row {k}") for k in range(200)]
+    model = toxicity.train(B.documents(spark, rows), labels, s)
+    assert model.softmax.any()  # both classes were there
+
+
 def test_every_part_of_long_words_counts():
     s = toxicity.Settings()
     r = random.Random(2)
