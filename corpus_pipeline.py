@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from patcheval.functions.stage import staged
-from patcheval.llm import decontaminate, exact_dedup, near_copies, toxicity
+from patcheval.llm import decontaminate, exact_dedup, simhash, toxicity
 from patcheval.llm.common import table
 from patcheval.llm.pieces import encode_and_decode
 
@@ -23,8 +23,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles with a Jaccard similarity of 0.8 or more, verified. The three bits of ``simhash`` are op6's rule only."""
-    return near_copies.drop_near_copies(docs)
+    """Fingerprints of three-word shingles within three bits, as the operator's own query links them."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
