@@ -50,14 +50,15 @@ KEY = ["_k_null", "_k_id", "_k_hash", "_k_len"]
 
 def keep_rows(docs: DataFrame, keys: DataFrame, how: str = "left_semi", once: bool = False) -> DataFrame:
     """The rows of ``docs`` whose key is (``left_anti``: is not) in ``keys``, with the columns of ``docs``.
-    ``once``: of rows with the same key only one, the first by all other columns."""
+    ``once``: of rows with the same key only one, the first by all other columns (by their JSON where there are maps)."""
     from pyspark.sql import Window
 
     names = docs.columns
+    sortable = not re.search(r"\b(map<|variant\b)", docs.schema.simpleString())
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *row_key())
     kept = keyed.join(keys.select(*KEY).distinct(), KEY, how)
     if once:
-        w = Window.partitionBy(*KEY).orderBy("_row")
+        w = Window.partitionBy(*KEY).orderBy("_row" if sortable else F.to_json("_row"))
         kept = kept.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     return kept.select("_row.*")
 
@@ -87,25 +88,31 @@ def groups(texts: list[str], size: int = PIECE) -> Iterator[list[str]]:
         yield out
 
 
+#: Characters of a word that workers remember at most. A text without blanks is one word.
+LONGEST = 64
+
+
 class Recent:
-    """Values of words, computed once while a word is in use: two tables of up to ``entries`` words, of which the
-    older is dropped when the younger is full. ``learn`` gives the values of a list of new words."""
+    """Values of words, computed once while a word is in use: two tables of up to ``entries`` words of up to ``LONGEST``
+    characters, of which the older is dropped when the younger is full. ``learn`` gives the values of a list of new words."""
 
     def __init__(self, learn, entries: int):
         self.learn, self.entries = learn, entries
         self.young: dict = {}
         self.old: dict = {}
 
+    def remember(self, values: dict) -> None:
+        self.young.update((w, v) for w, v in values.items() if len(w) <= LONGEST)
+
     def values(self, words: list[str]) -> list:
         found = list(map(self.young.get, words))
         if None in found:
             new = {w for w, v in zip(words, found, strict=True) if v is None}
-            known = self.old.keys() & new
-            for w in known:
-                self.young[w] = self.old[w]
-            todo = list(new - known)
-            self.young.update(zip(todo, self.learn(todo), strict=True))
-            found = list(map(self.young.__getitem__, words))
+            known = {w: self.old[w] for w in self.old.keys() & new}
+            todo = list(new.difference(known))
+            known.update(zip(todo, self.learn(todo), strict=True))
+            self.remember(known)
+            found = [known[w] if v is None else v for w, v in zip(words, found, strict=True)]
             if len(self.young) > self.entries:
                 self.old, self.young = self.young, {}
         return found

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from patcheval.functions.stage import staged
 from patcheval.llm.common import text_of, tokenizer_file
 from patcheval.llm.word_cache import word_encoder
 
@@ -28,12 +29,14 @@ def _measure(path: str):
 
 def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(n_tokens, n_docs): how many rows have a text of so many ids. Null and empty texts have 0; an empty table has no rows.
-    Only lengths leave the task that encodes, added up there before they are shuffled."""
+    Only lengths leave the task that encodes, added up there before they are shuffled. The histogram is a written
+    table, so that texts are encoded once however often it is read."""
     tokenizer = tokenizer or tokenizer_file("byte_bpe_50k.json")
-    return (
+    counted = (
         docs.select(text_of().alias("text")).mapInArrow(_measure(tokenizer), "n_tokens long").groupBy("n_tokens")
         .agg(F.count(F.lit(1)).alias("n_docs"))
     )
+    return staged(counted, "lengths")
 
 
 def limit_table(histogram: DataFrame) -> DataFrame:

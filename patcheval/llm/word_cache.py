@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 
-from patcheval.llm.common import Recent, groups, pieces, shared_out
+from patcheval.llm.common import LONGEST, Recent, groups, pieces, shared_out
 
 #: Punctuation that no special token has.
 _TAIL = ".,%$&*#!?;:"
@@ -51,19 +51,20 @@ class WordEncoder:
         young, old = self.words.young, self.words.old
         halves = [self._halves(w) for w in new]
         todo = list({h for h, _ in halves}.difference(young).difference(old))
-        young.update(zip(todo, self._encode(todo), strict=True))
-        return [(young.get(h) or old[h]) + (t and self._tail(t)) for h, t in halves]
+        fresh = dict(zip(todo, self._encode(todo), strict=True))
+        self.words.remember(fresh)
+        return [(fresh.get(h) or young.get(h) or old[h]) + (t and self._tail(t)) for h, t in halves]
 
     def _halves(self, word: str) -> tuple[str, bytes | str]:
         rest = word.rstrip(_TAIL)
-        if len(rest) < len(word) and rest[-1:].isalpha() and rest[-1] < "ʰ":
+        if 0 < len(word) - len(rest) <= LONGEST and rest[-1:].isalpha() and rest[-1] < "ʰ":
             return rest, word[len(rest) :]
         return word, b""
 
     def _tail(self, tail: str) -> bytes:
         found = self.tails.get(tail)
         if found is None:
-            if len(self.tails) > 10_000:
+            if len(self.tails) > 10_000:  # of bounded length: a longer run of marks is a word
                 self.tails.clear()
             found = self.tails[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, self.dtype).tobytes()
         return found

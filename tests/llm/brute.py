@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -81,3 +82,18 @@ def contamination(text, items) -> tuple:
 
 def crc(ids) -> int:
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def pipeline(rows, items):
+    """Rows left by exact dedup, near dedup and decontamination; nothing is toxic."""
+    groups = {}
+    for row in rows:
+        groups.setdefault(stripped(row[1]), []).append(row)
+    by_id = lambda r: (r[0] is None, r[0] or 0)
+    left = [min(g, key=lambda r: (-len(r[1] or ""), *by_id(r))) for g in groups.values()]
+    roots = component_roots([fingerprint(t) for _, t in left])
+    near = {}
+    for row in left:
+        near.setdefault(roots[fingerprint(row[1])], []).append(row)
+    left = [min(g, key=by_id) for g in near.values()]
+    return Counter(r for r in left if not contamination(r[1], items)[4])
