@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,3 +125,22 @@ def shared_out(lists: list[list], values: list):
     for x in lists:
         yield values[at : at + len(x)]
         at += len(x)
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels are not learned: crc32 of the id as text, modulo 4, is 2. A null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def logistic(m: np.ndarray, t: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve over the margins, with a small pull of the slope to 0 and never below it."""
+    centre, spread = m.mean(), m.std() + 1e-9
+    x, a, c = (m - centre) / spread, 1.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * x + c, -30, 30)))
+        g = np.array([(weight * (p - t) * x).sum() + 0.5 * a, (weight * (p - t)).sum()])
+        v = weight * p * (1 - p)
+        h = np.array([[(v * x * x).sum() + 0.5, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-6]])
+        d = np.clip(np.linalg.solve(h, g), -1, 1)
+        a, c = max(a - d[0], 1e-3), c - d[1]
+    return float(a / spread), float(c - a * centre / spread)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patcheval.llm import decontaminate, exact_dedup, license_scan, pii, secret_scan, simhash, token_file, token_lengths, toxicity
+from patcheval.llm import (
+    decontaminate, exact_dedup, license_scan, merkle, pii, quality, secret_scan, simhash, token_file, token_lengths, toxicity, vector_codes,
+)
 from patcheval.llm.common import table
 from patcheval.llm.pieces import encode_and_decode
 
@@ -50,11 +52,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_leaf())
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_license_scan, op3_sentencepiece, op4_token_files, op5_exact_dedup, op6_simhash, op7_secret_scan, op8_pii,
-        op9_token_lengths, op10_decontaminate,
+        op9_token_lengths, op10_decontaminate, op11_quality, op12_merkle, op13_vector_codes,
     )
 }
 
@@ -80,6 +95,51 @@ best AS (SELECT doc_id, arg_min(license_id, struct_pack(d := -dice, i := license
 SELECT doc_id, license_id, dice, coalesce(license_ids, '') AS license_ids FROM documents LEFT JOIN best USING (doc_id)"""
 
 
+def _merkle_sql() -> str:
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # a character, then eight shifts for its bits
+    steps = "flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [ord(substring(doc_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295::BIGINT)"
+    level = "SELECT lvl + 1, g, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM {0} WHERE n > 1 GROUP BY lvl, g, pos // 16, n"
+    siblings = "SELECT a.lvl, a.g, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r FROM {0} a JOIN {0} b ON a.lvl = b.lvl AND a.g = b.g AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY a.lvl, a.g, a.pos"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lowered)} ELSE {leaf("text")} END AS other FROM documents),
+leaves AS (SELECT *, row_number() OVER () AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM d),
+nodes(lvl, g, pos, h, n) AS (SELECT 0, g, pos, leaf, count(*) OVER (PARTITION BY g) FROM leaves UNION ALL {level.format("nodes")}),
+subroots AS (SELECT g, max(h) FILTER (n = 1) AS subroot, max(lvl) AS height FROM nodes GROUP BY g),
+tops(lvl, g, pos, h, n) AS (SELECT 0, 0, g, subroot, count(*) OVER () FROM subroots UNION ALL {level.format("tops")}),
+root AS (SELECT max(h) FILTER (n = 1) AS root FROM tops),
+low AS ({siblings.format("nodes")}), high AS ({siblings.format("tops")}),
+path AS (SELECT k, lvl AS step, l, r FROM leaves JOIN low ON low.g = leaves.g AND low.pos = leaves.pos // (16 ** low.lvl)::BIGINT
+  UNION ALL SELECT k, height + lvl, l, r FROM leaves JOIN subroots USING (g) JOIN high ON high.pos = leaves.g // (16 ** high.lvl)::BIGINT),
+proof AS (SELECT k, sha256(string_agg(l || r, '' ORDER BY step)) AS p FROM path GROUP BY k),
+fold(k, step, node) AS (SELECT k, 0, other FROM leaves UNION ALL SELECT fold.k, fold.step + 1, sha256(l || node || r) FROM fold JOIN path ON path.k = fold.k AND path.step = fold.step),
+ends AS (SELECT k, arg_max(node, step) AS folded_root FROM fold GROUP BY k)
+SELECT doc_id, leaf, subroot, root, coalesce(p, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (g) JOIN ends USING (k) LEFT JOIN proof USING (k), root"""
+
+
+def _codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    steps = []
+    near = "SELECT k, p, v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT k, x.p, v, e, list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d FROM x JOIN book{r} b ON x.p = b.p) GROUP BY k, p, v"
+    for r in range(rounds):
+        steps.append(f"near{r} AS ({near.format(r=r)})")
+        mean = "SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS m FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS i FROM near{r}) GROUP BY p, e, i) GROUP BY p, e"
+        steps.append(f"book{r + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN ({mean.format(r=r)}) m ON b.p = m.p AND b.e = m.e)")
+    return f"""
+WITH kept AS (SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, lambda c: floor(4096 * c::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS (SELECT k, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) t(p)),
+starts AS (SELECT k, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept QUALIFY e < {entries}),
+book0 AS (SELECT p, e, v AS c FROM x JOIN starts USING (k)),
+{", ".join(steps)}, last AS ({near.format(r=rounds)}),
+codes AS (SELECT k, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM last GROUP BY k),
+books AS (SELECT sha256(string_agg(list_aggregate(c, 'string_agg', ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN codes USING (k), books"""
+
+
 SQL = {
     "op2_license_scan": _license_sql(),
     "op5_exact_dedup": r"""
@@ -97,4 +157,6 @@ words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS said FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(said, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_merkle": _merkle_sql(),
+    "op13_vector_codes": _codes_sql(),
 }

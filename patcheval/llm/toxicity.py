@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patcheval.llm.common import Recent, groups, shared_out, text_of
+from patcheval.llm.common import Recent, groups, held_out, logistic, shared_out, text_of
 
 THRESHOLD = 0.3
 
@@ -193,31 +193,12 @@ def fit(texts: list[str], labels: list[int], class_rows: tuple[int, int], s: Set
     m = np.array([top(d, score)[1] for d in cal]) + b[0]
     t = y[cal]
     scale = np.array([class_rows[0] / max(1, (t == 0).sum()), class_rows[1] / max(1, (t == 1).sum())])[t]
-    return Model(e, w, float(b[0]), *_calibrate(m, t, scale / scale.sum() * len(t)), s)
-
-
-def _calibrate(m: np.ndarray, t: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over the margins, with a small pull of the slope to 0 and never below it."""
-    centre, spread = m.mean(), m.std() + 1e-9
-    x, a, c = (m - centre) / spread, 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + c, -30, 30)))
-        g = np.array([(weight * (p - t) * x).sum() + 0.5 * a, (weight * (p - t)).sum()])
-        v = weight * p * (1 - p)
-        h = np.array([[(v * x * x).sum() + 0.5, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-6]])
-        d = np.clip(np.linalg.solve(h, g), -1, 1)
-        a, c = max(a - d[0], 1e-3), c - d[1]
-    return float(a / spread), float(c - a * centre / spread)
+    return Model(e, w, float(b[0]), *logistic(m, t, scale / scale.sum() * len(t)), s)
 
 
 # ---- Spark jobs
 
 
-def held_out(doc_id: Column) -> Column:
-    """Rows whose labels are not learned: crc32 of the id as text, modulo 4, is 2. A null id is not held out."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Fits on at most ``s.sample`` rows of each label, chosen by a hash of the id from all labelled rows that are
     not held out; of rows with the same id the first ``s.rows_per_id`` by text count. Rows without a label of 0 or 1 are
