@@ -35,12 +35,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str = "stage") -> tuple[DataFrame, str]:
+    """:func:`staged`, and the folder of the table, for :func:`remove`."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """The rows of ``df``, written once and read back: what follows reads a table, in as few columns
     as it needs, however often it uses it and whichever executors are lost meanwhile."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes the table of a :func:`written` stage that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
