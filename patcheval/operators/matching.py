@@ -3,9 +3,9 @@
 ``match_expected`` looks an expected name up in four tiers: the same name, the same normalised
 name, a name that contains it or is contained in it, and more than half of the words shared.
 
-All are equality joins, whatever the size of a run. The first two join on (keys, lookup name). For containment each name
-is joined by those of its substrings that are as long as a name of the other side, and only the first position of
-each substring is kept. For words only those count that both sides have; names alike in them are one, and two names that share
+All are equality joins, whatever the size of a run. The first two join on (keys, lookup name). For containment a name
+that may hold others is indexed by its windows of 1, 2, 4, ... characters; a name that may be held is looked up by the rarest of
+its windows of at least half its length, and what it meets there is compared. For words only those count that both sides have; names alike in them are one, and two names that share
 more than half of their words must share one of the few rarest of each.
 """
 
@@ -86,40 +86,67 @@ def _named(keys, text: Column) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *keys, text).alias(f"k{seed}") for seed in (1, 2)]
 
 
-def _substrings(keys, text: Column, lengths: Column) -> Column:
-    """Hashes of the different substrings of a text that have one of ``lengths``."""
+def _window_size(text: Column) -> Column:
+    """The largest power of two that is no more than the text's length; 0 for an empty text."""
+    n = F.length(text)
+    return F.when(n == 0, 0).otherwise(F.call_function("shiftleft", F.lit(1), F.length(F.bin(n)) - 1)).cast("int")
 
-    def of_length(n):
+
+def _windows(keys, text: Column, sizes: Column) -> Column:
+    """Hashes of the different windows of ``sizes`` characters of a text within (keys). What they bring together is compared."""
+
+    def of_size(n):
         last = F.length(text) - n + 1
         starts = F.when(n == 0, F.array(F.lit(1))).when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
-        subs = F.transform(starts, lambda i: F.struct(*_named(keys, F.substr(text, i, n))))
-        return F.coalesce(subs, F.array().cast("array<struct<k1:bigint,k2:bigint>>"))
+        return F.coalesce(F.transform(starts, lambda i: F.xxhash64(n, *keys, F.substr(text, i, n))), F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.flatten(F.transform(sizes, of_size)))
+
 
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+def _rarest_windows(needles: DataFrame, stacks: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
+    """(id, g, n, first): of each needle's windows of at least half its length the one that the fewest stacks hold, how many
+    these are, and the first of them (position, id); needles with a window that none holds are left out. (g, id): stacks by windows.
+
+    Both sides have (id, position, keys, norm). A stack has windows of a few sizes only, at most one for each doubling up to its
+    length: L log L rows, not one for each of its substrings.
+    """
+    sized = needles.withColumn("w", _window_size(F.col("norm"))).withColumn("gs", _windows(keys, F.col("norm"), F.array("w")))
+    mine = staged(sized.select("id", F.size("gs").alias("all"), F.explode("gs").alias("g")), "match-windows")
+    # sizes of one run: at most as many as a length has bits
+    sizes = sized.groupBy(*keys).agg(F.collect_set("w").alias("sizes"))
+    theirs = stacks.join(sizes, list(keys)).select("id", "position", F.explode(_windows(keys, F.col("norm"), F.col("sizes"))).alias("g"))
+    held = staged(theirs.join(mine.select("g").distinct(), "g", "left_semi"), "match-held")
+    counts = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("position", "id")).alias("first"))
+    best = mine.join(counts, "g").groupBy("id").agg(
+        F.count(F.lit(1)).alias("seen"), F.first("all").alias("all"), F.min(F.struct("n", "g", "first")).alias("best")
+    )
+    return best.where(F.col("seen") == F.col("all")).select("id", "best.g", "best.n", "best.first"), held.select("g", "id")
+
+
+def _contain(pairs: DataFrame, needles: DataFrame, stacks: DataFrame, keys) -> DataFrame:
+    """The rows of ``pairs`` (id of a needle, stack) in which the stack, of the same (keys), contains the needle."""
+    inner = needles.select("id", F.struct(*keys).alias("_k"), F.col("norm").alias("_needle"))
+    outer = stacks.select(F.col("id").alias("stack"), F.struct(*keys).alias("_k2"), F.col("norm").alias("_stack"))
+    both = pairs.join(inner, "id").join(outer, "stack")
+    return both.where(F.col("_k").eqNullSafe(F.col("_k2")) & F.contains("_stack", "_needle")).drop("_k", "_k2", "_needle", "_stack")
 
 
 def _containment(wanted: DataFrame, firsts: DataFrame, keys) -> DataFrame:
     """(keys, norm, position): the first actual name that contains, or is contained in, each wanted one."""
-    # at most as many lengths as the longest name has characters
-    lengths = F.collect_set(F.length("norm")).alias("lengths")
-    of_wanted, of_actual = (df.groupBy(*keys).agg(lengths) for df in (wanted, firsts))
-    held = (
-        firsts.join(of_wanted, list(keys)).select("position", F.explode(_substrings(keys, F.col("norm"), F.col("lengths"))).alias("s"))
-        .groupBy("s.k1", "s.k2").agg(F.min("position").alias("position"))
-    )
-    outer = wanted.select("k1", "k2").join(held, ["k1", "k2"])
-    inner = (
-        wanted.join(of_actual, list(keys))
-        .select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.explode(_substrings(keys, F.col("norm"), F.col("lengths"))).alias("s"))
-        .select("w1", "w2", "s.k1", "s.k2").join(firsts.select("k1", "k2", "position"), ["k1", "k2"])
-        .groupBy(F.col("w1").alias("k1"), F.col("w2").alias("k2")).agg(F.min("position").alias("position"))
-    )
-    either = F.contains("other", "norm") | F.contains("norm", "other")
-    return (
-        outer.unionByName(inner).join(wanted.select("k1", "k2", *keys, "norm"), ["k1", "k2"])
-        .join(firsts.select(*keys, "position", F.col("norm").alias("other")), [*keys, "position"])
-        .where(either).groupBy(*keys, "norm").agg(F.min("position").alias("position"))
-    )
+    # which actual names contain a wanted one: the first with its rarest window mostly does, else all that have it are tried
+    best, held = _rarest_windows(wanted, firsts, keys)
+    best = staged(best, "match-rarest")
+    first = _contain(best.select("id", F.col("first.id").alias("stack"), F.col("first.position").alias("position")), wanted, firsts, keys).drop("stack")
+    first = staged(first, "match-first")
+    left = best.where("n > 1").join(first, "id", "left_anti").join(held.withColumnRenamed("id", "stack"), "g").where(F.col("stack") != F.col("first.id"))
+    later = _contain(left.select("id", "stack"), wanted, firsts, keys).join(firsts.select(F.col("id").alias("stack"), "position"), "stack")
+    outer = first.unionByName(later.select("id", "position"))
+    # which actual names a wanted one contains
+    best, held = _rarest_windows(firsts, wanted, keys)
+    pairs = best.select("id", "g").join(held.withColumnRenamed("id", "stack"), "g").select("id", "stack")
+    inner = _contain(pairs, firsts, wanted, keys).join(firsts.select("id", "position"), "id").select(F.col("stack").alias("id"), "position")
+    found = outer.unionByName(inner).groupBy("id").agg(F.min("position").alias("position"))
+    return found.join(wanted.drop("position"), "id").select(*keys, "norm", "position")
 
 
 def _word_overlap(wanted: DataFrame, firsts: DataFrame, keys) -> DataFrame:
@@ -168,12 +195,13 @@ def _word_overlap(wanted: DataFrame, firsts: DataFrame, keys) -> DataFrame:
 def _partial_hits(leftover: DataFrame, actual: DataFrame, keys, tiers) -> DataFrame:
     """(keys, norm, tier, found) for the leftover expected names that have a partial match."""
     norm = F.col("norm")
-    wanted = staged(leftover.select(*keys, "norm").distinct().withColumns(dict(zip(("k1", "k2"), _named(keys, norm)))), "match-wanted")
+    numbered = {**dict(zip(("k1", "k2"), _named(keys, norm))), "id": F.monotonically_increasing_id()}
+    wanted = staged(leftover.select(*keys, "norm").distinct().withColumns({**numbered, "position": F.lit(0).cast("bigint")}), "match-wanted")
     # only runs that still have something to find
     firsts = staged(
         actual.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
         .groupBy(*keys, tx.normalize_test_name(F.col("name")).alias("norm")).agg(F.min("position").alias("position"))
-        .withColumns(dict(zip(("k1", "k2"), _named(keys, norm)))),
+        .withColumns(numbered),
         "match-firsts",
     )
     contained = _containment(wanted, firsts, keys).select(*keys, "norm", F.lit(False).alias("by_words"), F.lit(0.0).alias("minus"), "position")

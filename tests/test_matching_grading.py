@@ -105,6 +105,33 @@ def test_match_same_shape(spark):
     assert {tuple(r) for r in found.groupBy("tier", "actual_name").count().collect()} == {("words", "the big case number 2000000", n)}
 
 
+def test_match_long_names(spark):
+    r = random.Random(8)
+    syllables = ["ab", "cd", "ef", "gh", "ij", "kl"]
+    actual = ["/".join("".join(r.choice(syllables) for _ in range(5)) for _ in range(58))[:640] for _ in range(2000)]
+    # pieces of 20 to 600 characters, longer texts around an actual name, and texts that nothing holds
+    wanted = [actual[i][(k := r.randrange(0, 40)) : k + r.randrange(20, 600)] for i in range(900)]
+    wanted += ["x" + actual[i] + "y" for i in range(900, 1300)] + [actual[i][:300] + "#" + actual[i][300:] for i in range(1300, 1600)]
+    expected = spark.createDataFrame([("r", "i", "fail_to_pass", k, w) for k, w in enumerate(wanted)], "run_id string, instance_id string, category string, ord long, name string")
+    results = spark.createDataFrame([("r", "i", k, a, "passed") for k, a in enumerate(actual)], "run_id string, instance_id string, position long, name string, status string")
+    got = {x.ord: x.actual_name for x in matching.match_expected(expected, results, keys=("run_id", "instance_id"), tiers=("exact", "normalised", "contains")).collect()}
+    for k, w in enumerate(wanted):
+        w = " ".join(w.split())
+        assert got[k] == next((a for a in actual if w in a or a in w), None)
+
+
+@pytest.mark.parametrize("wanted, actual, hit", [
+    ("common", ["x common y", "a common b"], "x common y"),  # of many that hold it the first
+    ("abcdefg", ["abcd defg", "z abcdefg z"], "z abcdefg z"),  # the first with its windows does not hold it
+    ("long name with tail", ["name with", "long"], "name with"),
+    ("é日本語 x", ["y é日本語 x y"], "y é日本語 x y"),
+])
+def test_match_windows(spark, wanted, actual, hit):
+    expected = spark.createDataFrame([("i", "fail_to_pass", 0, wanted)], "instance_id string, category string, ord long, name string")
+    results = spark.createDataFrame([("i", k, a, "passed") for k, a in enumerate(actual)], "instance_id string, position long, name string, status string")
+    assert matching.match_expected(expected, results, keys=("instance_id",)).first().actual_name == hit
+
+
 def test_match_hot_group(spark):
     """One run and instance holds all rows; shared words and pieces are everywhere."""
     n = 2000
