@@ -43,6 +43,18 @@ def read_instance_wrapper(spark, sf):
     return _shown(readers.read_instances(spark, path))
 
 
+@query(READ_BACK)
+def read_split_list(spark, sf):
+    path = sinks.export_json(_instances(spark, sf), new_path(spark, "list"))
+    return _shown(readers.read_instances(spark, path, split=True))
+
+
+@query(READ_BACK)
+def read_split_wrapper(spark, sf):
+    path = sinks.export_json(_instances(spark, sf), new_path(spark, "wrapped"), {"name": "orders", "version": "1.0.0"})
+    return _shown(readers.read_instances(spark, path, split=True))
+
+
 @query("SELECT 'name' AS setting, 'orders' AS value UNION ALL SELECT 'version', '1.0.0'")
 def read_dataset_metadata(spark, sf):
     path = sinks.export_json(_instances(spark, sf), new_path(spark, "wrapped"), {"name": "orders", "version": "1.0.0"})

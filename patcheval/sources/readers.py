@@ -1,7 +1,8 @@
 """Readers for the file shapes benchmark data comes in.
 
 A path may be a file, a directory or a glob. JSON documents (a list or an object per file) are read
-one file per task, as the format demands; JSON Lines, text and Parquet are split by Spark. Every
+one file per task; lists of records that are larger than a split are cut by ``large_json`` for many tasks. JSON Lines, text
+and Parquet are split by Spark. Every
 reader that has an order to keep adds ``file`` and ``position``.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from patcheval import schemas as S
 from patcheval.functions import text as tx
+from patcheval.sources.large_json import read_list_records
 
 
 def _documents(spark: SparkSession, path) -> DataFrame:
@@ -53,22 +55,36 @@ def _elements(doc: Column, wrapper: str | None, single: bool) -> Column:
     return out.otherwise(F.raise_error(message))
 
 
-def read_raw_instances(spark, path, wrapper: bool = True, single: bool = False) -> DataFrame:
+def _larger_than_a_split(spark: SparkSession, path) -> bool:
+    limit = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(files.globStatus(target) or [])
+    inside = [f for d in found if d.isDirectory() for f in files.listStatus(d.getPath())]
+    return any(f.isFile() and f.getLen() > limit for f in [*found, *inside])
+
+
+def read_raw_instances(spark, path, wrapper: bool = True, single: bool = False, split: bool | None = None) -> DataFrame:
     """(file, position, raw): each record as JSON text, so that absent, null and empty stay apart.
 
     ``wrapper=True`` takes a list or ``{"instances": [...]}``; ``single=True`` also takes an object
-    as one record; ``wrapper=False, single=True`` takes any object as one record.
+    as one record; ``wrapper=False, single=True`` takes any object as one record. ``split``: a document is read by many
+    tasks; by default where one is larger than a split and ``single`` is off.
     """
+    if split or split is None and not single and _larger_than_a_split(spark, path):
+        return read_list_records(spark, path, "instances" if wrapper else None)
     records = _elements(F.col("doc"), "instances" if wrapper else None, single)
     return _documents(spark, path).select("file", F.posexplode_outer(records).alias("position", "raw")).where(
         "raw is not null"
     )
 
 
-def read_instances(spark, path, schema: str = S.INSTANCE, wrapper: bool = True, single: bool = False) -> DataFrame:
+def read_instances(
+    spark, path, schema: str = S.INSTANCE, wrapper: bool = True, single: bool = False, split: bool | None = None
+) -> DataFrame:
     """Typed rows of ``read_raw_instances``; JSON Lines are told by the file name (.jsonl)."""
     raw = read_raw_lines(spark, path) if str(path).rstrip("/").endswith(".jsonl") else read_raw_instances(
-        spark, path, wrapper, single
+        spark, path, wrapper, single, split
     )
     return raw.select("file", "position", F.from_json("raw", schema).alias("r")).select("file", "position", "r.*")
 
