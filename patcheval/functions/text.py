@@ -46,7 +46,9 @@ def escaped(col: Column) -> Column:
 
 
 def cut(marked: Column) -> Column:
-    return F.transform(F.split(marked, CUT, -1), lambda p: F.replace(p, F.lit(_ESCAPED), F.lit("\x01")))
+    pieces = F.split(marked, CUT, -1)
+    back = F.transform(pieces, lambda p: F.replace(p, F.lit(_ESCAPED), F.lit("\x01")))
+    return F.when(F.contains(marked, F.lit(_ESCAPED)), back).otherwise(pieces)
 
 
 def cut_before(col: Column, line_pattern: str) -> Column:
@@ -64,22 +66,29 @@ def cut_at_outdent(col: Column) -> Column:
 _STRICT = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
 
 
+def _only(text: Column, listed: Column, inner: Column, early: Column) -> Column:
+    """The element of ``listed``, if it is the only one and its list was not closed ``early``, or ``inner`` shows that it was not."""
+    # an array of one list, so that the text is read once
+    held = F.transform(F.array(listed), lambda x: F.when((F.size(x) == 1) & (~early | inner["_bad"].isNull()), F.get(x, F.lit(0))))
+    return F.get(held, F.lit(0))
+
+
 def json_fields(text: Column, fields: str) -> Column:
     """struct of ``fields`` of a text that is one JSON object and nothing else; null of any other text.
 
-    A JSON reader stops behind the first value. What follows it shows up when the text is read as the only
-    element of a list and as the only field of an object: whatever closes one of them early breaks the other.
+    A JSON reader stops behind the first value. What follows it shows up when the text is read as the only element of a
+    list, unless it closes the list; a text in which that may be is also read as the only field of an object.
     """
     listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{fields}>>", _STRICT)
     inner = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v struct<{fields}>, _bad string", _STRICT)
-    return F.when((F.size(listed) == 1) & inner["_bad"].isNull(), F.get(listed, F.lit(0)))
+    return _only(text, listed, inner, text.rlike(r"\}\s*+\]"))
 
 
 def json_value(text: Column) -> Column:
     """The variant of a text that is one JSON value and nothing else; null of any other text."""
     listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<variant>", _STRICT)
     inner = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v variant, _bad string", _STRICT)
-    return F.when((F.size(listed) == 1) & inner["_bad"].isNull(), F.get(listed, F.lit(0)))
+    return _only(text, listed, inner, F.contains(text, F.lit("]")))
 
 
 def after_first_line(col: Column) -> Column:
