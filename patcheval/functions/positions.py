@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from patcheval.functions.stage import staged
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str | Column], ranges: int | None = None) -> DataFrame:
-    """``df`` with ``position``, a row's place from 0 on among the rows of its ``keys`` in the order of ``order`` (nulls first unless
+def positions(df: DataFrame, keys: list[str], order: list[str | Column], ranges: int | None = None, out: str = "position") -> DataFrame:
+    """``df`` with ``out``, a row's place from 0 on among the rows of its ``keys`` in the order of ``order`` (nulls first unless
     it says otherwise), and ``group_size``, how many these are.
 
     Rows are sorted in ranges of the whole order, so a group of any size lies in as many ranges as it needs; rows that tie in all of it
@@ -32,5 +32,5 @@ def positions(df: DataFrame, keys: list[str], order: list[str | Column], ranges:
     for k in keys:
         same = same & F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
     return rows.alias("a").join(parts.alias("b"), same).select(
-        *[F.col(f"a.`{c}`") for c in df.columns], (F.col("_inside") + F.col("_shift")).alias("position"), "group_size"
+        *[F.col(f"a.`{c}`") for c in df.columns], (F.col("_inside") + F.col("_shift")).alias(out), "group_size"
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from patcheval import constants as C
 from patcheval.functions import text as tx
 from patcheval.functions.keyed import competition_rank, last_per_key
+from patcheval.functions.positions import positions
 from patcheval.functions.stage import staged
 
 
@@ -271,7 +272,9 @@ def _rule(char: str) -> Column:
 
 def report_text(summaries: DataFrame, instances: DataFrame, title: str = "EVALUATION REPORT") -> DataFrame:
     """(run_id, part, status, instance_id, sub, line): the printed report, a row per line, to be
-    read in the order of the columns before ``line``. Instances come ordered by status."""
+    read in the order of the columns before ``line``. Instances come ordered by status; with a column ``position``, which is kept behind
+    ``status``, by status and position."""
+    place = ["position"] if "position" in instances.columns else []
 
     def money(fmt, col):
         return F.format_string(fmt, F.col(col))
@@ -296,8 +299,8 @@ def report_text(summaries: DataFrame, instances: DataFrame, title: str = "EVALUA
     def of_run(part, lines, when=None):
         rows = summaries if when is None else summaries.where(when)
         return rows.select(
-            "run_id", F.lit(part).alias("part"), no_text.alias("status"), no_text.alias("instance_id"),
-            F.posexplode_outer(F.array(*lines)).alias("sub", "line"),
+            "run_id", F.lit(part).alias("part"), no_text.alias("status"), *[F.lit(0).cast("long").alias(p) for p in place],
+            no_text.alias("instance_id"), F.posexplode_outer(F.array(*lines)).alias("sub", "line"),
         )
 
     ran = F.col("status").isin("resolved", "unresolved")
@@ -310,9 +313,9 @@ def report_text(summaries: DataFrame, instances: DataFrame, title: str = "EVALUA
         F.struct(F.lit(3).alias("sub"), money("           Duration: %.2fs", "duration").alias("line")),
     )
     body = instances.select(
-        "run_id", F.lit(2).alias("part"), "status", "instance_id",
+        "run_id", F.lit(2).alias("part"), "status", *place, "instance_id",
         F.explode_outer(F.filter(details, lambda x: x.isNotNull())).alias("at"),
-    ).select("run_id", "part", "status", "instance_id", "at.sub", "at.line")
+    ).select("run_id", "part", "status", *place, "instance_id", "at.sub", "at.line")
     return (
         of_run(0, top)
         .unionByName(of_run(1, listing, F.col("total") > 0))
@@ -358,6 +361,12 @@ def comparison_text(compared: DataFrame, changes: DataFrame, base: str, other: s
     )
 
 
+def numbered_lines(lines: DataFrame, keys, order) -> DataFrame:
+    """(keys, line_no, line): the lines of each text numbered from 0 on in ``order``, as they are printed. Lines are sorted in ranges, so
+    a text of any length is numbered by many tasks."""
+    return positions(lines, list(keys), list(order), out="line_no").select(*keys, "line_no", "line")
+
+
 def failed_results(evaluations: DataFrame, preview_length: int = 200) -> DataFrame:
     """Instances that were not resolved, with the end of their log."""
     rows = evaluations.where(F.col("status") != "resolved")

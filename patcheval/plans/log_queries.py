@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from patcheval.functions import text as tx
+from patcheval.functions.positions import positions
 from patcheval.operators import count_logs as counts
 from patcheval.operators import file_logs as files
-from patcheval.operators import grading, named_logs as named
+from patcheval.operators import grading, line_logs, named_logs as named
 from patcheval.plans import samples as S
 from patcheval.plans.registry import query
 
@@ -115,7 +116,7 @@ def file_status_counts(spark, sf):
     )
 
 
-@query(f"""
+FILE_SUMMARIES = f"""
     WITH {S.DOC_LINES_SQL}
     SELECT d.source AS run_id, concat('doc-', d.doc_id) AS instance_id, passed, failed, skipped, passed + failed + skipped AS total,
            round(CASE WHEN passed + failed + skipped = 0 THEN 0.0 ELSE passed / (passed + failed + skipped) END, 9) AS pass_rate,
@@ -123,11 +124,28 @@ def file_status_counts(spark, sf):
     FROM documents d JOIN (
         SELECT d2.doc_id, count(*) FILTER (WHERE k > 1) AS passed, count(*) FILTER (WHERE k = 0) AS failed, count(*) FILTER (WHERE k = 1) AS skipped
         FROM documents d2 LEFT JOIN doc_lines l ON l.doc_id = d2.doc_id GROUP BY d2.doc_id) c ON c.doc_id = d.doc_id
-""")
+"""
+
+
+@query(FILE_SUMMARIES)
 def file_log_summary(spark, sf):
     return files.file_log_summary(S.file_logs(spark, sf)).withColumn("pass_rate", F.round("pass_rate", 9))
 
 
+# the same logs as lines, dealt out in ranges of a few lines
+@query(FILES + "SELECT run_id, instance_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS position, file_path, name, status, CAST(duration_ms AS DOUBLE) AS duration_ms, error_message FROM results")
+def line_test_results(spark, sf):
+    lines = line_logs.lines_of_cells(S.file_logs(spark, sf), size=7)
+    results = positions(line_logs.file_test_results(lines).withColumnRenamed("position", "at"), ["run_id", "instance_id"], ["at"])
+    return results.drop("at", "group_size")
+
+
+@query(FILE_SUMMARIES)
+def line_log_summary(spark, sf):
+    lines = line_logs.lines_of_cells(S.file_logs(spark, sf), size=7)
+    return line_logs.file_log_summary(lines).withColumn("pass_rate", F.round("pass_rate", 9))
+
+
 COUNTS = f"WITH {S.COUNTS_SQL} "
 
 

@@ -211,19 +211,42 @@ def report_text_lines(spark, sf):
     return reports.report_text(reports.report_summary(rows), reports.report_instances(rows, include_test_output=False))
 
 
-@query(EVALUATED + """, c AS (
+@query(SUMMARIES + """, c AS (
     SELECT instance_id, a.status AS f, b.status AS t, CASE a.status WHEN 'resolved' THEN 3 WHEN 'unresolved' THEN 2 WHEN 'error' THEN 1 ELSE 0 END AS ra,
            CASE b.status WHEN 'resolved' THEN 3 WHEN 'unresolved' THEN 2 WHEN 'error' THEN 1 ELSE 0 END AS rb
-    FROM evaluated a JOIN evaluated b USING (instance_id) WHERE a.run_id = 'F' AND b.run_id = 'O')
-    SELECT CASE WHEN rb > ra THEN 2 ELSE 4 END AS part, instance_id, concat('  ', instance_id, ': ', f, ' -> ', t) AS line FROM c WHERE ra <> rb
-    UNION ALL SELECT 0, '', concat('Improvements: ', count(*) FILTER (WHERE rb > ra)) FROM c
-    UNION ALL SELECT 0, '', concat('Regressions:  ', count(*) FILTER (WHERE rb < ra)) FROM c""")
+    FROM evaluated a JOIN evaluated b USING (instance_id) WHERE a.run_id = 'F' AND b.run_id = 'O'),
+    n AS (SELECT count(*) FILTER (WHERE rb > ra) AS better, count(*) FILTER (WHERE rb < ra) AS worse FROM c),
+    r AS (SELECT 100 * f.resolved_rate AS a, 100 * o.resolved_rate AS b FROM summaries f, summaries o WHERE f.run_id = 'F' AND o.run_id = 'O')
+    SELECT CASE WHEN rb > ra THEN 2 ELSE 4 END AS part, instance_id, 0 AS sub, concat('  ', instance_id, ': ', f, ' -> ', t) AS line FROM c WHERE ra <> rb
+    UNION ALL SELECT part, '', sub, line FROM (VALUES (0, 0, ''), (0, 1, repeat('=', 70)), (0, 2, 'REPORT COMPARISON'), (0, 3, repeat('=', 70)), (0, 4, 'Report 1: F'), (0, 5, 'Report 2: O'),
+        (0, 6, repeat('-', 70)), (5, 0, repeat('=', 70))) v(part, sub, line)
+    UNION ALL SELECT 0, '', 7, printf('Resolved Rate: %.1f%% -> %.1f%% (%+.1f%%)', a, b, b - a) FROM r
+    UNION ALL SELECT 0, '', 8, concat('Improvements: ', better) FROM n
+    UNION ALL SELECT 0, '', 9, concat('Regressions:  ', worse) FROM n
+    UNION ALL SELECT 1, '', sub, line FROM n, (VALUES (0, ''), (1, 'IMPROVEMENTS:')) v(sub, line) WHERE better > 0
+    UNION ALL SELECT 3, '', sub, line FROM n, (VALUES (0, ''), (1, 'REGRESSIONS:')) v(sub, line) WHERE worse > 0""")
 def comparison_text_lines(spark, sf):
     rows = staged(evaluations(spark, sf).drop("output"), "evaluations")
     changes = reports.run_changes(rows, "F", "O")
     compared = reports.comparison(reports.report_summary(rows), changes, "F", "O")
-    text = reports.comparison_text(compared, changes, "F", "O")
-    return text.where("part IN (2, 4) OR (part = 0 AND sub IN (8, 9))").select("part", "instance_id", "line")
+    return reports.comparison_text(compared, changes, "F", "O")
+
+
+# the printed order: instances by status, then by their place in the run
+@query(SUMMARIES + """, lines AS (
+    SELECT run_id, 2 AS part, status, CAST(substr(instance_id, 5) AS BIGINT) AS place, 0 AS sub, concat('  ', CASE status WHEN 'resolved' THEN '[PASS]' WHEN 'unresolved' THEN '[FAIL]' WHEN 'error' THEN '[ERR ]' ELSE '[SKIP]' END, ' ', instance_id) AS line FROM evaluated
+    UNION ALL SELECT run_id, 2, status, CAST(substr(instance_id, 5) AS BIGINT), 1, printf('           Tests: %d passed, %d failed, %d skipped', passed, failed, skipped) FROM evaluated WHERE status IN ('resolved', 'unresolved')
+    UNION ALL SELECT run_id, 2, status, CAST(substr(instance_id, 5) AS BIGINT), 2, concat('           Error: ', error_message) FROM evaluated WHERE error_message IS NOT NULL
+    UNION ALL SELECT run_id, 2, status, CAST(substr(instance_id, 5) AS BIGINT), 3, printf('           Duration: %.2fs', duration) FROM evaluated)
+    SELECT run_id, 15 + CASE WHEN total > 0 THEN 2 ELSE 0 END + row_number() OVER (PARTITION BY run_id ORDER BY status, place, sub) AS line_no, line FROM lines JOIN summaries USING (run_id)""")
+def report_lines_in_order(spark, sf):
+    rows = staged(evaluations(spark, sf).drop("output"), "evaluations")
+    instances = reports.report_instances(rows, include_test_output=False).withColumn("position", F.expr("CAST(substring(instance_id, 5) AS BIGINT)"))
+    text = reports.report_text(reports.report_summary(rows), instances)
+    # the head of a report does not depend on the order: its lines are those of report_text_lines
+    lines = reports.numbered_lines(text, ["run_id"], ["part", "status", "position", "sub"])
+    body = reports.numbered_lines(text.where("part = 2"), ["run_id"], ["status", "position", "sub"]).groupBy("run_id").agg(F.count("line_no").alias("n"))
+    return lines.join(body, "run_id").where("line_no >= 18 AND line_no < 18 + n").drop("n")
 
 
 @query(EVALUATED + """SELECT run_id, instance_id, status, CASE WHEN length(error_message) > 60 THEN concat(left(error_message, 60), '...') ELSE error_message END AS error_preview,
