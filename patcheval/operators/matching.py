@@ -81,40 +81,35 @@ def _named_hits(expected: DataFrame, actual: DataFrame, keys, item) -> DataFrame
     )
 
 
-def _named(keys, text: Column) -> list[Column]:
-    """Two hashes that stand for a text within (keys). What they bring together is compared before it counts."""
-    return [F.xxhash64(F.lit(seed), *keys, text).alias(f"k{seed}") for seed in (1, 2)]
-
-
 def _window_size(text: Column) -> Column:
     """The largest power of two that is no more than the text's length; 0 for an empty text."""
     n = F.length(text)
     return F.when(n == 0, 0).otherwise(F.call_function("shiftleft", F.lit(1), F.length(F.bin(n)) - 1)).cast("int")
 
 
-def _windows(keys, text: Column, sizes: Column) -> Column:
-    """Hashes of the different windows of ``sizes`` characters of a text within (keys). What they bring together is compared."""
+def _windows(text: Column, sizes: Column) -> Column:
+    """Hashes of the different windows of ``sizes`` characters of a text of a run. What they bring together is compared."""
 
     def of_size(n):
         last = F.length(text) - n + 1
         starts = F.when(n == 0, F.array(F.lit(1))).when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
-        return F.coalesce(F.transform(starts, lambda i: F.xxhash64(n, *keys, F.substr(text, i, n))), F.array().cast("array<bigint>"))
+        return F.coalesce(F.transform(starts, lambda i: F.xxhash64(n, "run", F.substr(text, i, n))), F.array().cast("array<bigint>"))
 
     return F.array_distinct(F.flatten(F.transform(sizes, of_size)))
 
 
-def _rarest_windows(needles: DataFrame, stacks: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
+def _rarest_windows(needles: DataFrame, stacks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, g, n, first): of each needle's windows of at least half its length the one that the fewest stacks hold, how many
     these are, and the first of them (position, id); needles with a window that none holds are left out. (g, id): stacks by windows.
 
-    Both sides have (id, position, keys, norm). A stack has windows of a few sizes only, at most one for each doubling up to its
+    Both sides have (id, run, position, norm). A stack has windows of a few sizes only, at most one for each doubling up to its
     length: L log L rows, not one for each of its substrings.
     """
-    sized = needles.withColumn("w", _window_size(F.col("norm"))).withColumn("gs", _windows(keys, F.col("norm"), F.array("w")))
+    sized = needles.withColumn("w", _window_size(F.col("norm"))).withColumn("gs", _windows(F.col("norm"), F.array("w")))
     mine = staged(sized.select("id", F.size("gs").alias("all"), F.explode("gs").alias("g")), "match-windows")
     # sizes of one run: at most as many as a length has bits
-    sizes = sized.groupBy(*keys).agg(F.collect_set("w").alias("sizes"))
-    theirs = stacks.join(sizes, list(keys)).select("id", "position", F.explode(_windows(keys, F.col("norm"), F.col("sizes"))).alias("g"))
+    sizes = sized.groupBy("run").agg(F.collect_set("w").alias("sizes"))
+    theirs = stacks.join(sizes, "run").select("id", "position", F.explode(_windows(F.col("norm"), F.col("sizes"))).alias("g"))
     held = staged(theirs.join(mine.select("g").distinct(), "g", "left_semi"), "match-held")
     counts = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("position", "id")).alias("first"))
     best = mine.join(counts, "g").groupBy("id").agg(
@@ -123,49 +118,50 @@ def _rarest_windows(needles: DataFrame, stacks: DataFrame, keys) -> tuple[DataFr
     return best.where(F.col("seen") == F.col("all")).select("id", "best.g", "best.n", "best.first"), held.select("g", "id")
 
 
-def _contain(pairs: DataFrame, needles: DataFrame, stacks: DataFrame, keys) -> DataFrame:
-    """The rows of ``pairs`` (id of a needle, stack) in which the stack, of the same (keys), contains the needle."""
-    inner = needles.select("id", F.struct(*keys).alias("_k"), F.col("norm").alias("_needle"))
-    outer = stacks.select(F.col("id").alias("stack"), F.struct(*keys).alias("_k2"), F.col("norm").alias("_stack"))
+def _contain(pairs: DataFrame, needles: DataFrame, stacks: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (id of a needle, stack) in which the stack, of the same run, contains the needle."""
+    inner = needles.select("id", "run", F.col("norm").alias("_needle"))
+    outer = stacks.select(F.col("id").alias("stack"), F.col("run").alias("_run"), F.col("norm").alias("_stack"))
     both = pairs.join(inner, "id").join(outer, "stack")
-    return both.where(F.col("_k").eqNullSafe(F.col("_k2")) & F.contains("_stack", "_needle")).drop("_k", "_k2", "_needle", "_stack")
+    return both.where((F.col("run") == F.col("_run")) & F.contains("_stack", "_needle")).drop("run", "_run", "_needle", "_stack")
 
 
-def _containment(wanted: DataFrame, firsts: DataFrame, keys) -> DataFrame:
-    """(keys, norm, position): the first actual name that contains, or is contained in, each wanted one."""
+def _containment(wanted: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(id, position): the first actual name that contains, or is contained in, each wanted one."""
     # which actual names contain a wanted one: the first with its rarest window mostly does, else all that have it are tried
-    best, held = _rarest_windows(wanted, firsts, keys)
+    best, held = _rarest_windows(wanted, firsts)
     best = staged(best, "match-rarest")
-    first = _contain(best.select("id", F.col("first.id").alias("stack"), F.col("first.position").alias("position")), wanted, firsts, keys).drop("stack")
+    first = _contain(best.select("id", F.col("first.id").alias("stack"), F.col("first.position").alias("position")), wanted, firsts).drop("stack")
     first = staged(first, "match-first")
     left = best.where("n > 1").join(first, "id", "left_anti").join(held.withColumnRenamed("id", "stack"), "g").where(F.col("stack") != F.col("first.id"))
-    later = _contain(left.select("id", "stack"), wanted, firsts, keys).join(firsts.select(F.col("id").alias("stack"), "position"), "stack")
+    later = _contain(left.select("id", "stack"), wanted, firsts).join(firsts.select(F.col("id").alias("stack"), "position"), "stack")
     outer = first.unionByName(later.select("id", "position"))
     # which actual names a wanted one contains
-    best, held = _rarest_windows(firsts, wanted, keys)
+    best, held = _rarest_windows(firsts, wanted)
     pairs = best.select("id", "g").join(held.withColumnRenamed("id", "stack"), "g").select("id", "stack")
-    inner = _contain(pairs, firsts, wanted, keys).join(firsts.select("id", "position"), "id").select(F.col("stack").alias("id"), "position")
-    found = outer.unionByName(inner).groupBy("id").agg(F.min("position").alias("position"))
-    return found.join(wanted.drop("position"), "id").select(*keys, "norm", "position")
+    inner = _contain(pairs, firsts, wanted).join(firsts.select("id", "position"), "id").select(F.col("stack").alias("id"), "position")
+    return outer.unionByName(inner).groupBy("id").agg(F.min("position").alias("position"))
 
 
-def _word_overlap(wanted: DataFrame, firsts: DataFrame, keys) -> DataFrame:
-    """(keys, norm, score, position): the best actual name by shared words over all words, above
-    one half, the earliest of equals."""
+def _word_overlap(wanted: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(id, score, position): the best actual name by shared words over all words, above one half, the earliest of equals."""
     def worded(df, *more):
-        return df.withColumn("w", tx.words_of(F.col("norm"))).select(*keys, "k1", "k2", *more, F.size("w").alias("n"), F.explode("w").alias("word"))
+        return df.withColumn("w", tx.words_of(F.col("norm"))).select("id", "run", *more, F.size("w").alias("n"), F.explode("w").alias("word"))
 
     mine, theirs = worded(wanted), worded(firsts, "position")
-    uses = lambda df: df.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("uses"))
-    # a word of one side only is shared with nobody
-    common = uses(mine).join(uses(theirs).withColumnRenamed("uses", "others"), [*keys, "word"]).select(
-        *keys, "word", (F.col("uses") + F.col("others")).alias("uses")
+    uses = lambda df: df.groupBy("run", "word").agg(F.count(F.lit(1)).alias("uses"))
+    # a word of one side only is shared with nobody; the others are numbered
+    common = staged(
+        uses(mine).join(uses(theirs).withColumnRenamed("uses", "others"), ["run", "word"]).select(
+            "run", "word", (F.col("uses") + F.col("others")).alias("uses"), F.monotonically_increasing_id().alias("no")
+        ),
+        "match-words",
     )
 
     def signatures(df, *more):
         # the words of one name, rarest first
-        return df.join(common, [*keys, "word"]).groupBy(*keys, "k1", "k2", *more, "n").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("uses", "word"))), lambda x: x["word"]).alias("words")
+        return df.join(common, ["run", "word"]).groupBy("id", *more, "n").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("uses", "no"))), lambda x: x["no"]).alias("words")
         )
 
     def rare(df, **names):
@@ -173,49 +169,39 @@ def _word_overlap(wanted: DataFrame, firsts: DataFrame, keys) -> DataFrame:
         count = F.greatest(F.size("words") - F.floor(F.col("n") / 2), F.lit(0)).cast("int")
         return df.withColumn("word", F.explode(F.slice("words", F.lit(1), count))).withColumnsRenamed(names)
 
-    own = signatures(mine)
-    left = rare(own.select(*keys, "n", "words").distinct())
-    right = rare(
-        signatures(theirs, "position").groupBy(*keys, "n", "words").agg(F.min("position").alias("position")), n="m", words="other"
-    )
+    own = staged(signatures(mine), "match-signatures")
+    left = rare(own.select("n", "words").distinct())
+    right = rare(signatures(theirs, "position").groupBy("n", "words").agg(F.min("position").alias("position")), n="m", words="other")
     shared = F.size(F.array_intersect("words", "other"))
     best = (
-        left.join(right, [*keys, "word"])
+        left.join(right, "word")
         # sharing more than half is impossible when one has twice the words of the other
         .where((F.col("m") < 2 * F.col("n")) & (F.col("n") < 2 * F.col("m")))
         .withColumn("score", shared / (F.col("n") + F.col("m") - shared)).where("score > 0.5")
-        .groupBy(*keys, "n", "words").agg(F.min(F.struct((-F.col("score")).alias("minus"), "position")).alias("best"))
+        .groupBy("n", "words").agg(F.min(F.struct((-F.col("score")).alias("minus"), "position")).alias("best"))
     )
-    return (
-        own.join(best, [*keys, "n", "words"]).join(wanted.select("k1", "k2", *keys, "norm"), ["k1", "k2", *keys])
-        .select(*keys, "norm", (-F.col("best.minus")).alias("score"), F.col("best.position").alias("position"))
-    )
+    return own.join(best, ["n", "words"]).select("id", (-F.col("best.minus")).alias("score"), F.col("best.position").alias("position"))
 
 
 def _partial_hits(leftover: DataFrame, actual: DataFrame, keys, tiers) -> DataFrame:
     """(keys, norm, tier, found) for the leftover expected names that have a partial match."""
-    norm = F.col("norm")
-    numbered = {**dict(zip(("k1", "k2"), _named(keys, norm))), "id": F.monotonically_increasing_id()}
-    wanted = staged(leftover.select(*keys, "norm").distinct().withColumns({**numbered, "position": F.lit(0).cast("bigint")}), "match-wanted")
-    # only runs that still have something to find
+    names = staged(leftover.select(*keys, "norm").distinct(), "match-names")
+    # only runs that still have something to find; from here on a run is a number, and so is a name
+    runs = staged(names.select(*keys).distinct().withColumn("run", F.monotonically_increasing_id()), "match-runs")
+    number = F.monotonically_increasing_id().alias("id")
+    wanted = staged(names.join(runs, list(keys)).select(*keys, "run", "norm", F.lit(0).cast("bigint").alias("position"), number), "match-wanted")
     firsts = staged(
-        actual.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
-        .groupBy(*keys, tx.normalize_test_name(F.col("name")).alias("norm")).agg(F.min("position").alias("position"))
-        .withColumns(numbered),
+        actual.join(runs, list(keys)).groupBy("run", tx.normalize_test_name(F.col("name")).alias("norm"))
+        .agg(F.min("position").alias("position")).select("*", number),
         "match-firsts",
-    )
-    contained = _containment(wanted, firsts, keys).select(*keys, "norm", F.lit(False).alias("by_words"), F.lit(0.0).alias("minus"), "position")
-    overlapping = _word_overlap(wanted, firsts, keys).select(*keys, "norm", F.lit(True).alias("by_words"), (-F.col("score")).alias("minus"), "position")
-    best = (
-        contained.unionByName(overlapping).groupBy(*keys, "norm")
-        .agg(F.min(F.struct("by_words", "minus", "position")).alias("best"))
-        .select(
-            *keys, "norm", F.col("best.position").alias("position"),
-            F.when(F.col("best.by_words"), "words").otherwise("contains").alias("tier"),
-        )
-        .where(F.col("tier").isin(*tiers))
     )
-    return best.join(actual.select(*keys, "position", "status", "name"), [*keys, "position"]).select(
+    contained = staged(_containment(wanted, firsts), "match-contained")
+    overlapping = _word_overlap(wanted.join(contained, "id", "left_anti"), firsts)
+    best = contained.select("id", F.lit("contains").alias("tier"), "position").unionByName(
+        overlapping.select("id", F.lit("words").alias("tier"), "position")
+    )
+    named = best.where(F.col("tier").isin(*tiers)).join(wanted.drop("position"), "id").select(*keys, "norm", "tier", "position")
+    return named.join(actual.select(*keys, "position", "status", "name"), [*keys, "position"]).select(
         *keys, "norm", "tier", F.struct("position", "status", "name").alias("found")
     )
 
@@ -238,6 +224,8 @@ def match_expected(
     keys = list(keys)
     item = ["category", "ord", "name"]
     actual = test_results.select(*keys, "position", "name", "status")
+    if set(tiers) & {"contains", "words"}:
+        actual = staged(actual, "match-actual")  # read three times
     named = _named_hits(expected.select(*keys, *item), actual, keys, item)
     hit = F.col("hit")
     if not set(tiers) & {"contains", "words"}:
