@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patcheval import constants as C
+from patcheval.functions.positions import positions
 from patcheval.functions import text as tx
 from patcheval.functions.keyed import first_per_key
 
@@ -282,6 +283,12 @@ def append_instances(existing: DataFrame, incoming: DataFrame, order, key: str =
     )
 
 
+def stats_lines(stats: DataFrame) -> DataFrame:
+    """(section, line_no, line): the printed counts per category and per difficulty, by value."""
+    text = F.concat(F.lit("    "), "value", F.lit(": "), F.col("instances").cast("string")).alias("line")
+    return positions(stats.where("section <> 'total'"), ["section"], ["value"], out="line_no").select("section", "line_no", text)
+
+
 def dataset_stats(df: DataFrame) -> DataFrame:
     """(section, value, instances, with_gold_patch, with_tests): totals, per category and per
     difficulty in one pass. Each row is expanded three-fold and merged map-side."""

@@ -108,6 +108,24 @@ def grade_named(
     )
 
 
+def evaluation_records(grades: DataFrame, details: DataFrame, failed: DataFrame | None = None, keys=KEYS) -> DataFrame:
+    """The grades with ``fail_to_pass_results`` and ``pass_to_pass_results``: arrays of (name, status, duration_ms, error_message) in the
+    order in which tests were expected, so that places in them are dense. Instances of ``failed`` (keys), whose run broke off, have
+    empty ones. An array holds no more than the list of expected tests that it comes from, which was one cell."""
+    keys = list(keys)
+    result = F.struct("name", "status", "duration_ms", "error_message")
+
+    def listed(category):
+        rows = F.sort_array(F.collect_list(F.when(F.col("category") == category, F.struct("ord", result.alias("r")))))
+        return F.transform(rows, lambda x: x["r"]).alias(f"{category}_results")
+
+    if failed is not None:
+        details = details.join(failed.select(*keys).distinct(), keys, "left_anti")
+    lists = details.groupBy(*keys).agg(listed(F2P), listed(P2P))
+    none = F.array().cast(lists.schema[f"{F2P}_results"].dataType)
+    return grades.join(lists, keys, "left").withColumns({f"{c}_results": F.coalesce(f"{c}_results", none) for c in (F2P, P2P)})
+
+
 def category_results(matches: DataFrame, keys=KEYS) -> DataFrame:
     """(keys, category, expected, passed, failed, missing, pass_rate, all_passed, any_passed)."""
     outcome = F.col("outcome")

@@ -189,6 +189,12 @@ def dataset_stats(spark, sf):
     return ds.dataset_stats(S.order_instances(spark, sf))
 
 
+@query(INSTANCES + """SELECT section, row_number() OVER (PARTITION BY section ORDER BY value) - 1 AS line_no, concat('    ', value, ': ', count(*)) AS line FROM (
+    SELECT 'category' AS section, category AS value FROM instances UNION ALL SELECT 'difficulty', difficulty FROM instances) GROUP BY section, value""")
+def dataset_stats_in_order(spark, sf):
+    return ds.stats_lines(ds.dataset_stats(S.order_instances(spark, sf)))
+
+
 @query(ISSUES + """, valid AS (SELECT instance_id FROM issued WHERE issues = '')
     SELECT (SELECT count(*) FROM issued) AS read, (SELECT count(*) FROM issued WHERE issues <> '') AS rejected,
            count(*) - count(DISTINCT instance_id) AS duplicates, count(DISTINCT instance_id) AS loaded FROM valid""")

@@ -8,6 +8,7 @@ from patcheval.operators import file_logs as files
 from patcheval.operators import grading, matching, reports
 from patcheval.plans import samples as S
 from patcheval.plans.evaluate import evaluate_files, evaluate_named, files_as_evaluations
+from patcheval.plans.log_queries import NAMED, NAMED_SUMMARIES
 from patcheval.plans.registry import query
 
 MATCH = f"WITH {S.ITEM_MATCH_SQL}"
@@ -79,6 +80,17 @@ def grade_by_names(spark, sf):
     )
 
 
+def _document_run(spark, sf):
+    """Every line of a document is expected as a test; the runs of one source broke off."""
+    logs = S.named_logs(spark, sf).withColumn("error", F.expr("CASE WHEN run_id = 'src0' THEN 'container lost' ELSE '' END"))
+    lines = S._doc_lines(spark, sf)
+    expected = lines.select(
+        "run_id", "instance_id", F.lit("fail_to_pass").alias("category"),
+        F.explode(F.expr("transform(lines, s -> struct(CAST(s.i AS BIGINT) AS ord, s.n AS name))")).alias("e"),
+    ).select("run_id", "instance_id", "category", "e.*")
+    return expected, logs
+
+
 # log to grade by the named rule, expecting of every document each line as its own test
 DOC_GRADED = f"""
     WITH {S.DOC_LINES_SQL},
@@ -96,12 +108,7 @@ DOC_GRADED = f"""
        CASE WHEN source = 'src0' THEN 0 ELSE passed END AS fail_to_pass_passed, total AS fail_to_pass_total,
        CASE WHEN source = 'src0' THEN 'container lost' END AS stopped_by FROM graded""")
 def grade_logs_by_names(spark, sf):
-    logs = S.named_logs(spark, sf).withColumn("error", F.expr("CASE WHEN run_id = 'src0' THEN 'container lost' ELSE '' END"))
-    lines = S._doc_lines(spark, sf)
-    expected = lines.select(
-        "run_id", "instance_id", F.lit("fail_to_pass").alias("category"),
-        F.explode(F.expr("transform(lines, s -> struct(CAST(s.i AS BIGINT) AS ord, s.n AS name))")).alias("e"),
-    ).select("run_id", "instance_id", "category", "e.*")
+    expected, logs = _document_run(spark, sf)
     grades, _ = evaluate_named(expected, logs, error="error", tiers=("exact", "normalised"))
     return grades.select(
         "run_id", "instance_id", "resolved", "fail_to_pass_passed", "fail_to_pass_total",
@@ -109,6 +116,32 @@ def grade_logs_by_names(spark, sf):
     )
 
 
+# the whole record of an evaluation, its details in list order
+@query(NAMED + f""", summaries AS ({NAMED_SUMMARIES}),
+    details AS (
+        SELECT concat('doc-', l.doc_id) AS instance_id, i, concat(n, '=', coalesce(status, 'error'), '@', coalesce(CAST(duration_ms AS VARCHAR), ''), '!',
+               CASE WHEN status IS NULL THEN 'Test not found in output' ELSE coalesce(error_message, '') END) AS shown
+        FROM doc_lines l LEFT JOIN results r ON r.instance_id = concat('doc-', l.doc_id) AND r.name = l.n),
+    lists AS (SELECT instance_id, string_agg(shown, '|' ORDER BY i) AS shown FROM details GROUP BY instance_id)
+    SELECT s.run_id, s.instance_id, CASE WHEN s.run_id = 'src0' THEN '' ELSE coalesce(shown, '') END AS fail_to_pass_results, '' AS pass_to_pass_results,
+           CASE WHEN s.run_id <> 'src0' THEN length(s.instance_id) + CAST(0.5 AS DOUBLE) END AS total_duration_ms,
+           CASE WHEN s.run_id = 'src0' THEN 'container lost' WHEN parse_errors <> '' THEN concat('Parse warnings: ', parse_errors) END AS error
+    FROM summaries s LEFT JOIN lists USING (instance_id)""")
+def evaluation_records(spark, sf):
+    expected, logs = _document_run(spark, sf)
+    logs = logs.withColumn("lasted", F.length("instance_id") + F.lit(0.5))
+    grades, details = evaluate_named(expected, logs, error="error", tiers=("exact", "normalised"), duration="lasted")
+    records = grading.evaluation_records(grades, details, logs.where("error <> ''"), ("run_id", "instance_id"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+
+    def shown(column):
+        text = F.transform(column, lambda r: F.concat(
+            r["name"], F.lit("="), r["status"], F.lit("@"), blank(r["duration_ms"].cast("string")), F.lit("!"), blank(r["error_message"])))
+        return F.array_join(text, "|").alias(column)
+
+    return records.select("run_id", "instance_id", shown("fail_to_pass_results"), shown("pass_to_pass_results"), "total_duration_ms", "error")
+
+
 FILE_GRADED = f"""
     WITH {S.DOC_LINES_SQL},
     headed AS (

@@ -48,7 +48,7 @@ def named_list_positions(spark, sf):
     return tests.select("run_id", "instance_id", "name", F.row_number().over(order).cast("bigint").alias("list_position"))
 
 
-@query(NAMED + """
+NAMED_SUMMARIES = """
     SELECT concat('doc-', d.doc_id) AS instance_id, source AS run_id, total, passed, failed, skipped,
            CASE WHEN raw IS NULL THEN NULL WHEN lang = 'fr' THEN n_chars * 1000.0 ELSE CAST(n_chars AS DOUBLE) END AS total_duration_ms,
            CASE WHEN raw IS NULL THEN 'Empty output received'
@@ -61,7 +61,10 @@ def named_list_positions(spark, sf):
     JOIN (SELECT d2.doc_id, count(r.name) AS total, count(*) FILTER (WHERE r.status = 'passed') AS passed,
                  count(*) FILTER (WHERE r.status = 'failed') AS failed, count(*) FILTER (WHERE r.status = 'skipped') AS skipped
           FROM documents d2 LEFT JOIN results r ON r.instance_id = concat('doc-', d2.doc_id) GROUP BY d2.doc_id) c ON d.doc_id = c.doc_id
-""")
+"""
+
+
+@query(NAMED + NAMED_SUMMARIES)
 def named_log_summary(spark, sf):
     summary = named.named_log_summary(S.named_logs(spark, sf))
     return summary.withColumn("parse_errors", F.array_join("parse_errors", "; "))
