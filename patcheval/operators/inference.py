@@ -156,12 +156,13 @@ def run_inference(
     first_delay: float = 1.0,
     repair: bool = True,
     texts: PromptTexts = PromptTexts(),
+    ask: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """The whole job from instances to result rows."""
+    """The whole job from instances to result rows. ``ask`` makes the calls instead of ``call_models``, as ``call_ledger.call_with_ledger`` does."""
     todo = pending_instances(instances, done, ids, max_instances, order)
     context = "code_context" if "code_context" in todo.columns else None
     prompts = build_prompts(todo.withColumn("run_id", F.lit(run_id)), style, context=context, texts=texts)
-    calls = call_models(
+    calls = ask(prompts) if ask else call_models(
         prompts, client_factory, temperature=temperature, max_tokens=max_tokens,
         max_retries=max_retries, first_delay=first_delay,
     )

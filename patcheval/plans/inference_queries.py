@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patcheval.constants import DEFAULT_PRICE, PRICES
+from patcheval.functions.stage import new_path
 from patcheval.operators import costs, inference, patches, prompts
+from patcheval.operators.call_ledger import call_with_ledger
 from patcheval.plans import samples as S
 from patcheval.plans.registry import query
 
@@ -189,14 +191,17 @@ _HEAD = len(_T.system)
 _REST = len(_T.minimal.replace("{problem}", ""))
 
 
-@query(f"""
+ANSWERED = f"""
     WITH calls AS (
         SELECT conv_id, turn, contains(text, 'et la') AS failed, concat('--- a/notes.txt', chr(10), '+++ b/notes.txt', chr(10), '@@ -0,0 +1,1 @@', chr(10), '+', {_FIRST}) AS patch,
                ({_HEAD} + {_REST} + length(text)) // 4 AS input_tokens FROM conversations)
     SELECT concat('c', conv_id, '-', turn) AS instance_id, NOT failed AS success, CASE WHEN failed THEN 'refused: et la' END AS error,
            CASE WHEN NOT failed THEN md5(concat(patch, chr(10))) END AS patch, input_tokens, CASE WHEN failed THEN 0 ELSE (length(patch) + 12) // 4 END AS output_tokens,
            round(input_tokens / 1000 * 0.03 + CASE WHEN failed THEN 0 ELSE (length(patch) + 12) // 4 END / 1000 * 0.06, 9) AS cost_usd FROM calls
-""")
+"""
+
+
+@query(ANSWERED)
 def run_inference(spark, sf):
     """Prompts to results with a deterministic client that fails on some prompts."""
     instances = S.table(spark, sf, "conversations").select(
@@ -209,6 +214,27 @@ def run_inference(spark, sf):
     )
 
 
+@query(f"SELECT *, 1 AS asked FROM ({ANSWERED})")
+def ledger_inference(spark, sf):
+    """The same by a ledger: a run over the first turns, then one over all, which asks only what is missing, chunk by chunk."""
+    ledger = new_path(spark, "ledger")
+    turns = S.table(spark, sf, "conversations").withColumn("instance_id", F.expr("concat('c', conv_id, '-', turn)"))
+
+    def ask(prompts):
+        return call_with_ledger(prompts, echo_client, "gpt-4-echo", ledger, chunk_calls=20_000, task_calls=2_000, retry_failed=False, max_retries=1)
+
+    def run(rows):
+        return inference.run_inference(rows.select("instance_id", F.col("text").alias("problem_statement"), "turn"), echo_client, "run", style="minimal", ask=ask)
+
+    run(turns.where("turn = 1"))
+    rows = run(turns)
+    asked = spark.read.parquet(ledger).groupBy("call_key").count().agg(F.max("count")).first()[0]
+    return rows.select(
+        "instance_id", "success", "error", F.md5(F.col("extracted_patch").cast("binary")).alias("patch"),
+        "input_tokens", "output_tokens", F.round("cost_usd", 9).alias("cost_usd"), F.lit(asked).cast("int").alias("asked"),
+    )
+
+
 class SecondTryClient(inference.EchoClient):
     """Fails on each prompt the first time."""
 
