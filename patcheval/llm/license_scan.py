@@ -71,13 +71,13 @@ def _template_bigrams(text: str) -> list[str]:
 def license_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(key, license_id, dice) for every different unit of a row that reaches ``threshold`` with a template.
 
-    ``templates`` are texts given with the call, of which there are few.
+    ``templates`` are texts given with the call, of which there are few; without any there are no rows.
     """
     spark = docs.sparkSession
     known = [(i, b, len(b)) for i, b in ((i, _template_bigrams(t)) for i, t in templates)]
     rows = [(m, i, b, n) for i, b, n in known for lo, hi in [size_bounds(n, threshold)] for m in range(max(1, lo), hi + 1)]
     by_size = spark.createDataFrame(rows, "_m int, license_id string, _b array<string>, _n int")
-    least, most = min(r[0] for r in rows), max(r[0] for r in rows)
+    least, most = min((r[0] for r in rows), default=1), max((r[0] for r in rows), default=0)
     text = text_of()
     # '.' also ends lines in a paragraph: units only differ by where they are cut
     whole = F.array(text)

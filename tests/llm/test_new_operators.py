@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute as B  # noqa: E402
 
-from patcheval.llm import merkle, quality, vector_codes  # noqa: E402
+from patcheval.llm import exact_dedup, license_scan, merkle, quality, vector_codes  # noqa: E402
 
 
 def counted(df, *columns):
@@ -226,3 +226,16 @@ def test_quality_without_labels(spark):
     one = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     got = {r.score for r in quality.score_documents(docs, quality.train(docs, one)).collect()}
     assert len(got) == 1 and got.pop() > 0.5
+
+
+# ---- edges of earlier operators
+
+
+def test_documents_with_maps(spark):
+    docs = B.documents(spark, [(1, "a b"), (1, "a b"), (2, "ab"), (3, None)]).withColumn("facts", F.create_map(F.lit("k"), F.col("doc_id")))
+    left = exact_dedup.drop_exact_duplicates(docs)
+    assert left.columns == docs.columns and sorted((r.doc_id, r.facts["k"]) for r in left.collect()) == [(1, 1), (3, 3)]
+
+
+def test_no_templates(spark):
+    assert {r.license_id for r in license_scan.scan_licenses(B.documents(spark), ()).collect()} == {None}
