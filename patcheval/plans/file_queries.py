@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from patcheval.functions.stage import new_path
+from patcheval.functions.stage import new_path, staged
 from patcheval.operators import costs, dataset as ds
 from patcheval.operators.reports import report_instances, report_summary
 from patcheval.plans import samples as S
@@ -235,3 +235,25 @@ def stream_grades(spark, sf):
 def windowed_costs(spark, sf):
     rows = jobs.windowed_costs(costs.cost_results(S.inference_rows(spark, sf)))
     return rows.withColumns({"cost_usd": F.round("cost_usd", 8), "latency_seconds": F.round("latency_seconds", 3)})
+
+
+def _report_parts(spark, sf):
+    rows = staged(evaluations(spark, sf).drop("output"), "evaluations")
+    instances = report_instances(rows, include_test_output=False)
+    return readers.read_report_parts(spark, sinks.export_report_json(report_summary(rows), instances, new_path(spark, "report"), "F", {"by": "F"}, "now"))
+
+
+@query(EVALUATED + """SELECT instance_id, status, patch_applied, passed AS tests_passed, failed AS tests_failed, skipped AS tests_skipped, passed + failed + skipped AS tests_total,
+       duration, error_message FROM evaluated WHERE run_id = 'F'""")
+def report_document_instances(spark, sf):
+    return _report_parts(spark, sf)[1].drop("test_output")
+
+
+@query(SUMMARIES + """SELECT total, resolved, unresolved, errors, skipped, round(resolved_rate, 9) AS resolved_rate, round(total_duration, 6) AS total_duration, 'now' AS "timestamp", 'F' AS by_run
+    FROM summaries WHERE run_id = 'F'""")
+def report_document_summary(spark, sf):
+    head = _report_parts(spark, sf)[0]
+    return head.select(
+        "total", "resolved", "unresolved", "errors", "skipped", F.round("resolved_rate", 9).alias("resolved_rate"),
+        F.round("total_duration", 6).alias("total_duration"), "timestamp", F.col("config")["by"].alias("by_run"),
+    )

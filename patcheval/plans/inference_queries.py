@@ -251,14 +251,14 @@ class SecondTryClient(inference.EchoClient):
 
 @query("""
     SELECT concat('c', conv_id, '-', turn) AS instance_id, true AS success, CAST(NULL AS VARCHAR) AS error FROM (
-        SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations WHERE conv_id % 3 <> 0 AND turn <> 1) WHERE n <= 500
+        SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations WHERE conv_id % 3 <> 0 AND turn <> 1) WHERE n <= (SELECT count(*) // 4 FROM conversations)
 """)
 def resume_inference(spark, sf):
-    """Listed conversations that are not done, the first 500 of them, by a client that answers at the second try."""
+    """Listed conversations that are not done, as many of the first as a quarter of all rows, by a client that answers at the second try."""
     turns = S.table(spark, sf, "conversations").withColumn("instance_id", F.expr("concat('c', conv_id, '-', turn)"))
     instances = turns.select("instance_id", F.col("text").alias("problem_statement"), "conv_id", "turn")
     rows = inference.run_inference(
-        instances, SecondTryClient, "run", style="minimal", done=turns.where("turn = 1"), ids=turns.where("conv_id % 3 <> 0"), max_instances=500,
+        instances, SecondTryClient, "run", style="minimal", done=turns.where("turn = 1"), ids=turns.where("conv_id % 3 <> 0"), max_instances=turns.count() // 4,
         order=("conv_id", "turn"), max_retries=2, first_delay=0.0,
     )
     return rows.select("instance_id", "success", "error")

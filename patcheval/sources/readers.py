@@ -264,6 +264,17 @@ def read_report_instances(spark, path) -> DataFrame:
     )
 
 
+def read_report_parts(spark, path) -> tuple[DataFrame, DataFrame]:
+    """(summary, instances) of a nested report document in the ordered text parts that ``sinks.export_report_json`` writes: a line for its
+    head, one for each record and one for its end. Lines are read by as many tasks as there are splits."""
+    line = F.col("value")
+    lines = spark.read.text(path)
+    is_head = line.startswith('{"summary": ')
+    head = lines.where(is_head).select(F.from_json(F.concat(line, F.lit("]}")), S.REPORT).alias("r"))
+    records = lines.where(~is_head & (line != "]}")).select(F.from_json(F.regexp_replace(line, r"\A,", ""), S.REPORT_INSTANCE).alias("i"))
+    return head.select("r.summary.*", "r.metadata.timestamp", "r.metadata.config"), records.select("i.*")
+
+
 def read_report_tables(spark, path) -> tuple[DataFrame, DataFrame]:
     """(summary, instances) of a report saved by ``sinks.save_report``."""
     return spark.read.parquet(f"{path}/report_summary"), spark.read.parquet(f"{path}/report_instances")
