@@ -14,7 +14,7 @@ from patcheval.plans.inference_queries import CALLS, STATS_COLUMNS
 from patcheval.plans.registry import query
 from patcheval.plans.report_queries import EVALUATED, SUMMARIES, evaluations
 from patcheval.sources import readers, sinks
-from patcheval.streaming import jobs
+from patcheval.streaming import jobs, keyed_store
 
 READ_BACK = INSTANCES + """SELECT instance_id, problem_statement, category, difficulty, gold_patch, concat('orders,', tag) AS tags,
     CASE WHEN has_tests THEN concat('t', o_custkey) ELSE '' END AS tests FROM instances"""
@@ -216,7 +216,7 @@ def stream_unseen(spark, sf):
 def stream_running_stats(spark, sf):
     out = new_path(spark, "stream")
     jobs.running_stats(costs.cost_results(_calls(_event_stream(spark, sf))), out + "/data", out + "/checkpoint").awaitTermination()
-    return jobs.latest_batch(spark, out + "/data").withColumns(
+    return jobs.running_totals(spark, out + "/data").withColumns(
         {"total_cost_usd": F.round("total_cost_usd", 8), "total_latency_seconds": F.round("total_latency_seconds", 3)}
     )
 
@@ -230,13 +230,47 @@ def stream_grades(spark, sf):
     return jobs.merged_grades(spark, out + "/grades").select("run_id", "instance_id", "status")
 
 
-@query(CALLS + """SELECT date_trunc('hour', ts) AS window_start, model, count(*) AS calls, round(sum(cost_usd), 8) AS cost_usd, round(sum(latency), 3) AS latency_seconds
-    FROM calls GROUP BY ALL""")
-def windowed_costs(spark, sf):
-    rows = jobs.windowed_costs(costs.cost_results(S.inference_rows(spark, sf)))
+@query(f"WITH {S.COUNTS_SQL} SELECT run_id, instance_id, CASE WHEN run_id = 'O' THEN 'unresolved' WHEN f = 0 AND p > 0 THEN 'resolved' ELSE 'unresolved' END AS status FROM counted")
+def stream_regrades(spark, sf):
+    """Logs of all instances, then new logs of one run: the later grades replace the earlier ones."""
+    out = new_path(spark, "stream")
+    logs = S.count_logs(spark, sf).select("run_id", "instance_id", "output")
+    again = logs.where("run_id = 'O'").withColumn("output", F.lit("3 passed, 1 failed"))
+    for arrived in (logs, again):
+        arrived.write.mode("append").parquet(out + "/logs")
+        stream = jobs.stream_files(spark, out + "/logs", "run_id string, instance_id string, output string", "parquet")
+        jobs.grade_logs(stream, out + "/grades", out + "/checkpoint").awaitTermination()
+    return jobs.merged_grades(spark, out + "/grades").select("run_id", "instance_id", "status")
+
+
+WINDOWS = CALLS + """SELECT date_trunc('hour', ts) AS window_start, model, count(*) AS calls, round(sum(cost_usd), 8) AS cost_usd, round(sum(latency), 3) AS latency_seconds
+    FROM calls GROUP BY ALL"""
+
+
+def _rounded_windows(rows):
     return rows.withColumns({"cost_usd": F.round("cost_usd", 8), "latency_seconds": F.round("latency_seconds", 3)})
 
 
+@query(WINDOWS)
+def windowed_costs(spark, sf):
+    return _rounded_windows(jobs.windowed_costs(costs.cost_results(S.inference_rows(spark, sf))))
+
+
+@query(WINDOWS)
+def stream_windowed_costs(spark, sf):
+    """Four deliveries that each span the whole time, so that many rows come late; windows and late rows together."""
+    out = new_path(spark, "stream")
+    calls = costs.cost_results(S.inference_rows(spark, sf)).select("user_id", "ts", "model", "cost_usd", "latency_seconds")
+    calls = staged(calls, "calls")
+    for k in range(4):
+        calls.where(F.pmod(F.xxhash64("user_id"), F.lit(4)) == k).drop("user_id").write.mode("append").parquet(out + "/in")
+        stream = jobs.stream_files(spark, out + "/in", calls.drop("user_id").schema, "parquet")
+        jobs.stream_windowed_costs(stream, out + "/costs", out + "/checkpoint").awaitTermination()
+    late = jobs.windowed_costs(jobs.late_rows(spark, out + "/costs"))
+    both = keyed_store.current(spark, out + "/costs/windows").unionByName(late)
+    return _rounded_windows(both.groupBy("window_start", "model").agg(*[F.sum(c).alias(c) for c in ("calls", "cost_usd", "latency_seconds")]))
+
+
 def _report_parts(spark, sf):
     rows = staged(evaluations(spark, sf).drop("output"), "evaluations")
     instances = report_instances(rows, include_test_output=False)
