@@ -14,6 +14,7 @@ from patcheval.plans.inference_queries import CALLS, STATS_COLUMNS
 from patcheval.plans.registry import query
 from patcheval.plans.report_queries import EVALUATED, SUMMARIES, evaluations
 from patcheval.sources import readers, sinks
+from patcheval.sources.range_tree import range_tree, roots
 from patcheval.streaming import jobs, keyed_store
 
 READ_BACK = INSTANCES + """SELECT instance_id, problem_statement, category, difficulty, gold_patch, concat('orders,', tag) AS tags,
@@ -186,6 +187,48 @@ def submission_package(spark, sf):
     return sinks.run_checksums(stored).join(spark.read.parquet(path + "/checksums"), ["run_id", "rows", "run_checksum"]).select("run_id", "rows")
 
 
+_NUMBER = "CAST(substr(instance_id, 5) AS BIGINT) % 97"
+
+
+@query(EVALUATED + f"""SELECT run_id, instance_id, 'missing' AS status, 1 AS rows_before, 0 AS rows_after FROM evaluated WHERE {_NUMBER} = 1
+       UNION ALL SELECT run_id, instance_id, 'changed', 1, 1 FROM evaluated WHERE {_NUMBER} = 2
+       UNION ALL SELECT run_id, concat(instance_id, '-x'), 'extra', 0, 1 FROM evaluated WHERE {_NUMBER} = 3
+       UNION ALL SELECT run_id, instance_id, 'extra', 0, 2 FROM evaluated WHERE {_NUMBER} = 4""")
+def verify_package(spark, sf):
+    """A copy with rows taken out, changed, added and repeated, held against the package."""
+    rows = staged(evaluations(spark, sf).select("run_id", "instance_id", "status"), "evaluated")
+    path = sinks.submission(rows, new_path(spark, "submission"), {"timeout": 300})
+    number = F.pmod(F.substring("instance_id", 5, 20).cast("bigint"), F.lit(97))
+    copy = rows.where(number != 1).withColumn("status", F.when(number == 2, "altered").otherwise(F.col("status")))
+    copy = copy.unionByName(rows.where(number == 3).withColumn("instance_id", F.concat("instance_id", F.lit("-x"))))
+    copy = copy.unionByName(rows.where(number == 4)).unionByName(rows.where(number == 4))
+    return sinks.verify_submission(copy, path)
+
+
+_DIGEST = "concat('{\"run_id\":\"', run_id, '\",\"instance_id\":\"', instance_id, '\",\"status\":\"', status, '\"}')"
+_DEEP = 6
+
+
+def _tree_sql() -> str:
+    """The roots level by level, from the deepest that fits any part."""
+    depth = " + ".join(f"CAST(count(*) OVER (PARTITION BY run_id) > {256 * 16**d} AS INT)" for d in range(_DEEP))
+    parts = [f"entries AS (SELECT run_id, c, count(*) AS n FROM (SELECT run_id, sha256({_DIGEST}) AS c FROM evaluated) GROUP BY ALL)",
+             f"deep AS (SELECT *, {depth} AS depth FROM entries)",
+             """leaves AS (SELECT run_id, depth, substr(c, 1, depth) AS place, sum(n) AS rows, sha256(concat('rows:', string_agg(concat(c, ':', n), ',' ORDER BY c))) AS digest
+                FROM deep GROUP BY ALL)""", f"level_{_DEEP + 1} AS (SELECT * FROM leaves WHERE false)"]
+    for level in range(_DEEP, -1, -1):
+        parts.append(f"""level_{level} AS (SELECT * FROM leaves WHERE depth = {level} UNION ALL
+            SELECT run_id, depth, substr(place, 1, {level}), sum(rows), sha256(concat('ranges:', string_agg(concat(place, ':', digest), ',' ORDER BY place)))
+            FROM level_{level + 1} GROUP BY run_id, depth, substr(place, 1, {level}))""")
+    return EVALUATED.rstrip() + ", " + ", ".join(parts) + " SELECT run_id, CAST(rows AS BIGINT) AS rows, digest AS root FROM level_0"
+
+
+@query(_tree_sql())
+def package_roots(spark, sf):
+    checked = sinks.row_checksums(evaluations(spark, sf).select("run_id", "instance_id", "status"))
+    return roots(range_tree(checked)).select(F.get_json_object("part", "$.run_id").alias("run_id"), "rows", "root")
+
+
 # --- streams ----------------------------------------------------------------------------
 
 

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patcheval.functions.stage import staged
+from patcheval.sources.range_tree import changed_rows, differing_ranges, range_tree
 
 
 def export_jsonl(df: DataFrame, path: str, mode: str = "error") -> str:
@@ -144,7 +145,8 @@ def run_checksums(checked: DataFrame, by=("run_id",), column: str = "checksum")
     """(by, rows, run_checksum): one checksum per run that does not depend on the order of rows.
 
     The row checksums are summed in four words of 15 digits, which merges map-side in any order and keeps
-    repeated rows apart from single ones; the run checksum is the sha-256 of the count and the sums.
+    repeated rows apart from single ones; the run checksum is the sha-256 of the count and the sums. It shows accidents; against
+    rows made to collide, and to see which rows differ, there is ``range_tree``.
     """
     words = [
         F.conv(F.substring(column, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)
@@ -156,13 +158,35 @@ def run_checksums(checked: DataFrame, by=("run_id",), column: str = "checksum")
     return sums.select(*by, "rows", F.sha2(text.cast("binary"), 256).alias("run_checksum"))
 
 
-def submission(results: DataFrame, path: str, config: dict, mode: str = "error") -> str:
-    """Results with row checksums, run checksums and the settings of the run."""
-    checked = row_checksums(results)
-    checked.write.mode(mode).parquet(f"{path}/results")
-    run_checksums(checked).write.mode(mode).parquet(f"{path}/checksums")
-    settings = results.sparkSession.createDataFrame(
-        [(str(k), str(v)) for k, v in sorted(config.items())], "setting string, value string"
-    )
+def submission(results: DataFrame, path: str, config: dict, mode: str = "error", by=("run_id",)) -> str:
+    """Results with row checksums, run checksums, the settings of the run and a hash tree over ranges of the row checksums, against which
+    :func:`verify_submission` holds a copy."""
+    spark = results.sparkSession
+    row_checksums(results).write.mode(mode).parquet(f"{path}/results")
+    checked = spark.read.parquet(f"{path}/results")
+    run_checksums(checked, by).write.mode(mode).parquet(f"{path}/checksums")
+    range_tree(checked, by).write.mode(mode).partitionBy("level").parquet(f"{path}/tree")
+    settings = spark.createDataFrame([(str(k), str(v)) for k, v in sorted(config.items())], "setting string, value string")
     settings.coalesce(1).write.mode(mode).json(f"{path}/config")
     return path
+
+
+def _stored_tree(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("part string, place string, depth int, rows bigint, digest string, level int").parquet(f"{path}/tree")
+
+
+def verify_submission(results: DataFrame, path: str, keys=("run_id", "instance_id"), by=("run_id",)) -> DataFrame:
+    """(keys, status, rows_before, rows_after): how ``results`` differ from those of the package, by key; no rows if they do not.
+    Columns that the package lacks do not count; an error if one is missing."""
+    spark = results.sparkSession
+    stored = spark.read.parquet(f"{path}/results")
+    copy = staged(row_checksums(results, [c for c in stored.columns if c != "checksum"]).select(*keys, "checksum"), "copy")
+    nodes = _stored_tree(spark, path)
+    return changed_rows(stored, nodes, copy, range_tree(copy, by, like=nodes), keys, by)
+
+
+def damaged_ranges(spark: SparkSession, path: str, by=("run_id",)) -> DataFrame:
+    """(part, place, depth): ranges of the stored results, their checksums computed anew, whose digest is not the one in the package's tree."""
+    stored, nodes = spark.read.parquet(f"{path}/results"), _stored_tree(spark, path)
+    rows = row_checksums(stored.drop("checksum"))
+    return differing_ranges(nodes, range_tree(rows, by, like=nodes))
