@@ -1,12 +1,16 @@
 """Licence texts and notices in documents: Dice coefficient over word bigrams against templates.
 
-Compared are each line, each paragraph and the whole of a text. A unit of ``m`` bigrams can reach a coefficient of ``t``
-with a template of ``n`` only if ``m`` lies between ``n * t / (2 - t)`` and ``n * (2 - t) / t``: units of other sizes have no bigrams
-made, the rest meet the templates of fitting size by an equality join on their size. A bigram counts as often as both have it.
+Compared are windows of a text's words, wherever they lie: inside a line, over several lines, between comment marks. A window of
+``m`` bigrams can reach a coefficient of ``t`` with a template of ``n`` only if ``m`` lies between ``n * t / (2 - t)`` and ``n * (2 - t) / t``
+and they share at least ``n * t / (2 - t)`` bigrams. So of ``n`` less that many, plus one, of a template's bigrams one is in the window: those that begin with
+the longest words are its anchors. Each place of an anchor gives windows of the template's size, and of those half-way to both bounds, laid so
+that their start or their end is the template's. A bigram counts as often as both have it.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +21,7 @@ from patcheval.llm.common import KEY, row_key, text_of
 THRESHOLD = 0.8
 # fixed values: public licence notices, by SPDX identifier
 TEMPLATES: tuple[tuple[str, str], ...] = (
+    *[(i, f"SPDX-License-Identifier: {i}") for i in ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "CC-BY-NC-4.0", "CC-BY-4.0", "CC-BY-SA-4.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Unlicense", "Zlib")],
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -35,6 +40,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
 )
 
 
@@ -43,11 +51,9 @@ def normalised(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def bigrams(unit: Column) -> Column:
-    """Pairs of neighbouring words of a normalised unit; a unit of one word has that word."""
-    w = F.split(unit, " ")
-    pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(w) > 1, pairs).otherwise(w)
+def bigrams(w: Column) -> Column:
+    """Pairs of neighbouring words of a list of two or more."""
+    return F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def shared_bigrams(a: Column, b: Column) -> Column:
@@ -61,36 +67,76 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return ceil(n * threshold / (2 - threshold) - 1e-9), floor(n * (2 - threshold) / threshold + 1e-9)
 
 
-def _template_bigrams(text: str) -> list[str]:
-    import re
-
+def template_bigrams(text: str) -> list[str]:
     w = re.sub("[^a-z0-9]+", " ", text.lower()).strip().split(" ")
-    return [f"{a} {b}" for a, b in zip(w, w[1:])] if len(w) > 1 else w
+    if len(w) < 2:
+        raise ValueError(f"a template needs two words: {text!r}")
+    return [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+
+def anchors(grams: list[str], threshold: float) -> list[int]:
+    """Places of a template's anchors: a window that reaches ``threshold`` has one of these bigrams."""
+    n = len(grams)
+    wanted = n - size_bounds(n, threshold)[0] + 1
+    return sorted(sorted(range(n), key=lambda q: (-len(grams[q].split(" ")[0]), -len(grams[q]), q))[:wanted])
+
+
+def layouts(n: int, threshold: float) -> list[tuple[int, int]]:
+    """(start, size) of the windows to lay on a template's place, in bigrams: its own size, and half-way to the bounds at either end."""
+    lo, hi = size_bounds(n, threshold)
+    sizes = {n, (lo + n) // 2, (n + hi) // 2} if n >= SHORT else {n}
+    return sorted({(start, m) for m in sizes for start in (0, n - m)})
+
+
+#: Templates of fewer bigrams are met by windows of their own size only: of a short notice the part without its last word tells no licence.
+SHORT = 8
+#: Words of a text that a task looks at together; windows may reach beyond them on either side.
+SEGMENT = 2048
 
 
 def license_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, license_id, dice) for every different unit of a row that reaches ``threshold`` with a template.
+    """(key, license_id, dice) for every window of a row that reaches ``threshold`` with a template.
 
-    ``templates`` are texts given with the call, of which there are few; without any there are no rows.
+    ``templates`` are texts of two words or more given with the call, of which there are few; without any there are no rows.
+    Long texts are cut into segments of words that overlap by the longest window, so that no row is longer than these.
     """
     spark = docs.sparkSession
-    known = [(i, b, len(b)) for i, b in ((i, _template_bigrams(t)) for i, t in templates)]
-    rows = [(m, i, b, n) for i, b, n in known for lo, hi in [size_bounds(n, threshold)] for m in range(max(1, lo), hi + 1)]
-    by_size = spark.createDataFrame(rows, "_m int, license_id string, _b array<string>, _n int")
-    least, most = min((r[0] for r in rows), default=1), max((r[0] for r in rows), default=0)
-    text = text_of()
-    # '.' also ends lines in a paragraph: units only differ by where they are cut
-    whole = F.array(text)
-    paragraphs = F.when(text.rlike(r"\n[ \t\r]*\n"), F.split(text, r"\n[ \t\r]*\n")).otherwise(whole)
-    units = F.array_distinct(F.concat(F.split(text, "\n"), paragraphs, whole))
-    # a unit has more characters than bigrams
-    sizes = lambda u: F.greatest(F.size(F.split(u, " ")) - 1, F.lit(1)).between(least, most)
-    fitting = F.filter(F.transform(F.filter(units, lambda u: F.length(u) >= least), normalised), lambda u: (u != "") & sizes(u))
-    unit = docs.select(*row_key(), F.explode(F.array_distinct(fitting)).alias("_u")).select(*KEY, bigrams(F.col("_u")).alias("_g"))
-    unit = unit.withColumn("_m", F.size("_g"))
-    shared = shared_bigrams(F.col("_g"), F.col("_b"))
-    dice = F.round(2 * shared / (F.col("_m") + F.col("_n")), 6)
-    return unit.join(F.broadcast(by_size), "_m").select(*KEY, "license_id", dice.alias("dice")).where(F.col("dice") >= threshold)
+    known = [(t, i, template_bigrams(text)) for t, (i, text) in enumerate(templates)]
+    by_number = spark.createDataFrame([(t, i, g, len(g)) for t, i, g in known], "_t int, license_id string, _b array<string>, _n int")
+    if not known:
+        return docs.select(*row_key(), F.lit("").alias("license_id"), F.lit(0.0).alias("dice")).where(F.lit(False))
+    places: dict[str, list[dict]] = {}
+    for t, _, grams in known:
+        for q in anchors(grams, threshold):
+            places.setdefault(grams[q], []).extend({"t": t, "d": start - q, "m": m} for start, m in layouts(len(grams), threshold))
+    pad = 2 * max(m for windows in places.values() for m in [w["m"] for w in windows])
+    at = F.from_json(F.lit(json.dumps(places)), "map<string,array<struct<t:int,d:int,m:int>>>")
+
+    w = F.col("_words")
+    last = F.size(w) - 1
+    cut = lambda s: F.struct(s.alias("s"), F.greatest(s - pad, F.lit(0)).alias("base"), last.alias("end"), F.slice(w, F.greatest(s - pad, F.lit(0)) + 1, F.least(s, F.lit(pad)) + SEGMENT + pad + 1).alias("w"))
+    segments = F.when(last > 0, F.transform(F.sequence(F.lit(0), last - 1, F.lit(SEGMENT)), cut))
+    cells = docs.select(*row_key(), F.split(normalised(text_of()), " ").alias("_words")).select(*KEY, F.explode(segments).alias("_c"))
+    cells = cells.select(*KEY, "_c.*")
+
+    # places in the segment whose word begins an anchor, then those where an anchor stands
+    here = F.sequence(F.col("s") - F.col("base"), F.least(F.col("s") + SEGMENT, F.col("end")) - F.col("base") - 1)
+    begin = F.filter(here, lambda i: F.get("w", i).isin(sorted({g.split(" ")[0] for g in places})))
+    grams = F.transform(begin, lambda i: F.struct((i + F.col("base")).alias("p"), F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)).alias("g")))
+    hits = F.filter(grams, lambda h: h["g"].isin(sorted(places)))
+    window = lambda p: lambda e: F.struct(e["t"].alias("t"), F.greatest(p + e["d"], F.lit(0)).alias("a"), F.least(p + e["d"] + e["m"], F.col("end")).alias("b"))
+    windows = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(at, h["g"]), window(h["p"])))))
+    # a layout may lie wholly before or behind the text
+    windows = F.filter(windows, lambda x: x["a"] < x["b"])
+    laid = cells.select(*KEY, "base", "w", F.explode(windows).alias("_x")).select(
+        *KEY, F.col("_x.t").alias("_t"), F.slice("w", F.col("_x.a") - F.col("base") + 1, F.col("_x.b") - F.col("_x.a") + 1).alias("_u"),
+        (F.col("_x.b") - F.col("_x.a")).alias("_m"),
+    )
+    least = F.when(F.col("_n") < SHORT, F.col("_n")).otherwise(F.col("_n") * threshold / (2 - threshold) - 1e-9)
+    met = laid.join(F.broadcast(by_number), "_t").where(F.col("_m") >= least)
+    met = met.select(*KEY, "license_id", "_b", "_n", "_m", bigrams(F.col("_u")).alias("_g"))
+    dice = F.round(2 * shared_bigrams(F.col("_g"), F.col("_b")) / (F.col("_m") + F.col("_n")), 6)
+    return met.select(*KEY, "license_id", dice.alias("dice")).where(F.col("dice") >= threshold)
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -81,18 +81,23 @@ def _sql_text(s: str) -> str:
 
 
 def _license_sql() -> str:
-    norm = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
-    grams = "CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END"
-    known = ", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in license_scan.TEMPLATES)
+    t = license_scan.THRESHOLD
+    known = [(n, i, license_scan.template_bigrams(text)) for n, (i, text) in enumerate(license_scan.TEMPLATES)]
+    grams = ", ".join(f"({n}, {_sql_text(i)}, {q}, {_sql_text(g)}, {len(b)}, {q in set(license_scan.anchors(b, t))})" for n, i, b in known for q, g in enumerate(b))
+    laid = ", ".join(f"({n}, {s}, {m})" for n, _, b in known for s, m in license_scan.layouts(len(b), t))
     return f"""
-WITH templates AS (SELECT license_id, {grams} AS b FROM (SELECT license_id, string_split({norm.format("t")}, ' ') AS w FROM (VALUES {known}) v(license_id, t))),
-units AS (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, string_split(u, ' ') AS w FROM (SELECT DISTINCT doc_id, {norm.format("u")} AS u FROM (
-  SELECT doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)), string_split_regex(coalesce(text, ''), '\\n[ \\t\\r]*\\n'), [coalesce(text, '')])) AS u FROM documents)) WHERE u <> '')),
-found AS (SELECT doc_id, license_id, round(2 * coalesce(list_sum(list_transform(list_distinct(list_intersect(g, b)), lambda x: least(len(list_filter(g, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) / (len(g) + len(b)), 6) AS dice FROM units, templates
-  WHERE 2 * least(len(g), len(b)) >= 0.8 * (len(g) + len(b)) - 1e-9),
-best AS (SELECT doc_id, arg_min(license_id, struct_pack(d := -dice, i := license_id)) AS license_id, max(dice) AS dice,
-  string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS license_ids FROM found WHERE dice >= 0.8 GROUP BY doc_id)
-SELECT doc_id, license_id, dice, coalesce(license_ids, '') AS license_ids FROM documents LEFT JOIN best USING (doc_id)"""
+WITH template AS (SELECT * FROM (VALUES {grams}) v(t, license_id, q, g, n, anchor)), layout AS (SELECT * FROM (VALUES {laid}) v(t, s, m)),
+parts AS (SELECT t, license_id, n, g, count(*) AS k FROM template GROUP BY ALL),
+texts AS (SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+words AS (SELECT r, len(w) - 1 AS nb, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS x FROM texts),
+grams AS (SELECT r, nb, p, concat(x, ' ', lead(x) OVER (PARTITION BY r ORDER BY p)) AS g FROM words QUALIFY p < nb),
+windows AS (SELECT DISTINCT r, t, n, license_id, greatest(p - q + s, 0) AS a, least(p - q + s + m, nb) AS b FROM grams JOIN template USING (g) JOIN layout USING (t) WHERE anchor),
+fitting AS (SELECT * FROM windows WHERE b - a >= CASE WHEN n < {license_scan.SHORT} THEN n ELSE n * {t} / (2 - {t}) - 1e-9 END),
+counted AS (SELECT f.r, f.t, f.n, f.license_id, a, b, grams.g, count(*) AS k FROM fitting f JOIN grams ON grams.r = f.r AND p >= a AND p < b GROUP BY ALL),
+found AS (SELECT r, c.license_id, round(2 * sum(least(c.k, parts.k)) / (any_value(c.n) + b - a), 6) AS dice FROM counted c JOIN parts USING (t, g) GROUP BY r, t, c.license_id, a, b),
+best AS (SELECT r, arg_min(license_id, struct_pack(d := -dice, i := license_id)) AS license_id, max(dice) AS dice,
+  string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS license_ids FROM found WHERE dice >= {t} GROUP BY r)
+SELECT doc_id, license_id, dice, coalesce(license_ids, '') AS license_ids FROM texts LEFT JOIN best USING (r)"""
 
 
 def _merkle_sql() -> str:

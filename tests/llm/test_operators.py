@@ -373,6 +373,38 @@ def test_licenses(spark, docs, no_docs):
     assert license_scan.scan_licenses(docs).count() == len(B.TEXTS) and license_scan.scan_licenses(no_docs).count() == 0
 
 
+def test_licenses_inside_texts(spark, monkeypatch):
+    """Notices in the middle of a line, behind comment marks, with words taken out and put in, across segments."""
+    monkeypatch.setattr(license_scan, "SEGMENT", 64)
+    known = dict(license_scan.TEMPLATES)  # the last of an identifier is its long text
+    mit, filler = known["MIT"], " ".join(f"word{i}" for i in range(300))
+    words = mit.split(" ")
+    commented = "\n".join("# " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    longer = " ".join(words[:40] + ["any", "more", "words", "here", "that", "were", "put", "in"] + words[40:])
+    shorter = " ".join(words[:30] + words[42:])
+    half = " ".join(words[: len(words) // 2])
+    rows = [
+        (1, 'x = f(y)  # Released under the MIT License. see z'), (2, f"{commented}\nimport os\n{filler}"), (3, f"{filler}\n// SPDX-License-Identifier: Apache-2.0\n{filler}"),
+        (4, f"{filler} {longer} {filler}"), (5, f"{filler} {shorter} {filler}"), (6, f"{filler} {half} {filler}"), (7, filler), (8, known["BSD-2-Clause"].replace("1.", "").replace("2.", "")),
+        (9, "spdx license identifier"), (10, f"{filler} {mit} " * 4),
+    ]
+    got = {r.doc_id: (r.license_id, r.dice) for r in license_scan.scan_licenses(B.documents(spark, rows)).collect()}
+    assert [got[i][0] for i in range(1, 11)] == ["MIT", "MIT", "Apache-2.0", "MIT", "MIT", None, None, "BSD-2-Clause", None, "MIT"]
+    assert [got[i][1] for i in (1, 2, 3, 10)] == [1.0] * 4 and 0.8 < got[5][1] < 1 and 0.8 < got[4][1] < 1
+
+
+def test_license_anchors_lose_nothing():
+    """Any window that reaches the threshold holds an anchor."""
+    rng = random.Random(9)
+    for _ in range(3000):
+        n = rng.randint(1, 12)
+        grams = [f"{rng.choice('abcdef')} {rng.choice('xyz')}" for _ in range(n)]
+        window = [rng.choice(grams) if rng.random() < 0.9 else "q q" for _ in range(rng.randint(1, 16))]
+        shared = sum((Counter(grams) & Counter(window)).values())
+        if 2 * shared / (n + len(window)) >= 0.8:
+            assert {grams[q] for q in license_scan.anchors(grams, 0.8)} & set(window)
+
+
 # ---- 8
 
 
