@@ -3,6 +3,9 @@
 A surrogate follows from a secret key, the entity's type and its text; it keeps type and format, and of names the
 gender, the script and the case. All entities of the corpus are named in one table, in which no two share a
 surrogate and none has that of a real entity: whoever collides takes the next attempt.
+
+A person is found behind a title. Where a document has one, the capitalised words of that document that are its given or family name, in any
+later or earlier place and without a title, take the same surrogate; if a word is both, the family's.
 """
 
 from __future__ import annotations
@@ -25,16 +28,21 @@ SYLLABLES = {
 }
 _TITLE = "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.?"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}"),
     ("ip", rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"),
+    ("ip6", rf"(?<![0-9A-Fa-f:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}}|[Ff][Ee]80:(?::{_HEX}){{1,5}})(?![0-9A-Fa-f:])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("card", r"(?<![\d-])\d{4}(?:[ -]?\d{4}){3}(?![\d-])"),
+    ("card", r"(?<![\d-])(?:\d{4}(?:[ -]?\d{4}){3}|\d{4}[ -]?\d{6}[ -]?\d{5})(?![\d-])"),
     ("phone", r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"),
     ("person", rf"(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME})?"),
 )
 _ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: A capitalised word, which may be a name of a person that the document names with a title.
+_WORD = r"(?<!\p{L})\p{Lu}\p{L}{0,40}(?:['’-]\p{Lu}\p{L}{0,40})*"
+_ANY_OR_WORD = f"{_ANY}|(?:{_WORD})"
 _MAYBE = r"[0-9@]|" + _TITLE + " "
 TYPES = tuple(t for t, _ in PATTERNS)
 MAX_ATTEMPTS = 64
@@ -46,7 +54,7 @@ def entities(text: Column) -> Column:
 
 
 def _type(entity: Column) -> Column:
-    out = F
+    out = F.when(entity.rlike(r"\A\p{Lu}[\p{L}'’-]*\z"), "word")
     for name, pattern in PATTERNS[:-1]:
         out = out.when(entity.rlike(rf"\A(?:{pattern})\z"), name)
     return out.otherwise("person")
@@ -96,6 +104,7 @@ def _surrogate() -> Column:
     code = F.regexp_extract(e, r"\A\+\d{1,3}", 0)
     phone = F.concat(code, F.substring(every, F.length(code) + 1, F.length(e)))
     ip = F.concat_ws(".", *[(F.pmod(byte(F.lit(j)), F.lit(254)) + 1).cast("string") for j in range(4)])
+    host = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9A-Fa-f]"), letter("0123456789abcdef", i)).otherwise(c)), "")
     # a card number that passes its check still does, and one that does not, does not
     digits = lambda s: F.transform(F.split(F.regexp_replace(s, r"\D", ""), ""), lambda d: d.cast("int"))
 
@@ -106,7 +115,7 @@ def _surrogate() -> Column:
 
     fixed = F.pmod(F.right(every, F.lit(1)).cast("int") + check(e) - check(every), F.lit(10)).cast("string")
     card = F.concat(F.substring(every, F.lit(1), F.length(e) - 1), fixed)
-    out = F.when(F.col("type") == "email", email).when(F.col("type") == "phone", phone).when(F.col("type") == "ip", ip).when(F.col("type") == "card", card).when(F.col("type") == "ssn", every)
+    out = F.when(F.col("type") == "email", email).when(F.col("type") == "phone", phone).when(F.col("type") == "ip", ip).when(F.col("type") == "ip6", host).when(F.col("type") == "card", card).when(F.col("type") == "ssn", every)
     script = F.when(e.rlike(r"\A\p{IsCyrillic}"), "cyrillic").when(e.rlike(r"\A\p{IsGreek}"), "greek").otherwise("latin")
     for name, (inner, male, female, other) in SYLLABLES.items():
         s = F.split(F.lit(inner), " ")
@@ -120,7 +129,7 @@ def _surrogate() -> Column:
 
 def _canonical(said: Column, kind: Column) -> Column:
     """What makes two mentions the same: e-mail addresses and names whatever their case; cards and telephones as written."""
-    return F.when((kind == "email") | kind.like("given%") | (kind == "family"), F.lower(said)).otherwise(said)
+    return F.when(kind.isin("email", "ip6", "family", "word") | kind.like("given%"), F.lower(said)).otherwise(said)
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
@@ -147,31 +156,39 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
     text = text_of()
     base = docs.select("doc_id", *row_key(), text.alias("_t")).withColumn("_e", entities(F.col("_t")))
     has = F.size("_e") > 0
+    # only documents with a person are searched for words
+    titled = F.exists("_e", lambda x: x.rlike(rf"\A{_TITLE} "))
+    found = F.when(titled, F.regexp_extract_all("_t", F.lit(_ANY_OR_WORD), F.lit(0))).otherwise(F.col("_e"))
     mentions = staged(
-        base.where(has).select(*KEY, F.posexplode("_e").alias("_pos", "_m")).distinct()
+        base.where(has).select(*KEY, F.posexplode(found).alias("_pos", "_m")).distinct()
         .select(*KEY, "_pos", F.posexplode(_parts(F.col("_m"), _type(F.col("_m")))).alias("_sub", "_p")).select(*KEY, "_pos", "_sub", "_p.*")
         .withColumn("entity", _canonical(F.col("said"), F.col("type"))),
         "mentions",
     )
-    table = surrogates(mentions, key)
     plain = F.col("type").like("given%") | (F.col("type") == "family")
+    known = mentions.where(F.col("type") != "word")
+    names = known.where(plain).groupBy(*KEY, "entity").agg(F.min("type").alias("_as"))
+    words = staged(mentions.where(F.col("type") == "word").join(names, [*KEY, "entity"], "left"), "words")
+    again = words.where(F.col("_as").isNotNull()).withColumn("type", F.col("_as")).select(*known.columns)
+    table = surrogates(known, key)
     cased = (
         F.when(plain & (F.col("said") == F.upper("said")), F.upper("surrogate")).when(plain, F.initcap("surrogate"))
         .when((F.col("type") == "email") & (F.col("said") == F.upper("said")), F.upper("surrogate")).otherwise(F.col("surrogate"))
     )
-    one = mentions.join(table, ["type", "entity"]).select(*KEY, "_pos", "_sub", F.concat("before", cased).alias("_new"))
+    one = known.unionByName(again).join(table, ["type", "entity"]).select(*KEY, "_pos", "_sub", F.concat("before", cased).alias("_new"), F.lit(True).alias("_is"))
+    # words that are no names stay
+    one = one.unionByName(words.where(F.col("_as").isNull()).select(*KEY, "_pos", "_sub", F.col("said").alias("_new"), F.lit(False).alias("_is")))
     # the parts of a mention, then the mentions of a document, in order: no more than the text itself has
-    lists = one.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("_pos", "_sub", "_new"))).alias("_n"))
+    lists = one.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("_pos", "_sub", "_new", "_is"))).alias("_n"))
+    # a mention has one part or two; the second is put behind the first
+    after = lambda x, i: F.when(F.get("_n", i + 1)["_pos"] == x["_pos"], F.get("_n", i + 1)["_new"]).otherwise("")
+    whole = F.transform("_n", lambda x, i: F.struct(x["_sub"].alias("sub"), F.concat(x["_new"], after(x, i)).alias("new"), x["_is"].alias("is")))
+    lists = lists.select(*KEY, F.filter(whole, lambda x: x["sub"] == 0).alias("_n"))
     joined = base.where(has).join(lists, KEY)
-    between = F.split("_t", _ANY, -1)
-    said = F.transform(
-        F.sequence(F.lit(0), F.size("_e") - 1),
-        lambda i: F.array_join(F.transform(F.filter("_n", lambda x: x["_pos"] == i), lambda x: x["_new"]), ""),
-    )
-    # a document with very many mentions looks each up by its place where all are of one part
-    single = F.transform("_n", lambda x: x["_new"])
-    new = F.when(F.size("_n") == F.size("_e"), single).otherwise(said)
-    whole = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    changed = joined.select("doc_id", F.size("_e").cast("long").alias("n_entities"), whole.alias("text"))
+    between = F.when(titled, F.split("_t", _ANY_OR_WORD, -1)).otherwise(F.split("_t", _ANY, -1))
+    new = F.concat(F.transform("_n", lambda x: x["new"]), F.array(F.lit("")))
+    replaced = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, b)), "")
+    n = F.size(F.filter("_n", lambda x: x["is"])).cast("long")
+    changed = joined.select("doc_id", n.alias("n_entities"), replaced.alias("text"))
     same = base.where(~has).select("doc_id", F.lit(0).cast("long").alias("n_entities"), F.col("_t").alias("text"))
     return changed.unionByName(same)

@@ -408,6 +408,21 @@ def test_license_anchors_lose_nothing():
 # ---- 8
 
 
+def test_later_mentions_and_formats(spark):
+    rows = [
+        (1, "Mr. John Smith called. Later John Smith left, Smith said; SMITH's Anna. Card 3782 822463 10005."), (2, "John Smith is not titled here 1"),
+        (3, "host 2001:db8::8a2e:370:7334 and 2001:0DB8:0000:0000:0000:8A2E:0370:7334, fe80::1; at 12:30:45 a::b std::x"), (4, "Mrs. Smith, Mr. O'Brien; O'Brien and Smith"),
+    ]
+    got = {r.doc_id: r for r in pii.replace_private(B.documents(spark, rows), "k").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) called\. Later (\w+) (\w+) left, (\w+) said; (\w+)'s Anna\. Card (\d{4} \d{6} \d{5})\.", got[1].text)
+    assert m[1] == m[3] != "John" and m[2] == m[4] == m[5] != "Smith" and m[6] == m[2].upper() and m[7] != "3782 822463 10005" and got[1].n_entities == 6
+    assert got[2].text == rows[1][1] and got[2].n_entities == 0
+    assert re.fullmatch(r"host [0-9a-f:]+ and [0-9a-f:]+, [0-9a-f]{4}::[0-9a-f]; at 12:30:45 a::b std::x", got[3].text) and got[3].n_entities == 3
+    assert "2001" not in got[3].text and [len(x) for x in got[3].text.split(" ")] == [len(x) for x in rows[2][1].split(" ")]
+    m = re.fullmatch(r"Mrs\. (\w+), Mr\. (\w+); (\w+) and (\w+)", got[4].text)
+    assert m[1] == m[4] and m[2] == m[3] and got[4].n_entities == 4 and m[1] == re.match(r"Mr\. \w+ (\w+)", got[1].text)[1]
+
+
 def test_surrogates(spark, docs, no_docs):
     cards = ["4111 1111 1111 1111", "4111111111111112"]
     rows = [
