@@ -118,9 +118,15 @@ def upsert(
     new = combine(batch.withColumn("_new", F.lit(True)))
     schema = new.schema
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    new, folder = written(new.withColumn("_bucket", bucket), "upsert")
-    touched = [r[0] for r in new.select("_bucket").distinct().collect()]
-    held = dict(before.held_by) if before else {}
+    held, target = dict(before.held_by) if before else {}, f"{path}/data/version={version}"
+    folder, touched = None, []
+    if not held:
+        # nothing to bring it together with: the batch is the state
+        new.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(target)
+        held = {int(n.split("=")[1]): version for n in _list(spark, target) if n.startswith("_bucket=")}
+    else:
+        new, folder = written(new.withColumn("_bucket", bucket), "upsert")
+        touched = [r[0] for r in new.select("_bucket").distinct().collect()]
     if touched:
         merged = new.drop("_bucket")
         old = _paths(path, before, touched) if before else []
@@ -128,9 +134,10 @@ def upsert(
             rows = spark.read.schema(schema).parquet(*old).withColumn("_new", F.lit(False))
             merged = combine(rows.unionByName(merged.withColumn("_new", F.lit(True))))
         out = merged.withColumn("_bucket", bucket).repartition(len(touched), "_bucket")
-        out.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/version={version}")
+        out.write.mode("overwrite").partitionBy("_bucket").parquet(target)
         held.update({b: version for b in touched})
-    remove(spark, folder)
+    if folder:
+        remove(spark, folder)
     settings = (buckets, source, number, seen, schema.json())
     rows = [(b, v, *settings) for b, v in sorted(held.items())] or [(_NONE, 0, *settings)]
     spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
@@ -142,9 +149,9 @@ def compact(spark: SparkSession, path: str, keep: int = 1) -> int:
     """Removes all but the ``keep`` newest manifests and the buckets that none of these names; returns how many folders went.
     A job that still reads an older state loses it, so keep as many as readers need."""
     numbers = _committed(spark, path)
-    kept = [_version(spark, path, n) for n in numbers[: max(keep, 1)]]
-    if not kept:
+    if len(numbers) <= 1:
         return 0
+    kept = [_version(spark, path, n) for n in numbers[: max(keep, 1)]]
     for n in numbers[max(keep, 1) :]:
         remove(spark, f"{path}/manifest/version={n}")
     named = {(v, b) for state in kept for b, v in state.held_by.items()}
