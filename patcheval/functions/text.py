@@ -219,7 +219,7 @@ def preview(text: Column, limit: int = 60) -> Column:
 
 def codes_that_hold(*pairs) -> Column:
     """Array of the codes whose condition is true, in the given order."""
-    return F.filter(
-        F.array(*[F.when(cond, F.lit(code) if isinstance(code, str) else code) for cond, code in pairs]),
-        lambda x: x.isNotNull(),
-    )
+    # no lambda: what one is part of is interpreted, and what checks share computed for each of them
+    none = F.array().cast("array<string>")
+    codes = [(cond, F.lit(code) if isinstance(code, str) else code) for cond, code in pairs]
+    return F.flatten(F.array(*[F.when(cond & code.isNotNull(), F.array(code)).otherwise(none) for cond, code in codes]))
