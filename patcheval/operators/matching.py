@@ -3,7 +3,9 @@
 ``match_expected`` looks an expected name up in four tiers: the same name, the same normalised
 name, a name that contains it or is contained in it, and more than half of the words shared.
 
-All are equality joins, whatever the size of a run. The first two join on (keys, lookup name). For containment a name
+Runs of at most ``SMALL`` expected and actual names, which are counted first, are gathered in one row each, and every expected name of
+such a row is held against every actual one there. What is larger goes by equality joins, whatever its size, with the same
+results. The first two tiers join on (keys, lookup name). For containment a name
 that may hold others is indexed by its windows of 1, 2, 4, ... characters; a name that may be held is looked up by the rarest of
 its windows of at least half its length, and what it meets there is compared. For words only those count that both sides have; names alike in them are one, and two names that share
 more than half of their words must share one of the few rarest of each.
@@ -20,6 +22,8 @@ from patcheval.functions.stage import staged
 from patcheval.operators.named_logs import KEYS
 
 TIERS = ("exact", "normalised", "contains", "words")
+#: Names on either side up to which the names of a run are gathered in one row.
+SMALL = 32
 
 
 def _actual_lookup(actual: DataFrame, keys) -> DataFrame:
@@ -206,6 +210,87 @@ def _partial_hits(leftover: DataFrame, actual: DataFrame, keys, tiers) -> DataFr
     )
 
 
+def _large_runs(expected: DataFrame, actual: DataFrame, keys) -> DataFrame:
+    """(_run): hashes of the keys that have more than ``SMALL`` rows on a side. Runs that share a hash are counted together."""
+    side = lambda df, e: df.select(F.xxhash64(*keys).alias("_run"), F.lit(e).alias("e"))
+    counts = side(expected, 1).unionByName(side(actual, 0)).groupBy("_run").agg(F.sum("e").alias("e"), F.count(F.lit(1)).alias("n"))
+    return counts.where((F.col("e") > SMALL) | (F.col("n") - F.col("e") > SMALL)).select("_run")
+
+
+def _within_runs(expected: DataFrame, actual: DataFrame, keys, item, tiers) -> DataFrame:
+    """(keys, item, detail, tier, found) of expected rows of small runs, each compared with all actual names of its run."""
+    side = lambda df, name, *cols: df.select(*keys, F.struct(*cols).alias(name))
+    both = side(expected, "e", *item).unionByName(side(actual, "a", "position", "status", "name"), allowMissingColumns=True)
+    runs = both.groupBy(*keys).agg(F.array_distinct(F.collect_list("e")).alias("es"), F.collect_list("a").alias("as"))
+    # a null key equals no other
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    normed = F.transform("as", lambda a: F.struct(a.alias("found"), tx.normalize_test_name(a["name"]).alias("norm")))
+    rows = (
+        runs.where(F.size("es") > 0)
+        .select(*keys, "es", F.when(known, normed).otherwise(F.array().cast(f"array<struct<found:{_type(both, 'a')},norm:string>>")).alias("as"))
+        .select(*keys, "as", F.explode_outer("es").alias("e"))
+        .select(*keys, "as", *[F.col("e")[c].alias(c) for c in item], tx.normalize_test_name(F.col("e")["name"]).alias("norm"))
+    )
+    name, norm = F.col("name"), F.col("norm")
+
+    def ranked(*steps):
+        def of(a):
+            when = F
+            for rank, (tier, same) in steps:
+                when = when.when(same(a), F.struct(F.lit(rank).alias("rank"), F.lit(tier).alias("tier"), a["found"].alias("found")))
+            return when
+
+        return F.array_min(F.transform("as", of))
+
+    exact, last = ("exact", lambda a: a["found"]["name"] == name), ("normalised", lambda a: a["norm"] == norm)
+    middle = [("normalised", lambda a: a["norm"] == name), ("normalised", lambda a: a["found"]["name"] == norm)]
+    rows = rows.withColumn("hit", ranked(*enumerate([exact, *middle, last]))).withColumn("detail", ranked((0, exact), (3, last)))
+    tier, found = F.col("hit.tier"), F.col("hit.found")
+    if set(tiers) & {"contains", "words"}:
+        placed = lambda a, value: F.when(a["found"]["position"].isNotNull(), value)
+        held = F.filter("as", lambda a: F.contains(a["norm"], norm) | F.contains(norm, a["norm"]))
+        rows = rows.withColumn("held", F.when(F.col("hit").isNull(), held)).withColumn("words", F.when(F.size("held") == 0, tx.words_of(norm)))
+
+        def scored(a):
+            theirs = tx.words_of(a["norm"])
+            shared = F.size(F.array_intersect("words", theirs))
+            score = F.coalesce(F.try_divide(shared, F.size(F.array_union("words", theirs))), F.lit(0.0))
+            return placed(a, F.struct((-score).alias("minus"), a["found"].alias("found")))
+
+        first = F.array_min(F.transform("held", lambda a: placed(a, a["found"])))
+        rows = rows.withColumn("first", first).withColumn("best", F.when(F.col("words").isNotNull(), F.array_min(F.transform("as", scored))))
+        chosen = [("contains", F.col("first").isNotNull(), F.col("first")), ("words", F.col("best.minus") < -0.5, F.col("best.found"))]
+        for label, there, value in chosen:
+            if label in tiers:
+                there = F.col("hit").isNull() & there
+                tier, found = F.when(there, F.lit(label)).otherwise(tier), F.when(there, value).otherwise(found)
+    return rows.select(*keys, *item, "detail", tier.alias("tier"), found.alias("found"))
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _across_runs(expected: DataFrame, actual: DataFrame, keys, item, tiers) -> DataFrame:
+    """(keys, item, detail, tier, found) of expected rows of runs of any size, by joins."""
+    named = _named_hits(expected, actual, keys, item)
+    hit = F.col("hit")
+    if not set(tiers) & {"contains", "words"}:
+        return named.select(*keys, *item, "detail", hit["tier"].alias("tier"), hit["found"].alias("found"))
+    norm = F.when(hit.isNull(), tx.normalize_test_name(F.col("name")))
+    # read once below and many times in the partial tiers
+    tagged = staged(named.withColumn("norm", norm), "match-named")
+    partial = _partial_hits(tagged.where("hit is null"), actual, keys, tiers)
+    partial = partial.select(*keys, "norm", F.col("tier").alias("p_tier"), F.col("found").alias("p_found"))
+    return tagged.join(partial, [*keys, "norm"], "left").select(
+        *keys, *item, "detail",
+        F.coalesce(hit["tier"], "p_tier").alias("tier"),
+        F.coalesce(hit["found"], "p_found").alias("found"),
+    )
+
+
 def match_expected(
     expected: DataFrame,
     test_results: DataFrame,
@@ -223,28 +308,21 @@ def match_expected(
     """
     keys = list(keys)
     item = ["category", "ord", "name"]
-    actual = test_results.select(*keys, "position", "name", "status")
-    if set(tiers) & {"contains", "words"}:
-        actual = staged(actual, "match-actual")  # read three times
-    named = _named_hits(expected.select(*keys, *item), actual, keys, item)
-    hit = F.col("hit")
-    if not set(tiers) & {"contains", "words"}:
-        matched = named.select(
-            *keys, *item, "detail", hit["tier"].alias("tier"), hit["found"].alias("found")
-        )
+    # each is read for the sizes of the runs and for the names
+    expected = staged(expected.select(*keys, *item), "match-expected")
+    actual = staged(test_results.select(*keys, "position", "name", "status"), "match-actual")
+    large = staged(_large_runs(expected, actual, keys), "match-large")
+    if large.isEmpty():
+        matched = _within_runs(expected, actual, keys, item, tiers)
     else:
-        norm = F.when(hit.isNull(), tx.normalize_test_name(F.col("name")))
-        # read once below and many times in the partial tiers
-        tagged = staged(named.withColumn("norm", norm), "match-named")
-        partial = _partial_hits(tagged.where("hit is null"), actual, keys, tiers)
-        partial = partial.select(
-            *keys, "norm", F.col("tier").alias("p_tier"), F.col("found").alias("p_found")
-        )
-        matched = tagged.join(partial, [*keys, "norm"], "left").select(
-            *keys, *item, "detail",
-            F.coalesce(hit["tier"], "p_tier").alias("tier"),
-            F.coalesce(hit["found"], "p_found").alias("found"),
-        )
+        run = F.xxhash64(*keys)
+
+        def part(df, how):
+            return df.withColumn("_run", run).join(large, "_run", how).drop("_run")
+
+        matched = _within_runs(part(expected, "left_anti"), part(actual, "left_anti"), keys, item, tiers)
+        across = _across_runs(part(expected, "left_semi"), staged(part(actual, "left_semi"), "match-actual-large"), keys, item, tiers)
+        matched = matched.unionByName(across)
     found = F.col("found")
     passed = (found["status"] == C.PASSED) if require_pass else F.lit(True)
     return matched.select(

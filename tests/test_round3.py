@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from patcheval.operators import dataset as ds
+from patcheval.operators import matching
 
 
 def test_filter_on_issues_parses_a_text_once(spark):
@@ -16,3 +17,18 @@ def test_filter_on_issues_parses_a_text_once(spark):
     assert [r.i for r in checked.where("is_valid").collect()] == [0]
     plain, filtered = (len(re.findall("from_json", d._jdf.queryExecution().optimizedPlan().toString())) for d in (checked, ds.invalid_instances(checked)))
     assert filtered == plain
+
+
+def test_small_and_large_runs_match_alike(spark, monkeypatch):
+    names = ["alpha beta", "Alpha  Beta", 'test "alpha beta"', "beta", "gamma delta eps", "delta eps gamma zeta", "", "eta", None, "x alpha beta y"]
+    expected = [(r, "i", c, o, n) for r in ("r1", "r2", None) for c, o, n in [("fail_to_pass", k, n) for k, n in enumerate(names)] + [("pass_to_pass", 0, "no such")] * 2]
+    actual = [(r, "i", k, n, s) for r, some in (("r1", names[3:6] + ["ALPHA BETA", "zeta"]), ("r2", ["one two", "Beta"]), (None, ["beta"]))
+              for k, (n, s) in enumerate(zip(some, ("passed", "failed", "skipped", "passed", "failed"), strict=False))]
+    wanted = spark.createDataFrame(expected, "run_id string, instance_id string, category string, ord long, name string")
+    results = spark.createDataFrame(actual, "run_id string, instance_id string, position long, name string, status string")
+    for tiers in (matching.TIERS, ("exact", "normalised")):
+        got = []
+        for small in (32, 4, 0):
+            monkeypatch.setattr(matching, "SMALL", small)
+            got.append(sorted(map(repr, matching.match_expected(wanted, results, tiers=tiers).collect())))
+        assert got[0] == got[1] == got[2] and len(got[0]) == 3 * 11
