@@ -24,7 +24,22 @@ def _part(by) -> Column:
 
 
 def _sha(kind: str, members: Column) -> Column:
-    return F.sha2(F.concat(F.lit(kind), F.array_join(F.array_sort(F.collect_list(members)), ",")).cast("binary"), 256)
+    return F.sha2(F.concat(F.lit(kind), F.array_join(F.array_sort(members), ",")).cast("binary"), 256)
+
+
+#: Stands before a digest that is not 64 lowercase hex digits, so that it is longer than the 32 bytes of one that is.
+_OTHER = bytes(33)
+
+
+def _packed(digest: Column) -> Column:
+    """A digest as bytes: half of what its hex digits take in shuffles and stages."""
+    plain = digest.rlike(r"\A[0-9a-f]{64}\z")
+    return F.when(plain, F.unhex(digest)).otherwise(F.concat(F.lit(_OTHER), digest.cast("binary")))
+
+
+def _unpacked(packed: Column) -> Column:
+    n = len(_OTHER)
+    return F.when(F.length(packed) < n, F.lower(F.hex(packed))).otherwise(F.substring(packed, n + 1, 1 << 30).cast("string"))
 
 
 def _depth(rows: Column) -> Column:
@@ -33,12 +48,12 @@ def _depth(rows: Column) -> Column:
 
 
 def _entries(checked: DataFrame, by, column: str) -> DataFrame:
-    """(part, checksum, n): repeated rows are one entry with their number."""
-    return checked.groupBy(_part(by).alias("part"), F.col(column).alias("checksum")).agg(F.count(F.lit(1)).alias("n"))
+    """(part, packed checksum, n): repeated rows are one entry with their number."""
+    return checked.groupBy(_part(by).alias("part"), _packed(F.col(column)).alias("checksum")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _placed(rows: DataFrame, depths: DataFrame) -> DataFrame:
-    return rows.join(depths, "part").withColumn("place", F.substring("checksum", F.lit(1), F.col("depth")))
+    return rows.join(depths, "part").withColumn("place", F.substring(_unpacked(F.col("checksum")), F.lit(1), F.col("depth")))
 
 
 def range_tree(checked: DataFrame, by=("run_id",), like: DataFrame | None = None, column: str = "checksum") -> DataFrame:
@@ -53,9 +68,8 @@ def range_tree(checked: DataFrame, by=("run_id",), like: DataFrame | None = None
         theirs = like.where("level = 0").select("part", F.col("depth").alias("_theirs"))
         depths = depths.join(theirs, "part", "left").select("part", F.coalesce("_theirs", "depth").alias("depth"))
     depths = staged(depths, "depths")
-    leaves = _placed(entries, depths).groupBy("part", "depth", "place").agg(
-        F.sum("n").alias("rows"), _sha("rows:", F.concat_ws(":", "checksum", "n")).alias("digest")
-    )
+    members = F.transform(F.collect_list(F.struct("checksum", "n")), lambda x: F.concat_ws(":", _unpacked(x["checksum"]), x["n"].cast("string")))
+    leaves = _placed(entries, depths).groupBy("part", "depth", "place").agg(F.sum("n").alias("rows"), _sha("rows:", members).alias("digest"))
     leaves = staged(leaves, "leaves")
     columns = ["part", "place", "depth", "rows", "digest"]
     levels, below = [], None
@@ -63,7 +77,7 @@ def range_tree(checked: DataFrame, by=("run_id",), like: DataFrame | None = None
         here = leaves.where(F.col("depth") == level).select(*columns)
         if below is not None:
             up = below.groupBy("part", "depth", F.substring("place", 1, level).alias("place")).agg(
-                F.sum("rows").alias("rows"), _sha("ranges:", F.concat_ws(":", "place", "digest")).alias("digest")
+                F.sum("rows").alias("rows"), _sha("ranges:", F.collect_list(F.concat_ws(":", "place", "digest"))).alias("digest")
             )
             here = here.unionByName(up.select(*columns))
         below = staged(here, "level")
@@ -114,11 +128,11 @@ def changed_rows(
     depths = ranges.select("part", "depth").distinct()
 
     def side(rows, name):
-        named = rows.select(*keys, _part(by).alias("part"), F.col(column).alias("checksum"))
+        named = rows.select(*keys, _part(by).alias("part"), _packed(F.col(column)).alias("checksum"))
         inside = _placed(named, depths).join(ranges.select("part", "place"), ["part", "place"], "left_semi")
-        return inside.groupBy("part", "checksum", *keys).agg(F.count(F.lit(1)).alias(name))
+        # a digest is of the whole row, so rows that share it share their keys; grouped as they are joined, they are shuffled once
+        return inside.groupBy("part", "checksum").agg(*[F.first(k).alias(k) for k in keys], F.count(F.lit(1)).alias(name))
 
-    # a digest is of the whole row, so rows that share it share their keys
     a, b = side(checked, "_a").alias("a"), side(copy, "_b").alias("b")
     both = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.checksum") == F.col("b.checksum")), "full")
     less = F.coalesce("_a", F.lit(0)) - F.coalesce("_b", F.lit(0))
