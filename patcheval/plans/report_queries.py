@@ -242,10 +242,12 @@ def comparison_text_lines(spark, sf):
 def report_lines_in_order(spark, sf):
     rows = staged(evaluations(spark, sf).drop("output"), "evaluations")
     instances = reports.report_instances(rows, include_test_output=False).withColumn("position", F.expr("CAST(substring(instance_id, 5) AS BIGINT)"))
-    text = reports.report_text(reports.report_summary(rows), instances)
+    # numbered twice, and each time sampled for its ranges first
+    text = staged(reports.report_text(reports.report_summary(rows), instances), "report-lines")
     # the head of a report does not depend on the order: its lines are those of report_text_lines
     lines = reports.numbered_lines(text, ["run_id"], ["part", "status", "position", "sub"])
-    body = reports.numbered_lines(text.where("part = 2"), ["run_id"], ["status", "position", "sub"]).groupBy("run_id").agg(F.count("line_no").alias("n"))
+    # how many they are does not depend on what they say
+    body = reports.numbered_lines(text.where("part = 2").withColumn("line", F.lit("")), ["run_id"], ["status", "position", "sub"]).groupBy("run_id").agg(F.count("line_no").alias("n"))
     return lines.join(body, "run_id").where("line_no >= 18 AND line_no < 18 + n").drop("n")
 
 
