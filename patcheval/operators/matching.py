@@ -249,19 +249,28 @@ def _within_runs(expected: DataFrame, actual: DataFrame, keys, item, tiers) -> D
     rows = rows.withColumn("hit", ranked(*enumerate([exact, *middle, last]))).withColumn("detail", ranked((0, exact), (3, last)))
     tier, found = F.col("hit.tier"), F.col("hit.found")
     if set(tiers) & {"contains", "words"}:
-        placed = lambda a, value: F.when(a["found"]["position"].isNotNull(), value)
+        # a name that no position leads to is met, and then nothing is found
+        at = lambda a: a["found"]["position"].isNotNull()
+        lost = lambda a: ~at(a) & ~F.exists("as", lambda b: at(b) & (b["norm"] == a["norm"]))
         held = F.filter("as", lambda a: F.contains(a["norm"], norm) | F.contains(norm, a["norm"]))
         rows = rows.withColumn("held", F.when(F.col("hit").isNull(), held)).withColumn("words", F.when(F.size("held") == 0, tx.words_of(norm)))
+        rows = rows.withColumn("hidden", F.exists("held", lambda a: F.contains(a["norm"], norm) & lost(a)))
 
         def scored(a):
             theirs = tx.words_of(a["norm"])
             shared = F.size(F.array_intersect("words", theirs))
             score = F.coalesce(F.try_divide(shared, F.size(F.array_union("words", theirs))), F.lit(0.0))
-            return placed(a, F.struct((-score).alias("minus"), a["found"].alias("found")))
 
-        first = F.array_min(F.transform("held", lambda a: placed(a, a["found"])))
+            # names alike in the words they share with this one are one, at the first position of any
+            def alike(b):
+                words = tx.words_of(b["norm"])
+                return at(b) & (F.size(words) == F.size(theirs)) & (F.size(F.array_except(F.array_intersect("words", theirs), words)) == 0)
+
+            return F.when(at(a) | ~F.exists("as", alike), F.struct((-score).alias("minus"), a["found"].alias("found")))
+
+        first = F.array_min(F.transform("held", lambda a: F.when(at(a) & (~F.col("hidden") | F.contains(norm, a["norm"])), a["found"])))
         rows = rows.withColumn("first", first).withColumn("best", F.when(F.col("words").isNotNull(), F.array_min(F.transform("as", scored))))
-        chosen = [("contains", F.col("first").isNotNull(), F.col("first")), ("words", F.col("best.minus") < -0.5, F.col("best.found"))]
+        chosen = [("contains", F.col("first").isNotNull(), F.col("first")), ("words", (F.col("best.minus") < -0.5) & F.col("best.found.position").isNotNull(), F.col("best.found"))]
         for label, there, value in chosen:
             if label in tiers:
                 there = F.col("hit").isNull() & there
