@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from patcheval.operators import dataset as ds
 from patcheval.operators import matching
+from patcheval.sources import range_tree as rt
 
 
 def test_filter_on_issues_parses_a_text_once(spark):
@@ -32,3 +34,13 @@ def test_small_and_large_runs_match_alike(spark, monkeypatch):
             monkeypatch.setattr(matching, "SMALL", small)
             got.append(sorted(map(repr, matching.match_expected(wanted, results, tiers=tiers).collect())))
         assert got[0] == got[1] == got[2] and len(got[0]) == 3 * 11
+
+
+def test_digests_are_kept_as_bytes(spark):
+    plain, other = "0f" * 32, "No Digest"
+    rows = spark.createDataFrame([("r", plain), ("r", other), ("r", other)], "run_id string, checksum string")
+    entries = rt._entries(rows, ("run_id",), "checksum")
+    assert dict(entries.dtypes)["checksum"] == "binary"
+    assert {(r.c, r.n) for r in entries.select(rt._unpacked(entries.checksum).alias("c"), "n").collect()} == {(plain, 1), (other, 2)}
+    want = hashlib.sha256(f"rows:{plain}:1,{other}:2".encode()).hexdigest()
+    assert [r.root for r in rt.roots(rt.range_tree(rows)).collect()] == [want]
