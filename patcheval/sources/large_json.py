@@ -120,6 +120,78 @@ class Cutter:
         self.inside = after
 
 
+_VALUE_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?P<closed>")?|[\[\]{}:,]', re.DOTALL)
+
+
+class FieldCutter:
+    """Walks through one split and keeps the values of the key ``wanted`` of the outermost object, each behind its key and in front of a
+    comma. ``held``: whether the split starts in such a value. ``ended``: whether the object ends in it, what follows is not looked at;
+    ``last``: at the end of its last piece."""
+
+    def __init__(self, inside: bool, depth: int, held: bool, wanted: str):
+        self.inside, self.depth, self.held, self.wanted = inside, depth, held, wanted
+        self.changed, self.entered, self.ended, self.last = False, False, False, False
+        self.kept: list[str] = []
+
+    def piece(self, text: str, keep: bool = True) -> None:
+        """Takes the next piece, which a ``}`` ends."""
+        if self.ended:
+            self.last = False
+            return
+        out, after = _outside(text, self.inside)
+        if self.depth > 1 and ("]" not in out or self._stays(out)):
+            self.depth += out.count("[") + out.count("{") - out.count("]") - (not after)
+            if self.held and keep:
+                self.kept += (text, "}")
+        else:
+            self._walk(text + "}", keep)
+        self.inside = after
+
+    def _stays(self, out: str) -> bool:
+        """Whether the depth stays below the outermost object, up to the ``}`` that ends a piece."""
+        depth = self.depth
+        for b in _BRACKETS.findall(out):
+            depth += -1 if b == "]" else 1
+            if depth < 2:
+                return False
+        return True
+
+    def _named(self, key: str | None) -> bool:
+        try:
+            return key is not None and json.loads(key) == self.wanted
+        except ValueError:
+            return False
+
+    def _walk(self, text: str, keep: bool) -> None:
+        at = start = 0
+        if self.inside:
+            found = _REST_OF_STRING.match(text)
+            at = found.end() if found else len(text)
+        last = None
+        for token in _VALUE_TOKEN.finditer(text, at):
+            t = token[0]
+            if t[0] == '"':
+                last = t if token["closed"] else None
+            elif t in "[{":
+                self.depth += 1
+            elif self.depth > 1:
+                self.depth -= t in "]}"
+            elif t == ":":
+                if not self.held and self.depth == 1 and self._named(last):
+                    self.held = self.changed = self.entered = True
+                    self.kept.append(json.dumps(self.wanted) + ":")
+                    start = token.end()
+            elif self.depth == 1:
+                if self.held and keep:
+                    self.kept += (text[start : token.start()], ",")
+                self.held, self.changed = False, True
+                if t != ",":
+                    self.depth, self.ended, self.last = 0, True, True
+                    return
+        if self.held and keep:
+            self.kept.append(text[start:])
+
+
 #: Characters of one split that Python holds at a time, besides a batch of rows and the record at hand.
 HELD = 4_000_000
 
@@ -253,13 +325,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _schema(_CUT), strict=True)], schema=_schema(_CUT))
 
 
-def read_list_records(spark: SparkSession, path, wrapper: str | None = None) -> DataFrame:
-    """(file, position, raw): the JSON text of each record, as it stands in documents that are a list or, with ``wrapper``, an object
-    whose field of that name is a list. Any other document is an error, a broken one too.
-
-    A document is read twice, one with a wrapper three times. No task holds more than its split and one record, and
-    only fragments at the ends of splits are shuffled. Between tasks goes a row for each split.
-    """
+def _measured_splits(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """The documents' pieces, a row per text that ends at ``}``, and a row per split: where it starts, and what is counted in it."""
     pieces = spark.read.text(path, lineSep="}").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), "value"
     )
@@ -274,6 +341,18 @@ def read_list_records(spark: SparkSession, path, wrapper: str | None = None) ->
         F.first(F.nullif("start", F.lit("")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("start"),
     )
     starts = staged(starts.withColumn("level", F.when(F.col("start") == "[", 1).otherwise(2)), "json-starts")
+    return pieces, starts
+
+
+def read_list_records(spark: SparkSession, path, wrapper: str | None = None) -> DataFrame:
+    """(file, position, raw): the JSON text of each record, as it stands in documents that are a list or, with ``wrapper``, an object
+    whose field of that name is a list. Any other document is an error, a broken one too.
+
+    A document is read twice, one with a wrapper three times. No task holds more than its split and one record, and
+    only fragments at the ends of splits are shuffled. Between tasks goes a row for each split.
+    """
+    pieces, starts = _measured_splits(spark, path)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ends = starts.groupBy("file", "start").agg(F.max("size").alias("size"), F.sum("bytes").alias("bytes"), F.sum("delta").alias("depth"))
     # text behind the last } counts one } too many
     whole = F.col("depth") == F.when(F.col("bytes") == F.col("size"), 0).otherwise(-1)
@@ -326,3 +405,74 @@ def read_list_records(spark: SparkSession, path, wrapper: str | None = None) ->
     numbered = rows.where(F.col("kind") == OWN).withColumn("skip", F.lit(True)).unionByName(across.withColumn("skip", F.lit(False)))
     position = F.col("at") + F.col("seq") + F.when(F.col("skip"), F.col("first")).otherwise(0)
     return numbered.join(offsets, ["file", "block"]).select("file", position.alias("position"), "raw")
+
+
+_FIELD_OUTLINE = "file string, block long, held boolean, entered boolean, ended boolean, last boolean"
+_FIELD_CUT = "file string, block long, raw string"
+
+
+def _field_cutters(batches: Iterator[pa.RecordBatch], wanted: str, keep: bool):
+    """(file, block, cutter) of each split, when it has been walked through."""
+    known: tuple | None = None
+    cutter = None
+    for row, pieces in _by_split(batches, ("inside", "depth", "held")):
+        if row[:2] != known:
+            if known is not None:
+                yield (*known, cutter)
+            known, cutter = row[:2], FieldCutter(*row[2:], wanted)
+        for p in pieces:
+            cutter.piece(p, keep)
+    if known is not None:
+        yield (*known, cutter)
+
+
+def _field_outline(wanted: str):
+    """Of splits in which that changes: whether they end in a value of the field, one begins in them, the object ends in them."""
+
+    def run(batches):
+        rows = [
+            {"file": f, "block": b, "held": c.held, "entered": c.entered, "ended": c.ended, "last": c.last}
+            for f, b, c in _field_cutters(batches, wanted, False) if c.changed
+        ]
+        yield pa.RecordBatch.from_pylist(rows, schema=_schema(_FIELD_OUTLINE))
+
+    return run
+
+
+def _field_cut(wanted: str):
+    def run(batches):
+        for f, b, c in _field_cutters(batches, wanted, True):
+            yield pa.RecordBatch.from_pylist([{"file": f, "block": b, "raw": "".join(c.kept)}], schema=_schema(_FIELD_CUT))
+
+    return run
+
+
+def read_field(spark: SparkSession, path, name: str) -> DataFrame:
+    """(file, doc): of each document that is an object with the field ``name``, the object with that field alone, a repeated one as often as
+    it stands there. Lists and objects that do not end have no rows; what stands elsewhere in a document is told by quotes and brackets only.
+
+    A document is read three times by as many tasks as it has splits. A task holds no more than its part of the field.
+    """
+    pieces, starts = _measured_splits(spark, path)
+    objects = starts.where("start = '{'")
+    if objects.count() > MOST_SPLITS:
+        raise ValueError("too many splits: raise spark.sql.files.maxPartitionBytes")
+
+    def placed(states):
+        known = states.select("file", "block", "inside", F.col("depth").cast("int").alias("depth"), "held")
+        return pieces.join(F.broadcast(known), ["file", "block"]).select("file", "block", "inside", "depth", "held", "value")
+
+    changes = staged(placed(objects.withColumn("held", F.lit(False))).mapInArrow(_field_outline(name), _FIELD_OUTLINE), "json-outline")
+    sizes = starts.groupBy("file").agg(F.max("block").alias("_block"), F.max("size").alias("size"), F.sum("bytes").alias("bytes"))
+    # text behind the last } of a file is read as if one stood behind it
+    real = ~F.col("last") | (F.col("block") < F.col("_block")) | (F.col("bytes") == F.col("size"))
+    ends = changes.where("ended").join(sizes, "file").where(real).groupBy("file").agg(F.min("block").alias("_end"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    states = objects.join(changes.withColumnRenamed("held", "_after"), ["file", "block"], "left").withColumn(
+        "held", F.coalesce(F.last("_after", ignorenulls=True).over(before), F.lit(False))
+    )
+    states = staged(states.join(ends, "file").where("block <= _end AND (held OR coalesce(entered, false))"), "json-starts")
+    parts = staged(placed(states).mapInArrow(_field_cut(name), _FIELD_CUT), "json-field")
+    # texts of one field, which the caller reads as one cell
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "raw"))), lambda x: x["raw"]), "")
+    return parts.groupBy("file").agg(F.concat(F.lit("{"), F.rtrim(text, F.lit(",")), F.lit("}")).alias("doc"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from patcheval import schemas as S
 from patcheval.functions import text as tx
-from patcheval.sources.large_json import read_list_records
+from patcheval.sources.large_json import read_field, read_list_records
 
 
 def _documents(spark: SparkSession, path) -> DataFrame:
@@ -89,10 +89,12 @@ def read_instances(
     return raw.select("file", "position", F.from_json("raw", schema).alias("r")).select("file", "position", "r.*")
 
 
-def read_dataset_metadata(spark, path) -> DataFrame:
-    """(file, metadata map): the metadata object of each wrapped document."""
+def read_dataset_metadata(spark, path, split: bool | None = None) -> DataFrame:
+    """(file, metadata map): the metadata object of each wrapped document. ``split``: a document is read by many tasks, and only the field
+    comes into one cell; by default where one is larger than a split."""
+    whole = not split if split is not None else not _larger_than_a_split(spark, path)
     metadata = _field(F.col("doc"), "metadata", "map<string, string>")
-    return _documents(spark, path).select("file", metadata.alias("metadata")).where("metadata is not null")
+    return (_documents(spark, path) if whole else read_field(spark, path, "metadata")).select("file", metadata.alias("metadata")).where("metadata is not null")
 
 
 def read_raw_lines(spark, path) -> DataFrame:

@@ -94,3 +94,33 @@ def test_large_documents_are_split_by_themselves(spark, tmp_path, small_splits):
 def test_elements():
     assert list(elements(' , 1,"a}" ,[{"x":1}], {"y": "}"} ')) == ["1", '"a}"', '[{"x":1}]', '{"y": "}"}']
     assert list(elements(" ,\n")) == [] == list(elements(""))
+
+
+def test_metadata_of_split_documents(spark, tmp_path, small_splits):
+    r = random.Random(5)
+    records = [record(r) for _ in range(9)]
+    long = {"name": "}{\\\"," * 60, "deep": [[{"a": [{}], "metadata": 1}]] * 9, "n": 1, "none": None}
+    docs = {
+        "first": {"metadata": long, "instances": records}, "last": {"instances": records, "metadata": long},
+        "number": {"metadata": 7, "instances": records}, "null": {"instances": records, "metadata": None}, "none": {"instances": records},
+        "deeper": {"a": {"metadata": {"x": "y"}}, "instances": [{"metadata": {"x": "z"}}] * 9}, "list": [{"metadata": {"a": "b"}}] * 9,
+        "text": {"metadata": "}," * 200, "instances": records}, "met}a,data": {"met}a": {"a": 1}, "metadata": {"q": "}"}, "in": "}"},
+    }
+    texts = {k: json.dumps(d, indent=r.choice([None, 1])) for k, d in docs.items()}
+    one = json.dumps({"metadata": {"a": "1"}, "instances": records})
+    texts |= {
+        "twice": one[:-1] + ', "metadata": {"a": "2"}}', "wrong": one[:-1] + ', "metadata": 3}', "cut": one[:-1], "cut late": one[:-1] + "\n", "behind": one + "\n",
+        "lines": "\n".join([one, one.replace('"1"', '"9"')]), "no value": '{"metadata": , "instances": [' + one + "]}", "blank": " \n",
+        "escaped": one.replace("metadata", "met\\u0061data"), "spaced": "\n  " + one.replace(":", " : "),
+    }
+    for k, t in texts.items():
+        (tmp_path / f"{k}.json").write_text(t)
+    got = lambda split: {x.file.rsplit("/")[-1]: x.metadata for x in readers.read_dataset_metadata(spark, str(tmp_path), split=split).collect()}
+    want = got(False)
+    assert {k.removesuffix(".json") for k in want} == {"first", "last", "met%7Da,data", "twice", "behind", "lines", "escaped", "spaced"} and want["last.json"]["name"] == long["name"]
+    for size in (600, 1 << 20):
+        small_splits(size)
+        assert got(True) == want
+    small_splits(300)
+    plan = readers.read_dataset_metadata(spark, str(tmp_path / "first.json"))._jdf.queryExecution().toString()
+    assert "json-field" in plan  # by default a document larger than a split comes into no cell
