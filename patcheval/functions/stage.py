@@ -7,6 +7,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @lru_cache(maxsize=1)
@@ -55,7 +56,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Text work is bound by cores, and a scan of few row groups has few tasks. Rows of such a scan
-    are dealt out to all cores; a scan with enough tasks of its own is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Text work is bound by cores, and a scan of few row groups has few tasks with rows, however many splits there are. Rows of such
+    a scan are dealt out to all cores; a scan whose rows lie in enough tasks of its own is left alone."""
+    cores, tasks = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if tasks >= cores:
+        # numbers of rows come from the footers
+        held = df.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
+        if not held.rows or held.most * cores <= 1.5 * held.rows:
+            return df
+    return df.repartition(max(cores, tasks))

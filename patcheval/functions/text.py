@@ -29,6 +29,8 @@ BLANK_RUN = "(?U)" + WS + "+"
 # is escaped in the text, so the text itself never holds the mark.
 CUT = "\x01\x02"
 _ESCAPED = "\x01\x03"
+#: A second mark of the same kind, between the parts of what CUT is put in front of.
+PART = "\x01\x04"
 
 
 def strip(col: Column) -> Column:
@@ -45,16 +47,26 @@ def escaped(col: Column) -> Column:
     return F.replace(col, F.lit("\x01"), F.lit(_ESCAPED))
 
 
+def unescaped(piece: Column) -> Column:
+    return F.replace(piece, F.lit(_ESCAPED), F.lit("\x01"))
+
+
 def cut(marked: Column) -> Column:
+    """The pieces of a marked text. They are read off it twice, so below an explode it should be a column of its own."""
     pieces = F.split(marked, CUT, -1)
-    back = F.transform(pieces, lambda p: F.replace(p, F.lit(_ESCAPED), F.lit("\x01")))
+    back = F.transform(pieces, unescaped)
     return F.when(F.contains(marked, F.lit(_ESCAPED)), back).otherwise(pieces)
 
 
 def cut_before(col: Column, line_pattern: str) -> Column:
     """Array of sections of a text; each section but the first starts where ``line_pattern``
     (a pattern for the start of a line) matches. Linear in the text, no nested repetition."""
-    return cut(F.regexp_replace(escaped(col), f"(?mdU)^(?={line_pattern})", CUT))
+    return cut(marked_before(col, line_pattern))
+
+
+def marked_before(col: Column, line_pattern: str) -> Column:
+    """The text that ``cut`` takes apart to what ``cut_before`` gives."""
+    return F.regexp_replace(escaped(col), f"(?mdU)^(?={line_pattern})", CUT)
 
 
 def cut_at_outdent(col: Column) -> Column:
