@@ -173,8 +173,8 @@ def _events(logs: DataFrame, keys, output: str) -> DataFrame:
     )
 
 
-def _merged(logs: DataFrame, keys, output: str) -> DataFrame:
-    """One row per (log, name), and one with a null name per log."""
+def log_tests(logs: DataFrame, keys=KEYS, output: str = "output") -> DataFrame:
+    """What a log says: one row per (log, name), and one with a null name per log. Results and summaries both come from it."""
     is_test, is_block, is_log = (F.col("kind") == k for k in ("test", "block", "log"))
     position = F.col("rank").cast("bigint") * (1 << 60) + F.col("order")
     return (
@@ -199,8 +199,8 @@ def _status() -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in STATUS_OF_RANK]), rank + 1)
 
 
-def named_test_results(logs: DataFrame, keys=KEYS, output: str = "output") -> DataFrame:
-    """(keys, position, name, status, duration_ms, error_message, stack_trace).
+def named_test_results(logs: DataFrame, keys=KEYS, output: str = "output", tests: DataFrame | None = None) -> DataFrame:
+    """(keys, position, name, status, duration_ms, error_message, stack_trace). ``tests``: the staged ``log_tests`` of the logs.
 
     A name counts once per log: as passed if any line passed it, else failed, else skipped, with
     the first such line deciding the duration. ``position`` sorts like the list of tests: passed
@@ -208,7 +208,7 @@ def named_test_results(logs: DataFrame, keys=KEYS, output: str = "output") -> Da
     """
     failed = F.col("status") == C.FAILED
     return (
-        _merged(logs, keys, output)
+        (log_tests(logs, keys, output) if tests is None else tests)
         .where("position is not null")
         .withColumn("status", _status())
         .select(
@@ -219,9 +219,9 @@ def named_test_results(logs: DataFrame, keys=KEYS, output: str = "output") -> Da
     )
 
 
-def named_log_summary(logs: DataFrame, keys=KEYS, output: str = "output") -> DataFrame:
-    """(keys, total, passed, failed, skipped, total_duration_ms, parse_errors), a row per log."""
-    merged = _merged(logs, keys, output)
+def named_log_summary(logs: DataFrame, keys=KEYS, output: str = "output", tests: DataFrame | None = None) -> DataFrame:
+    """(keys, total, passed, failed, skipped, total_duration_ms, parse_errors), a row per log. ``tests``: the staged ``log_tests`` of the logs."""
+    merged = log_tests(logs, keys, output) if tests is None else tests
     is_test = F.col("position").isNotNull()
     status = F.when(is_test, _status())
     counted = merged.withColumn("status", status).groupBy(*keys).agg(
