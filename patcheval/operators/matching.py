@@ -227,11 +227,13 @@ def _within_runs(expected: DataFrame, actual: DataFrame, keys, item, tiers) -> D
     for k in keys:
         known = known & F.col(k).isNotNull()
     normed = F.transform("as", lambda a: F.struct(a.alias("found"), tx.normalize_test_name(a["name"]).alias("norm")))
+    # expected names are normalised before they are rows, else Spark may move that into the comparison with each actual one
+    wanted = F.transform("es", lambda e: F.struct(*[e[c].alias(c) for c in item], tx.normalize_test_name(e["name"]).alias("norm")))
     rows = (
         runs.where(F.size("es") > 0)
-        .select(*keys, "es", F.when(known, normed).otherwise(F.array().cast(f"array<struct<found:{_type(both, 'a')},norm:string>>")).alias("as"))
+        .select(*keys, wanted.alias("es"), F.when(known, normed).otherwise(F.array().cast(f"array<struct<found:{_type(both, 'a')},norm:string>>")).alias("as"))
         .select(*keys, "as", F.explode_outer("es").alias("e"))
-        .select(*keys, "as", *[F.col("e")[c].alias(c) for c in item], tx.normalize_test_name(F.col("e")["name"]).alias("norm"))
+        .select(*keys, "as", *[F.col("e")[c].alias(c) for c in (*item, "norm")])
     )
     name, norm = F.col("name"), F.col("norm")
 

@@ -93,3 +93,12 @@ def test_named_logs_are_read_once(spark):
     assert got == {"a": ("full", "Parse warnings: Parsed 1 passed tests, but summary shows 3"), "b": ("full", "Parse warnings: Empty output received")}
     assert [(r.name, r.status) for r in details.collect()] == [("x", "passed")]
     assert "✓" not in _plan(grades) and "✓" not in _plan(details)  # patterns of log lines: read before, into a stage
+
+
+def test_expected_names_are_normalised_once(spark):
+    wanted = spark.createDataFrame([("r", "i", "fail_to_pass", 0, " Test X")], "run_id string, instance_id string, category string, ord long, name string")
+    actual = spark.createDataFrame([("r", "i", 0, "x", "passed", 1.0, "e", "s")], "run_id string, instance_id string, position long, name string, status string, duration_ms double, error_message string, stack_trace string")
+    details = matching.detail_results(matching.match_expected(wanted, actual, tiers=("exact", "normalised")), actual)
+    assert [(r.name, r.status) for r in details.collect()] == [("x", "passed")]
+    steps = _plan(details.select("name", "status")).split("Project ")
+    assert sum("array_min(" in s for s in steps) == 1 and not [s for s in steps if "array_min(" in s and "translate(" in s]
