@@ -15,14 +15,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patcheval.llm.common import Recent, groups, pieces, shared_out, text_of, tokenizer_file
+from patcheval.llm.common import Recent, each_freed, groups, kept_by_worker, pieces, shared_out, text_of, tokenizer_file
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -209,23 +208,25 @@ class PieceEncoder:
         return n, a.hexdigest(), b.hexdigest()
 
 
-@lru_cache(maxsize=1)
 def piece_encoder(path: str) -> PieceEncoder:
     """One for all tasks of a worker."""
-    return PieceEncoder(path)
+    return kept_by_worker(PieceEncoder, path)
 
 
 def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(path)
-        for batch in batches:
+
+        def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = list(encoder.rows(batch.column("text").to_pylist()))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+        yield from each_freed(batches, encoded)
+
     return run
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patcheval.functions.stage import staged
-from patcheval.llm.common import KEY, keep_rows, row_key, text_of
+from patcheval.llm.common import KEY, each_freed, keep_rows, nothing_kept, row_key, text_of
 
 MAX_BITS = 3
 #: Fingerprints that share a half and are compared in one group; larger ones are cut by the other half, too.
@@ -43,8 +43,8 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
 def fingerprint_column(text: Column) -> Column:
     @F.pandas_udf("long")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(fingerprint).astype("int64")
+        nothing_kept()
+        yield from each_freed(batches, lambda batch: batch.map(fingerprint).astype("int64"))
 
     return simhash(text)
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patcheval.llm.common import Recent, groups, held_out, logistic, shared_out, text_of
+from patcheval.llm.common import Recent, each_freed, groups, held_out, logistic, nothing_kept, shared_out, text_of
 
 THRESHOLD = 0.3
 
@@ -71,25 +71,25 @@ def words_of(text: str, s: Settings) -> list[str]:
 
 
 class Scorer:
-    def __init__(self, model: Model, entries: int = 250_000):
+    def __init__(self, model: Model, entries: int = 100_000):
         self.model = model
         self.scores = model.gram_scores()
         self.recent = Recent(self._learn, entries)
 
-    def _learn(self, new: list[str]) -> list[tuple[float, int]]:
-        """The sum of margins of a word's n-grams, and how many there are."""
+    def _learn(self, new: list[str]) -> list[complex]:
+        """The sum of margins of a word's n-grams, and how many there are: as one number, of which many fit into memory."""
         lists = [grams_of(w, self.model.settings) for w in new]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum()))
         sums = np.add.reduceat(self.scores[flat], np.concatenate([[0], np.cumsum(counts)[:-1]])) if new else np.zeros(0)
-        return list(zip(sums.tolist(), counts.tolist(), strict=True))
+        return (sums + 1j * counts).tolist()
 
     def margins(self, texts: list[str]) -> Iterator[float]:
         """The largest mean margin of any window of each text; an empty text has the bias alone."""
         w = self.model.settings.window
         for some in groups(texts):
             lists = [words_of(t, self.model.settings) for t in some]
-            values = np.array(self.recent.values(list(chain.from_iterable(lists)))).reshape(-1, 2)
+            values = np.array(self.recent.values(list(chain.from_iterable(lists))), np.complex128).view(np.float64).reshape(-1, 2)
             for a in shared_out(lists, values):
                 if not len(a):
                     yield self.model.bias
@@ -131,7 +131,7 @@ def fit(texts: list[str], labels: list[int], class_rows: tuple[int, int], s: Set
     """Trains on whole texts. ``class_rows``: labelled rows of each class, for the share of toxic documents.
 
     Bags are windows. In the first rounds these are random ones of every document, from then on each document's
-    highest (what makes it toxic, or looks most like it) and some random ones. Without texts of both classes every
+    highest (what makes it toxic, or looks most like it) and some random ones. Without texts of both classes, or any words, every
     document gets the share of label 1 as its score.
     """
     rng = np.random.default_rng(s.seed)
@@ -142,16 +142,24 @@ def fit(texts: list[str], labels: list[int], class_rows: tuple[int, int], s: Set
     flat = Model(e, np.zeros_like(w), 0.0, 1.0, float(np.log((share + 1e-4) / (1 - share + 1e-4))), s)
     if not len(y) or y.min() == y.max():
         return flat
-    lists = [words_of(t, s) for t in texts]
-    names = sorted(set().union(*lists))
-    number = dict(zip(names, range(len(names)), strict=True))
-    docs = [np.fromiter((number[x] for x in d), np.int32, len(d)) for d in lists]
-    del lists
-    grams = [grams_of(x, s) for x in names]
-    count = np.fromiter(map(len, grams), np.int64, len(grams))
-    first = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
-    buckets = np.fromiter((g for x in grams for g in x), np.int32, int(count.sum()))
-    del grams, number, names
+    # words are numbered as they come, then in sorted order; only one text's words and some words' n-grams are held as objects
+    number: dict[str, int] = {}
+    docs = [np.fromiter((number.setdefault(x, len(number)) for x in words_of(t, s)), np.int32) for t in texts]
+    names = sorted(number)
+    if not names:
+        return flat
+    rank = np.empty(len(names), np.int32)
+    rank[[number[x] for x in names]] = np.arange(len(names))
+    docs = [rank[d] for d in docs]
+    del number, rank
+    counts, found = [], []
+    for k in range(0, len(names), 5000):
+        grams = [grams_of(x, s) for x in names[k : k + 5000]]
+        counts.append(np.fromiter(map(len, grams), np.int64, len(grams)))
+        found.append(np.fromiter(chain.from_iterable(grams), np.int32, int(counts[-1].sum())))
+    count, buckets = np.concatenate(counts), np.concatenate(found)
+    first = np.cumsum(count) - count
+    del names, counts, found
     has = np.array([len(d) > 0 for d in docs])
     held = np.arange(len(docs)) % 5 == 4  # not fitted on: calibrates
     use = np.flatnonzero(has & ~held)
@@ -216,7 +224,9 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
         .select("_t", "_l", "_x", F.row_number().over(Window.partitionBy("_l").orderBy("_x")).alias("_n")).where(F.col("_n") <= s.rows_per_id)
         .orderBy(order, "_x").collect()
     )
-    return fit([r["_x"] for r in rows], [r["_t"] for r in rows], (counts.get(0, 0), counts.get(1, 0)), s)
+    texts, marks = [r["_x"] for r in rows], [r["_t"] for r in rows]
+    del rows
+    return fit(texts, marks, (counts.get(0, 0), counts.get(1, 0)), s)
 
 
 def score_column(model: Model, df: DataFrame, text: Column) -> Column:
@@ -225,9 +235,10 @@ def score_column(model: Model, df: DataFrame, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        nothing_kept()
         scorer = Scorer(shared.value)
-        for batch in batches:
-            yield pd.Series(scorer.probability(batch.tolist()))
+        yield from each_freed(batches, lambda batch: pd.Series(scorer.probability(batch.tolist())))
+        scorer.recent.forget()  # the worker stays
 
     return toxicity(F.coalesce(text, F.lit("")))
 
