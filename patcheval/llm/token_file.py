@@ -133,7 +133,7 @@ def _encode(path: str, bounds: list[float], end_id: int | None):
         wide = encoder.dtype.itemsize
         for batch in batches:
             keys = batch.column("doc_id")
-            ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
+            ids = [x + end for x in encoder.encode(batch.column("text"))]
             part = np.searchsorted(bounds, np.asarray(keys.fill_null(0)), "left") if bounds else np.zeros(len(keys), int)
             part = np.where(np.asarray(keys.is_null()), 0, part)
             yield pa.RecordBatch.from_arrays(

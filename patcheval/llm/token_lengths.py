@@ -21,7 +21,7 @@ def _measure(path: str):
         encoder = word_encoder(path)
         wide = encoder.dtype.itemsize
         for batch in batches:
-            lengths = [len(x) // wide for x in encoder.encode(batch.column("text").to_pylist())]
+            lengths = [len(x) // wide for x in encoder.encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64())], ["n_tokens"])
 
     return run

@@ -2,30 +2,49 @@
 
 A byte-level pre-tokenizer starts a new word at a single blank between two non-blank characters, so a
 text may be cut in front of it and the ids of the parts put one behind the other. Parts come back
-often; those not yet known are encoded together in one call, and their ids told apart by byte lengths.
+often: of many texts each different part is looked up once, in Arrow arrays. Those not yet known are encoded
+together in one call, and their ids told apart by byte lengths.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from patcheval.llm.common import LONGEST, Recent, groups, pieces, shared_out
+from patcheval.llm.common import LONGEST, Recent, kept_by_worker, pieces
 
 #: Punctuation that no special token has.
 _TAIL = ".,%$&*#!?;:"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Texts that may not be cut at every blank: blanks beside white space or at an end, and white space other than blanks and line feeds.
+_UNEVEN = (
+    r"  | \n|\n |\A | \z|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+#: Words with a letter below U+02B0 before the marks of ``_TAIL`` at their end.
+_MARKED = r"[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2af}][.,%$&*#!?;:]{1,64}\z"
+#: Bytes of texts whose parts are looked up together.
+TOGETHER = 8_000_000
 
 
-def _parts(text: str) -> list[str]:
-    """The text cut at its single blanks; the blanks go."""
-    plain = "  " not in text and " \n" not in text and "\n " not in text and text[:1] != " " and text[-1:] != " "
-    return text.split(" ") if plain and not _OTHER_SPACE.search(text) else _CUT.split(text)
+def _strings(column: pa.Array) -> list[str]:
+    """As ``to_pylist``, without a scalar object for each."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lists of the texts' parts, cut at their single blanks, which go, and the number of the text that each list is of."""
+    uneven = np.asarray(pc.match_substring_regex(texts, _UNEVEN))
+    if not uneven.any():
+        return pc.split_pattern(texts, " "), np.arange(len(texts))
+    cut = pa.array([_CUT.split(t) for t in _strings(texts.filter(pa.array(uneven)))], pa.large_list(pa.large_string()))
+    even = pc.split_pattern(texts.filter(pa.array(~uneven)), " ").cast(cut.type)
+    return pa.concat_arrays([even, cut]), np.concatenate([np.flatnonzero(~uneven), np.flatnonzero(uneven)])
 
 
 class WordEncoder:
@@ -42,24 +61,24 @@ class WordEncoder:
         self.lengths = np.zeros(self.size, np.int64)
         for piece, i in vocabulary.items():
             self.lengths[i] = len(piece)  # a character of a byte-level piece stands for one byte
-        self.words = Recent(self._learn, entries)
+        self.words = Recent(self._encode, entries)
         self.tails: dict[str, bytes] = {}
 
-    def _learn(self, new: list[str]) -> list[bytes]:
-        """Ids of parts that follow a single blank. Punctuation behind a letter is a word of its own to the pre-tokenizer:
+    def _values(self, words: pa.Array) -> list[bytes]:
+        """Ids of different parts that follow a single blank. Punctuation behind a letter is a word of its own to the pre-tokenizer:
         it is taken off first, as the rest is often known."""
-        young, old = self.words.young, self.words.old
-        halves = [self._halves(w) for w in new]
-        todo = list({h for h, _ in halves}.difference(young).difference(old))
-        fresh = dict(zip(todo, self._encode(todo), strict=True))
-        self.words.remember(fresh)
-        return [(fresh.get(h) or young.get(h) or old[h]) + (t and self._tail(t)) for h, t in halves]
-
-    def _halves(self, word: str) -> tuple[str, bytes | str]:
-        rest = word.rstrip(_TAIL)
-        if 0 < len(word) - len(rest) <= LONGEST and rest[-1:].isalpha() and rest[-1] < "ʰ":
-            return rest, word[len(rest) :]
-        return word, b""
+        bare = pc.utf8_rtrim(words, _TAIL)
+        at = np.flatnonzero(pc.binary_length(bare).to_numpy() < pc.binary_length(words).to_numpy())
+        at = at[np.asarray(pc.match_substring_regex(words.take(pa.array(at)), _MARKED))]
+        marked = np.zeros(len(words), bool)
+        marked[at] = True
+        rests = pc.if_else(pa.array(marked), bare, words).dictionary_encode()
+        known = self.words.values(_strings(rests.dictionary))
+        found = [known[i] for i in rests.indices.to_numpy().tolist()]
+        sizes = pc.utf8_length(bare.take(pa.array(at))).to_numpy().tolist()
+        for i, w, n in zip(at.tolist(), _strings(words.take(pa.array(at))), sizes, strict=True):
+            found[i] += self._tail(w[n:])
+        return found
 
     def _tail(self, tail: str) -> bytes:
         found = self.tails.get(tail)
@@ -81,26 +100,44 @@ class WordEncoder:
             out += [flat[j:k] for j, k in zip([0, *at], at, strict=False)]
         return out
 
-    def _some(self, texts: list[str]) -> list[bytes]:
+    def _some(self, texts: pa.Array) -> list[bytes]:
         """``texts`` that are whole, or go on at a cut and then start with its blank."""
-        parts = [_parts(t) for t in texts]
-        heads = [p.pop(0) for p in parts]
-        values = self.words.values(list(chain.from_iterable(parts)))
-        first = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
-        return [
-            np.array(h.ids, dtype=self.dtype).tobytes() + b"".join(v)
-            for h, v in zip(first, shared_out(parts, values), strict=True)
-        ]
-
-    def encode(self, texts: list[str]):
-        for some in groups(texts):
-            if len(some) == 1:
-                yield b"".join(chain.from_iterable(self._some([x]) for x in pieces(some[0], _CUT)))
+        lists, order = _parts(texts)
+        parts, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy())
+        head = np.zeros(len(parts), bool)
+        head[np.concatenate([[0], ends[:-1]])] = True
+        coded = parts.filter(pa.array(~head)).dictionary_encode()
+        values = self._values(coded.dictionary)
+        number = np.empty(len(parts), np.int32)
+        number[head], number[~head] = len(values) + np.arange(len(ends)), coded.indices.to_numpy()
+        first = self.tokenizer.encode_batch_fast(_strings(parts.filter(pa.array(head))), add_special_tokens=False)
+        values += [np.array(h.ids, self.dtype).tobytes() for h in first]
+        # the ids of each part are taken from those of the different ones
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        each = sizes[number]
+        to = np.cumsum(each)
+        at = np.arange(int(to[-1])) + np.repeat((np.cumsum(sizes) - sizes)[number] - (to - each), each)
+        flat = np.frombuffer(b"".join(values), self.dtype)[at].tobytes()
+        stops = (to[ends - 1] * self.dtype.itemsize).tolist()
+        out = [b""] * len(order)
+        for k, i, j in zip(order.tolist(), [0, *stops], stops, strict=False):
+            out[k] = flat[i:j]
+        return out
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
+            if to == at + 1:
+                text = texts[at].as_py()
+                yield b"".join(chain.from_iterable(self._some(pa.array([x], pa.large_string())) for x in pieces(text, _CUT)))
             else:
-                yield from self._some(some)
+                yield from self._some(texts.slice(at, to - at))
+            at = to
 
 
-@lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
     """One for all tasks of a worker."""
-    return WordEncoder(path)
+    return kept_by_worker(WordEncoder, path)
