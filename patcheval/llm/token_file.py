@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,17 +130,20 @@ def _parts(docs: DataFrame, parts: int) -> list[float]:
 def _encode(path: str, bounds: list[float], end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
-        end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
+        end = pa.scalar(b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes(), pa.large_binary())
         wide = encoder.dtype.itemsize
         for batch in batches:
             keys = batch.column("doc_id")
-            ids = [x + end for x in encoder.encode(batch.column("text"))]
             part = np.searchsorted(bounds, np.asarray(keys.fill_null(0)), "left") if bounds else np.zeros(len(keys), int)
-            part = np.where(np.asarray(keys.is_null()), 0, part)
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(part, pa.int32()), pa.array([len(x) // wide for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "part", "n", "ids"],
-            )
+            part = pa.array(np.where(np.asarray(keys.is_null()), 0, part), pa.int32())
+            at = 0
+            for some in encoder.arrays(batch.column("text")):
+                ids = pc.binary_join_element_wise(some, end, pa.scalar(b"", pa.large_binary()))
+                n = pa.array(pc.binary_length(ids).to_numpy() // wide, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(at, len(ids)), part.slice(at, len(ids)), n, ids.cast(pa.binary())], ["doc_id", "part", "n", "ids"]
+                )
+                at += len(ids)
 
     return run
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ def _measure(path: str):
         encoder = word_encoder(path)
         wide = encoder.dtype.itemsize
         for batch in batches:
-            lengths = [len(x) // wide for x in encoder.encode(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64())], ["n_tokens"])
+            for some in encoder.arrays(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(pc.binary_length(some).to_numpy() // wide, pa.int64())], ["n_tokens"])
 
     return run
 

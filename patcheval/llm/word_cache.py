@@ -11,13 +11,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from patcheval.llm.common import LONGEST, Recent, kept_by_worker, pieces
+from patcheval.llm.common import LONGEST, kept_by_worker, pieces
 
 #: Punctuation that no special token has.
 _TAIL = ".,%$&*#!?;:"
@@ -28,6 +27,7 @@ _UNEVEN = (
 )
 #: Words with a letter below U+02B0 before the marks of ``_TAIL`` at their end.
 _MARKED = r"[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2af}][.,%$&*#!?;:]{1,64}\z"
+_NOTHING = pa.scalar(b"", pa.large_binary())
 #: Bytes of texts whose parts are looked up together.
 TOGETHER = 8_000_000
 
@@ -47,8 +47,55 @@ def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays([even, cut]), np.concatenate([np.flatnonzero(~uneven), np.flatnonzero(uneven)])
 
 
+def _from_bytes(data, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The values that lie one behind the other in ``data``, up to each of ``ends``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of large strings or binaries, and the ends of its values in them, both from its first value on."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1] if offsets else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], at[1:] - at[0]
+
+
+class Words:
+    """Ids of words, computed once while a word is in use: a table of the words met since it was last thinned out, and of those kept
+    then. With more than ``entries`` words met it keeps these and drops the others. Words are of up to ``LONGEST`` characters.
+    ``learn`` gives the ids of a list of new words."""
+
+    def __init__(self, learn, entries: int):
+        self.learn, self.entries = learn, entries
+        self.known, self.ids, self.met = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, bool)
+
+    def values(self, words: list[str]) -> pa.Array:
+        """Ids of new words."""
+        return self.learn(words)
+
+    def take(self, words: pa.Array) -> pa.Array:
+        """Ids of different words."""
+        found = pc.index_in(words, value_set=self.known)
+        at, lacks = found.fill_null(-1).to_numpy().astype(np.int64), found.is_null()
+        fresh = words.filter(lacks)
+        ids = pa.concat_arrays([self.ids, self.values(_strings(fresh))]) if len(fresh) else self.ids
+        self.met[at[at >= 0]] = True
+        at[at < 0] = len(self.ids) + np.arange(len(fresh))
+        if len(fresh):
+            kept = np.concatenate([np.ones(len(self.known), bool), pc.utf8_length(fresh).to_numpy() <= LONGEST])
+            self._keep(pa.concat_arrays([self.known, fresh]), ids, np.concatenate([self.met, np.ones(len(fresh), bool)]), kept)
+        if self.met.sum() > self.entries:
+            self._keep(self.known, self.ids, np.zeros(len(self.met), bool), self.met)
+        return ids.take(pa.array(at))
+
+    def _keep(self, known: pa.Array, ids: pa.Array, met: np.ndarray, kept: np.ndarray) -> None:
+        if not kept.all():
+            known, ids, met = known.filter(pa.array(kept)), ids.filter(pa.array(kept)), met[kept]
+        self.known, self.ids, self.met = known, ids, met
+
+
 class WordEncoder:
-    """``encode`` gives for each text its ids as bytes: little-endian, of the type ``dtype``."""
+    """``arrays`` gives for each text its ids as bytes: little-endian, of the type ``dtype``."""
 
     def __init__(self, path: str, entries: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,46 +108,50 @@ class WordEncoder:
         self.lengths = np.zeros(self.size, np.int64)
         for piece, i in vocabulary.items():
             self.lengths[i] = len(piece)  # a character of a byte-level piece stands for one byte
-        self.words = Recent(self._encode, entries)
-        self.tails: dict[str, bytes] = {}
+        self.words = Words(self._encode, entries)
 
-    def _values(self, words: pa.Array) -> list[bytes]:
+    def _values(self, words: pa.Array) -> pa.Array:
         """Ids of different parts that follow a single blank. Punctuation behind a letter is a word of its own to the pre-tokenizer:
         it is taken off first, as the rest is often known."""
         bare = pc.utf8_rtrim(words, _TAIL)
-        at = np.flatnonzero(pc.binary_length(bare).to_numpy() < pc.binary_length(words).to_numpy())
+        cut = pc.subtract(pc.binary_length(words), pc.binary_length(bare)).to_numpy()
+        at = np.flatnonzero(cut)
         at = at[np.asarray(pc.match_substring_regex(words.take(pa.array(at)), _MARKED))]
         marked = np.zeros(len(words), bool)
         marked[at] = True
         rests = pc.if_else(pa.array(marked), bare, words).dictionary_encode()
-        known = self.words.values(_strings(rests.dictionary))
-        found = [known[i] for i in rests.indices.to_numpy().tolist()]
-        sizes = pc.utf8_length(bare.take(pa.array(at))).to_numpy().tolist()
-        for i, w, n in zip(at.tolist(), _strings(words.take(pa.array(at))), sizes, strict=True):
-            found[i] += self._tail(w[n:])
-        return found
-
-    def _tail(self, tail: str) -> bytes:
-        found = self.tails.get(tail)
-        if found is None:
-            if len(self.tails) > 10_000:  # of bounded length: a longer run of marks is a word
-                self.tails.clear()
-            found = self.tails[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, self.dtype).tobytes()
-        return found
-
-    def _encode(self, words: list[str], at_once: int = 4000) -> list[bytes]:
+        ids = self.words.take(rests.dictionary).take(rests.indices)
+        if not len(at):
+            return ids
+        # one byte a mark
+        data, ends = _bytes_of(words.take(pa.array(at)))
+        sizes = cut[at].astype(np.int64)
+        to = np.cumsum(sizes)
+        tails = _from_bytes(data[np.arange(to[-1]) + np.repeat(ends - to, sizes)], to, pa.large_string()).dictionary_encode()
+        coded = pa.concat_arrays([self._each(tails.dictionary), pa.array([b""], pa.large_binary())])
+        number = np.full(len(words), len(coded) - 1)
+        number[at] = tails.indices.to_numpy()
+        return pc.binary_join_element_wise(ids, coded.take(pa.array(number)), _NOTHING)
+
+    def _each(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text alone."""
+        ids = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(_strings(texts), add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * self.dtype.itemsize
+        return _from_bytes(np.concatenate(ids) if ids else b"", ends, pa.large_binary())
+
+    def _encode(self, words: list[str], at_once: int = 4000) -> pa.Array:
         """Ids of words behind a blank, encoded as one text for each group of them and told apart by their bytes."""
-        out, step = [], self.dtype.itemsize
+        out = []
         for i in range(0, len(words), at_once):
-            some = words[i : i + at_once]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype=np.int64)
-            ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1)
-            at = ((np.searchsorted(np.cumsum(self.lengths[ids]), ends, "left") + 1) * step).tolist()
-            flat = ids.astype(self.dtype).tobytes()
-            out += [flat[j:k] for j, k in zip([0, *at], at, strict=False)]
-        return out
-
-    def _some(self, texts: pa.Array) -> list[bytes]:
+            some = pa.array(words[i : i + at_once], pa.large_string())
+            text = " " + " ".join(words[i : i + at_once])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.cumsum(pc.binary_length(some).to_numpy() + 1)
+            at = np.searchsorted(np.cumsum(self.lengths[ids]), ends, "left") + 1
+            out.append(_from_bytes(ids, at * self.dtype.itemsize, pa.large_binary()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.large_binary())
+
+    def _some(self, texts: pa.Array) -> pa.Array:
         """``texts`` that are whole, or go on at a cut and then start with its blank."""
         lists, order = _parts(texts)
         parts, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy())
@@ -108,35 +159,32 @@ class WordEncoder:
         head[np.concatenate([[0], ends[:-1]])] = True
         coded = parts.filter(pa.array(~head)).dictionary_encode()
         values = self._values(coded.dictionary)
-        number = np.empty(len(parts), np.int32)
+        number = np.empty(len(parts), np.int64)
         number[head], number[~head] = len(values) + np.arange(len(ends)), coded.indices.to_numpy()
-        first = self.tokenizer.encode_batch_fast(_strings(parts.filter(pa.array(head))), add_special_tokens=False)
-        values += [np.array(h.ids, self.dtype).tobytes() for h in first]
         # the ids of each part are taken from those of the different ones
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
-        each = sizes[number]
-        to = np.cumsum(each)
-        at = np.arange(int(to[-1])) + np.repeat((np.cumsum(sizes) - sizes)[number] - (to - each), each)
-        flat = np.frombuffer(b"".join(values), self.dtype)[at].tobytes()
-        stops = (to[ends - 1] * self.dtype.itemsize).tolist()
-        out = [b""] * len(order)
-        for k, i, j in zip(order.tolist(), [0, *stops], stops, strict=False):
-            out[k] = flat[i:j]
-        return out
+        data, to = _bytes_of(pa.concat_arrays([values, self._each(parts.filter(pa.array(head)))]).take(pa.array(number)))
+        out = _from_bytes(data, to[ends - 1], pa.large_binary())
+        return out if (np.diff(order) > 0).all() else out.take(pa.array(np.argsort(order)))
 
-    def encode(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+    def arrays(self, texts: list[str] | pa.Array) -> Iterator[pa.Array]:
+        """The ids of neighbouring texts, an array for each group that is looked up together."""
         texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
             if to == at + 1:
-                text = texts[at].as_py()
-                yield b"".join(chain.from_iterable(self._some(pa.array([x], pa.large_string())) for x in pieces(text, _CUT)))
+                some = [self._some(pa.array([x], pa.large_string())) for x in pieces(texts[at].as_py(), _CUT)]
+                yield pa.array([b"".join(x[0].as_py() for x in some)], pa.large_binary())
             else:
-                yield from self._some(texts.slice(at, to - at))
+                yield self._some(texts.slice(at, to - at))
             at = to
 
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+        """:meth:`arrays`, text by text."""
+        for some in self.arrays(texts):
+            yield from some.to_pylist()
+
 
 def word_encoder(path: str) -> WordEncoder:
     """One for all tasks of a worker."""

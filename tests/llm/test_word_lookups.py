@@ -35,3 +35,26 @@ def test_uneven_white_space_like_the_library(monkeypatch, together):
     encoder = word_cache.WordEncoder(tokenizer_file("byte_bpe_50k.json"), entries=100)
     want = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == want
+
+
+def test_known_words_are_not_asked_again():
+    encoder = word_cache.WordEncoder(tokenizer_file("byte_bpe_50k.json"))
+    asked, values = [], encoder.words.values
+    encoder.words.values = lambda words: asked.extend(words) or values(words)
+    text = "some known words, then some more."
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    for new in (["known", "more", "some", "then", "words"], []):
+        asked.clear()
+        assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode([text, text])] == [want] * 2
+        assert sorted(asked) == new
+
+
+def test_words_in_use_stay_and_others_go():
+    asked = []
+    words = word_cache.Words(lambda new: asked.extend(new) or pa.array([w.encode() * 2 for w in new], pa.large_binary()), entries=20)
+    for i in range(50):
+        some = ["kept", "x" * 65, *(f"{i}-{j}" for j in range(9))]
+        assert words.take(pa.array(some, pa.large_string())).to_pylist() == [w.encode() * 2 for w in some]
+        assert len(words.known) == len(words.ids) == len(words.met) <= 2 * 20 + 10
+    assert asked.count("kept") == 1 and asked.count("x" * 65) == 50
+    assert words.take(pa.array([], pa.large_string())).to_pylist() == []
