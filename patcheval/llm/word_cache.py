@@ -2,8 +2,9 @@
 
 A byte-level pre-tokenizer starts a new word at a single blank between two non-blank characters, so a
 text may be cut in front of it and the ids of the parts put one behind the other. Parts come back
-often: of many texts each different part is looked up once, in Arrow arrays. Those not yet known are encoded
-together in one call, and their ids told apart by byte lengths.
+often: of many texts each different part is looked up once, in Arrow arrays. A single line feed between two such
+characters is a word of its own, so parts are cut in front of it too. Those not yet known are encoded together in one
+call, and their ids told apart by byte lengths.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from patcheval.llm.common import LONGEST, kept_by_worker, pieces
 #: Punctuation that no special token has.
 _TAIL = ".,%$&*#!?;:"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space other than blanks and line feeds.
+_WHITE = r"\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Texts that may not be cut at every blank: blanks beside white space or at an end, and white space other than blanks and line feeds.
-_UNEVEN = (
-    r"  | \n|\n |\A | \z|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+_UNEVEN = rf"  | \n|\n |\A | \z|[{_WHITE}]"
+#: Words that are cut at their line feeds: single ones, neither at an end nor beside other white space.
+_LINES = rf"\A[^ \n{_WHITE}]+(?:\n[^ \n{_WHITE}]+)+\z"
 #: Words with a letter below U+02B0 before the marks of ``_TAIL`` at their end.
 _MARKED = r"[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2af}][.,%$&*#!?;:]{1,64}\z"
 _NOTHING = pa.scalar(b"", pa.large_binary())
@@ -60,6 +63,17 @@ def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], at[1:] - at[0]
 
 
+def _joined(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Neighbouring values put together, up to each of ``ends``; none of the runs is empty."""
+    data, to = _bytes_of(values)
+    return _from_bytes(data, to[ends - 1], pa.large_binary())
+
+
+def _ordered(values: pa.Array, order: np.ndarray) -> pa.Array:
+    """The values, each at its number in ``order``."""
+    return values if (np.diff(order) > 0).all() else values.take(pa.array(np.argsort(order)))
+
+
 class Words:
     """Ids of words, computed once while a word is in use: a table of the words met since it was last thinned out, and of those kept
     then. With more than ``entries`` words met it keeps these and drops the others. Words are of up to ``LONGEST`` characters.
@@ -74,16 +88,17 @@ class Words:
         return self.learn(words)
 
     def take(self, words: pa.Array) -> pa.Array:
-        """Ids of different words."""
+        """Ids of words, each new one asked for once."""
         found = pc.index_in(words, value_set=self.known)
         at, lacks = found.fill_null(-1).to_numpy().astype(np.int64), found.is_null()
-        fresh = words.filter(lacks)
-        ids = pa.concat_arrays([self.ids, self.values(_strings(fresh))]) if len(fresh) else self.ids
         self.met[at[at >= 0]] = True
-        at[at < 0] = len(self.ids) + np.arange(len(fresh))
-        if len(fresh):
-            kept = np.concatenate([np.ones(len(self.known), bool), pc.utf8_length(fresh).to_numpy() <= LONGEST])
-            self._keep(pa.concat_arrays([self.known, fresh]), ids, np.concatenate([self.met, np.ones(len(fresh), bool)]), kept)
+        fresh = words.filter(lacks).dictionary_encode()
+        new, ids = fresh.dictionary, self.ids
+        if len(new):
+            at[at < 0] = len(ids) + fresh.indices.to_numpy()
+            ids = pa.concat_arrays([ids, self.values(_strings(new))])
+            kept = np.concatenate([np.ones(len(self.known), bool), pc.utf8_length(new).to_numpy() <= LONGEST])
+            self._keep(pa.concat_arrays([self.known, new]), ids, np.concatenate([self.met, np.ones(len(new), bool)]), kept)
         if self.met.sum() > self.entries:
             self._keep(self.known, self.ids, np.zeros(len(self.met), bool), self.met)
         return ids.take(pa.array(at))
@@ -111,16 +126,25 @@ class WordEncoder:
         self.words = Words(self._encode, entries)
 
     def _values(self, words: pa.Array) -> pa.Array:
-        """Ids of different parts that follow a single blank. Punctuation behind a letter is a word of its own to the pre-tokenizer:
-        it is taken off first, as the rest is often known."""
+        """Ids of different parts that follow a single blank. Lines of a part are looked up one by one, each with its line feed."""
+        cut = np.asarray(pc.match_substring_regex(words, _LINES))
+        lines = pc.split_pattern(pc.replace_substring(words.filter(pa.array(cut)), "\n", " \n"), " ")
+        whole = words.filter(pa.array(~cut))
+        ids = self._lines(pa.concat_arrays([whole, lines.flatten()]))
+        ends = np.cumsum(pc.list_value_length(lines).to_numpy())
+        both = pa.concat_arrays([ids.slice(0, len(whole)), _joined(ids.slice(len(whole)), ends)])
+        return _ordered(both, np.concatenate([np.flatnonzero(~cut), np.flatnonzero(cut)]))
+
+    def _lines(self, words: pa.Array) -> pa.Array:
+        """Ids of words that follow a blank or start with a line feed. Punctuation behind a letter is a word of its own to the
+        pre-tokenizer: it is taken off first, as the rest is often known."""
         bare = pc.utf8_rtrim(words, _TAIL)
         cut = pc.subtract(pc.binary_length(words), pc.binary_length(bare)).to_numpy()
         at = np.flatnonzero(cut)
         at = at[np.asarray(pc.match_substring_regex(words.take(pa.array(at)), _MARKED))]
         marked = np.zeros(len(words), bool)
         marked[at] = True
-        rests = pc.if_else(pa.array(marked), bare, words).dictionary_encode()
-        ids = self.words.take(rests.dictionary).take(rests.indices)
+        ids = self.words.take(pc.if_else(pa.array(marked), bare, words))
         if not len(at):
             return ids
         # one byte a mark
@@ -140,13 +164,13 @@ class WordEncoder:
         return _from_bytes(np.concatenate(ids) if ids else b"", ends, pa.large_binary())
 
     def _encode(self, words: list[str], at_once: int = 4000) -> pa.Array:
-        """Ids of words behind a blank, encoded as one text for each group of them and told apart by their bytes."""
+        """Ids of words behind a blank, or with the line feed they start with, encoded as one text for each group of them and told
+        apart by their bytes."""
         out = []
         for i in range(0, len(words), at_once):
-            some = pa.array(words[i : i + at_once], pa.large_string())
-            text = " " + " ".join(words[i : i + at_once])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            ends = np.cumsum(pc.binary_length(some).to_numpy() + 1)
+            group = [w if w.startswith("\n") else f" {w}" for w in words[i : i + at_once]]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.cumsum(pc.binary_length(pa.array(group, pa.large_string())).to_numpy())
             at = np.searchsorted(np.cumsum(self.lengths[ids]), ends, "left") + 1
             out.append(_from_bytes(ids, at * self.dtype.itemsize, pa.large_binary()))
         return pa.concat_arrays(out) if out else pa.array([], pa.large_binary())
@@ -162,9 +186,8 @@ class WordEncoder:
         number = np.empty(len(parts), np.int64)
         number[head], number[~head] = len(values) + np.arange(len(ends)), coded.indices.to_numpy()
         # the ids of each part are taken from those of the different ones
-        data, to = _bytes_of(pa.concat_arrays([values, self._each(parts.filter(pa.array(head)))]).take(pa.array(number)))
-        out = _from_bytes(data, to[ends - 1], pa.large_binary())
-        return out if (np.diff(order) > 0).all() else out.take(pa.array(np.argsort(order)))
+        ids = pa.concat_arrays([values, self._each(parts.filter(pa.array(head)))]).take(pa.array(number))
+        return _ordered(_joined(ids, ends), order)
 
     def arrays(self, texts: list[str] | pa.Array) -> Iterator[pa.Array]:
         """The ids of neighbouring texts, an array for each group that is looked up together."""

@@ -58,3 +58,23 @@ def test_words_in_use_stay_and_others_go():
         assert len(words.known) == len(words.ids) == len(words.met) <= 2 * 20 + 10
     assert asked.count("kept") == 1 and asked.count("x" * 65) == 50
     assert words.take(pa.array([], pa.large_string())).to_pylist() == []
+
+
+def test_lines_are_looked_up_one_by_one():
+    encoder = word_cache.WordEncoder(tokenizer_file("byte_bpe_50k.json"))
+    asked, values = [], encoder.words.values
+    encoder.words.values = lambda words: asked.extend(words) or values(words)
+    texts = ["a one\ntwo, one.\ntwo one\n\ntwo one\n", "a one\ntwo\none"] * 2
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == want
+    assert sorted(asked) == ["\none", "\ntwo", "one", "one\n", "one\n\ntwo"]
+
+
+def test_line_feeds_like_the_library():
+    r = random.Random(11)
+    some = ["\n", "\n", "\n", " ", " ", "ab", "Z", "9", ".", ",!", "'s", "é", "中", "́", "\t", "\xa0", "<|endoftext|>"]
+    texts = ["".join(r.choices(some, k=r.randrange(40))) for _ in range(3000)]
+    texts += [" ".join("\n".join(r.choices(["ab", "c.", "Dé,", "9", "'s", "中!"], k=r.randrange(1, 4))) for _ in range(r.randrange(9))) for _ in range(500)]
+    encoder = word_cache.WordEncoder(tokenizer_file("byte_bpe_50k.json"), entries=100)
+    want = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == want
