@@ -74,7 +74,8 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str], bits: int) -> Data
     """Pairs of rows with equal keys: on different sides of a left-out bit, or any where none is left out."""
     other = right.select(*keys, F.col("fp").alias("fp2"), F.col("bit").alias("bit2"))
     apart = (F.col("bit") + F.col("bit2") == 1) | ((F.col("bit") == 2) & (F.col("fp") != F.col("fp2")))
-    return left.join(other, keys).where(apart & _near(bits)).select("fp", "fp2")
+    # Spark takes exploded rows for as small as what they come from, so without the hint it would broadcast 66 rows for each fingerprint
+    return left.join(other.hint("merge"), keys).where(apart & _near(bits)).select("fp", "fp2")
 
 
 def links(fps: DataFrame, bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
@@ -97,7 +98,7 @@ def links(fps: DataFrame, bits: int = MAX_BITS, group: int = GROUP) -> DataFrame
     other = inner.select("key", "key2", F.col("fp").alias("fp2"), F.col("bit").alias("bit2"), F.col("inner").alias("inner2"))
     apart = (F.col("bit") + F.col("bit2") == 1) | ((F.col("bit") == 2) & (F.col("fp") != F.col("fp2")))
     within = (F.col("inner") + F.col("inner2") == 1) | (F.col("inner") == 2)
-    hots = inner.join(other, ["key", "key2"]).where(apart & within & _near(bits)).select("fp", "fp2")
+    hots = inner.join(other.hint("merge"), ["key", "key2"]).where(apart & within & _near(bits)).select("fp", "fp2")
     both = cold.unionByName(hots)
     return both.select(F.least("fp", "fp2").alias("fp"), F.greatest("fp", "fp2").alias("fp2")).distinct()
 
