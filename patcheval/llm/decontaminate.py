@@ -54,7 +54,7 @@ def _joined(docs: DataFrame, index: DataFrame, sizes: list[int], small: bool) ->
     for k in sizes:
         p = base.select(*KEY, "n_words", F.posexplode(_shingles(F.col("_h"), k)).alias("_at", "_s"))
         of_size = index.where(F.col("_k") == k)
-        parts.append(p.join(F.broadcast(of_size) if small else of_size, "_s"))
+        parts.append(p.join(F.broadcast(of_size) if small else of_size.hint("merge"), "_s"))
     return reduce(DataFrame.unionByName, parts)
 
 

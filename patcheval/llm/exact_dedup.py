@@ -73,8 +73,9 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows, _ = _keyed_documents(docs, block)
     places = rows.select("_rid", "_size", F.posexplode("_keys").alias("_pos", "_k")).select("_rid", "_size", "_pos", "_k._h1", "_k._h2")
     names = sorted_names(places.select("_h1", "_h2").distinct(), ["_h1", "_h2"])
+    # Spark sizes rows by the files they come from, exploded ones too; unlike broadcasts, merges do not depend on that
     level = staged(
-        places.join(names, ["_h1", "_h2"]).select("_rid", "_size", F.col("_pos").cast("long").alias("_pos"), F.col("_size").alias("_left"), "name"),
+        places.join(names.hint("merge"), ["_h1", "_h2"]).select("_rid", "_size", F.col("_pos").cast("long").alias("_pos"), F.col("_size").alias("_left"), "name"),
         "block-names",
     )
     most = rows.agg(F.max("_size")).first()[0] or 0
@@ -95,7 +96,7 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)
-    return rows.drop("_keys").join(found, "_rid", "left").withColumn("_name", F.coalesce("name", F.lit(0))).drop("name")
+    return rows.drop("_keys").join(found.hint("merge"), "_rid", "left").withColumn("_name", F.coalesce("name", F.lit(0))).drop("name")
 
 
 def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
