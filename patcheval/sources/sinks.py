@@ -81,7 +81,7 @@ def export_report_json(
     metadata = {"timestamp": timestamp, "config": config or {}}
     counts = [c for c in ("total", "resolved", "unresolved", "errors", "skipped", "resolved_rate", "avg_duration", "total_duration") if c in summary.columns]
     head = summary.where(run).select(
-        F.lit(0).alias("part"), F.lit("").alias("instance_id"),
+        F.lit(0).alias("part"), F.lit("").alias("instance_id"), F.lit(0).cast("long").alias("_id"),
         F.concat(
             F.lit('{"summary": '), F.to_json(F.struct(*counts)),
             F.lit(', "metadata": ' + json.dumps(metadata, ensure_ascii=False) + ', "instances": ['),
@@ -95,9 +95,9 @@ def export_report_json(
     )
     place = F.struct("instance_id", "_id")
     first = body.agg(F.min(place)).scalar()
-    body = body.select("part", "instance_id", F.when(place == first, F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
-    foot = summary.where(run).select(F.lit(2).alias("part"), F.lit("").alias("instance_id"), F.lit("]}").alias("value"))
-    ordered = head.unionByName(body).unionByName(foot).orderBy("part", "instance_id")
+    body = body.select("part", "instance_id", "_id", F.when(place == first, F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    foot = summary.where(run).select(F.lit(2).alias("part"), F.lit("").alias("instance_id"), F.lit(0).cast("long").alias("_id"), F.lit("]}").alias("value"))
+    ordered = head.unionByName(body).unionByName(foot).orderBy("part", "instance_id", "_id")
     ordered.select("value").write.mode(mode).text(path)
     return path
 
